@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ogg, secrets
+from . import bpe, mixing, ogg, quality, secrets, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op4_ogg": ogg.op4_ogg,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_secrets": secrets.op7_secrets,
+    "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
 
