@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ogg, quality, secrets, toxicity
+from . import bpe, lm, mixing, ogg, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
     "op4_ogg": ogg.op4_ogg,
     "op5_toxicity": toxicity.op5_toxicity,
