@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, mixing, ogg, quality, secrets, toxicity
+from . import bpe, lm, minhash, mixing, ogg, quality, secrets, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ogg": ogg.op4_ogg,
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_secrets": secrets.op7_secrets,
+    "op8_minhash": minhash.op8_minhash,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
