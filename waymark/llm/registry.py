@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, minhash, mixing, ogg, quality, secrets, toxicity
+from . import bpe, itq, lm, minhash, mixing, ogg, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
     "op2_mixing": mixing.op2_mixing,
+    "op3_pii": pii.op3_pii,
     "op4_ogg": ogg.op4_ogg,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_itq": itq.op6_itq,
     "op7_secrets": secrets.op7_secrets,
     "op8_minhash": minhash.op8_minhash,
     "op9_quality": quality.op9_quality,
