@@ -87,30 +87,45 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-Rows = list[tuple[np.ndarray, np.ndarray]]
+def gram_sums(texts: DataFrame, text: str = "text") -> DataFrame:
+    """(gram, kind, total, squares): sums of each gram's counts over the documents of a kind; each batch sums first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = np.array(b.column(0).to_pylist(), dtype=np.int64)
+            rows = [gram_counts(t) for t in b.column(1).to_pylist()]
+            for kind in np.unique(kinds):
+                own = [rows[i] for i in np.flatnonzero(kinds == kind)]
+                ids, inverse = np.unique(np.concatenate([i for i, _ in own]), return_inverse=True)
+                n = np.concatenate([c for _, c in own]).astype(np.float64)
+                sums = [np.bincount(inverse, weights=w, minlength=len(ids)).astype(np.int64) for w in (n, n * n)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), kind), pa.int32()), *map(pa.array, sums)], ["gram", "kind", "total", "squares"])
 
+    return texts.select("kind", text).mapInArrow(run, "gram bigint, kind int, total bigint, squares bigint")
 
-def choose(pos: Rows, unl: Rows, most: int = GRAMS) -> np.ndarray:
+
+def choose(sums: DataFrame, n_pos: int, n_unl: int, most: int = GRAMS) -> np.ndarray:
     """The grams with the largest difference of mean counts, in standard errors; ties by number."""
-    ids, inverse = np.unique(np.concatenate([i for i, _ in pos + unl]), return_inverse=True)
-    n = np.concatenate([c for _, c in pos + unl]).astype(np.float64)
-    cut = sum(len(i) for i, _ in pos)
-    mean = lambda k, w, rows: np.bincount(inverse[k], weights=w[k], minlength=len(ids)) / len(rows)
-    first, rest = slice(0, cut), slice(cut, None)
-    p, u = mean(first, n, pos), mean(rest, n, unl)
-    vp, vu = mean(first, n * n, pos) - p * p, mean(rest, n * n, unl) - u * u
-    z = (p - u) / np.sqrt((vp + 1 / len(pos)) / len(pos) + (vu + 1 / len(unl)) / len(unl))
-    return np.sort(ids[np.lexsort((ids, -z))[:most]])
-
-
-def dense(rows: Rows, chosen: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(chosen)), dtype=np.float32)
-    for i, (r, n) in enumerate(rows):
-        at = np.searchsorted(chosen, r)
-        ok = at < len(chosen)
-        ok[ok] = chosen[at[ok]] == r[ok]
-        out[i, at[ok]] = n[ok]
-    return out
+    of = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
+    by = sums.groupBy("gram").agg((of("total", 1) / n_pos).alias("p"), (of("total", 0) / n_unl).alias("u"), (of("squares", 1) / n_pos).alias("pp"), (of("squares", 0) / n_unl).alias("uu"))
+    z = (F.col("p") - F.col("u")) / F.sqrt((F.col("pp") - F.col("p") * F.col("p") + 1 / n_pos) / n_pos + (F.col("uu") - F.col("u") * F.col("u") + 1 / n_unl) / n_unl)
+    return np.sort(np.array([r[0] for r in by.orderBy(z.desc(), "gram").limit(most).select("gram").collect()], dtype=np.uint32))
+
+
+def dense_rows(texts: DataFrame, chosen: np.ndarray, text: str = "text") -> DataFrame:
+    """(kind, x): a byte for each chosen gram."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column(1).to_pylist():
+                r, n = gram_counts(t)
+                x, at = np.zeros(len(chosen), dtype=np.uint8), np.searchsorted(chosen, r)
+                ok = at < len(chosen)
+                ok[ok] = chosen[at[ok]] == r[ok]
+                x[at[ok]] = n[ok]
+                out.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["kind", "x"])
+
+    return texts.select("kind", text).mapInArrow(run, "kind int, x binary")
 
 
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.01, decay: float = 3e-3, beta: float = 0.0, seed: int = 11) -> tuple[np.ndarray, float]:
@@ -121,8 +136,8 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
-        p = pos[rng.integers(0, len(pos), min(256, len(pos)))]
-        u = unl[rng.integers(0, len(unl), min(512, len(unl)))]
+        p = pos[rng.integers(0, len(pos), min(256, len(pos)))].astype(np.float64)
+        u = unl[rng.integers(0, len(unl), min(512, len(unl)))].astype(np.float64)
         gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
         # The logistic loss l(z) = log(1 + exp(-z)): l'(g) = -sig(-g) for a positive, sig(g) for a negative.
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
@@ -138,16 +153,6 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate
     return w[:-1], float(w[-1])
 
 
-def gram_rows(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, grams and counts as bytes) of a sample's texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = [gram_counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k].tobytes() for x in both], pa.binary()) for k in (0, 1))], ["kind", "x", "n"])
-
-    return texts.select("kind", text).mapInArrow(run, "kind int, x binary, n binary")
-
-
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, held_out: int = HELD_OUT) -> Model:
     """A model from bounded samples of the rows outside the held-out fold."""
     known = learnable(labels, held_out).where(F.col("toxic").isin(0, 1))
@@ -158,12 +163,13 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = counts[1] / sum(counts.values())
     pos = sample_ids(known.where("toxic = 1"), positives, SEED)
     unl = sample_ids(docs.where((fold() != held_out) & F.col("doc_id").isNotNull()), unlabelled, SEED)
-    rows = gram_rows(texts_of(docs, {1: pos, 0: unl})).collect()
-    x = {k: [(np.frombuffer(r["x"], np.uint32), np.frombuffer(r["n"], np.uint8)) for r in rows if r["kind"] == k] for k in (0, 1)}
-    if not x[0] or not x[1]:
+    texts = texts_of(docs, {1: pos, 0: unl})
+    chosen = choose(gram_sums(texts), len(pos), len(unl))
+    rows = dense_rows(texts, chosen).collect()
+    x = [np.frombuffer(b"".join(r["x"] for r in rows if r["kind"] == k), dtype=np.uint8).reshape(-1, max(1, len(chosen))) for k in (0, 1)]
+    if not len(x[0]) or not len(x[1]):
         return none
-    chosen = choose(x[1], x[0])
-    return Model(chosen, *nnpu(dense(x[1], chosen), dense(x[0], chosen), min(prior, 0.9)))
+    return Model(chosen, *nnpu(x[1], x[0], min(prior, 0.9)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
