@@ -1,0 +1,110 @@
+"""File sources and sinks: headerless TSV check-ins, JSON lines, SID maps, manifests, summaries."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import sid
+
+RAW_COLUMNS = ("original_uid", "original_pid", "category_id", "category", "latitude", "longitude", "timezone_offset", "utc_time")
+RAW_TYPES = ("bigint", "string", "string", "string", "double", "double", "int", "string")
+WEEKDAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
+MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+
+
+def utc_time(c: Column) -> Column:
+    """'Mon Jan 01 08:00:00 +0000 2024' to a timestamp; other text to null."""
+    ok = c.rlike(rf"^(?:{WEEKDAYS}) (?:{MONTHS}) \d\d? \d\d:\d\d:\d\d [+-]\d{{4}} \d{{4}}$")
+    return F.when(ok, F.try_to_timestamp(F.substring(c, 5, 40), F.lit("MMM d HH:mm:ss Z yyyy")))
+
+
+def read_checkins(spark: SparkSession, path: str, encoding: str | None = None, pid: str = "original_pid") -> DataFrame:
+    """Raw check-ins: rows with more than eight fields go, shorter ones are filled with nulls, bad numbers are null.
+
+    Without an encoding, UTF-8 is taken unless some line holds bytes that it can't decode; then Latin-1.
+    """
+    if encoding is None:
+        binary = spark.read.format("text").load(path).select(F.col("value").contains("�").alias("bad"))
+        encoding = "latin1" if binary.where("bad").limit(1).count() else "utf-8"
+    lines = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").schema("value string").csv(path) if encoding != "utf-8" else spark.read.text(path)
+    parts = F.split("value", "\t")
+    d = lines.where(F.length(F.trim("value")) > 0).select(parts.alias("f")).where(F.size("f") <= len(RAW_COLUMNS))
+    field = lambda i, t: F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(t)
+    d = d.select(*[field(i, t).alias(c) for i, (c, t) in enumerate(zip(RAW_COLUMNS, RAW_TYPES, strict=True))])
+    return d.withColumn("utc_ts", utc_time(F.col("utc_time"))).withColumnRenamed("original_pid", pid)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines; blank lines are skipped."""
+    return spark.read.schema(schema).json(path).dropna("all")
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines that keep explicit nulls."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def read_json(path: str) -> dict:
+    """A small JSON document of the driver, such as a manifest."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def write_json(path: str, payload: object) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(payload, f, ensure_ascii=False, indent=2)
+        f.write("\n")
+
+
+def sid_map(raw: DataFrame) -> DataFrame:
+    """(pid, sid_token) from sid_token, else sid_indices (an array or its text), else sid."""
+    options = []
+    if "sid_token" in raw.columns:
+        options.append(F.nullif(F.col("sid_token"), F.lit("")))
+    if "sid_indices" in raw.columns:
+        a = F.col("sid_indices") if dict(raw.dtypes)["sid_indices"].startswith("array") else F.from_json("sid_indices", "array<int>")
+        options.append(sid.token(a))
+    if "sid" in raw.columns:
+        options.append(F.nullif(F.col("sid"), F.lit("")))
+    return raw.select(F.col("pid").cast("bigint").alias("pid"), F.coalesce(*options).alias("sid_token"))
+
+
+def read_sid_map(spark: SparkSession, path: str) -> DataFrame:
+    """A SID map of JSON lines or of CSV with a header; another suffix is an error."""
+    if path.endswith(".csv"):
+        return sid_map(spark.read.option("header", "true").option("escape", '"').csv(path))
+    if path.endswith((".json", ".jsonl")):
+        return sid_map(spark.read.option("multiLine", str(path.endswith(".json")).lower()).json(path))
+    raise ValueError(f"a SID map is .json, .jsonl or .csv: {path}")
+
+
+def history_map(rows: DataFrame, text: str, position: str) -> DataFrame:
+    """(uid, history): the text by the user it names; of several the last wins."""
+    uid = F.nullif(F.regexp_extract(text, r"User_(\d+)", 1), F.lit("")).cast("bigint")
+    return rows.select(uid.alias("uid"), F.col(text).alias("history"), F.col(position).alias("_p")).where("uid is not null").groupBy("uid").agg(F.max_by("history", "_p").alias("history"))
+
+
+def read_traces(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Reward traces of one file or a folder, with the file's name; none at all is an error."""
+    d = spark.read.schema(schema).json(path).withColumn("file", F.col("_metadata.file_name"))
+    if not d.limit(1).count():
+        raise ValueError(f"no trace rows in {path}")
+    return d
+
+
+def append_traces(df: DataFrame, path: str) -> None:
+    """Adds trace rows; the writer is the partition, and rows count up in it."""
+    row = F.monotonically_increasing_id()
+    out = df.withColumns({"pid": F.spark_partition_id().cast("bigint"), "local_record_index": row.bitwiseAND(F.lit((1 << 33) - 1))})
+    out.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def summary_lines(metrics: DataFrame) -> DataFrame:
+    """(k, line): a Markdown table of runs, numbers with four digits; metrics: (run, acc1, acc5, acc10, num_samples)."""
+    head = metrics.sparkSession.createDataFrame([(0, "", "| run | acc@1 | acc@5 | acc@10 | samples |"), (1, "", "|---|---|---|---|---|")], "k int, run string, line string")
+    body = metrics.select(F.lit(2).alias("k"), "run", F.format_string("| %s | %.4f | %.4f | %.4f | %d |", "run", "acc1", "acc5", "acc10", "num_samples").alias("line"))
+    return head.unionByName(body).orderBy("k", "run").select("k", "line")
