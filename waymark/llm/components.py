@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +59,43 @@ def chunk_pairs(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("bucket", "id"), F.col("_chunks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
     return dealt.select("bucket", "id", "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
+
+
+def each_piece(rows: DataFrame, run: Callable[[tuple[int, int, int], pa.Table], list[tuple]], schema: str) -> DataFrame:
+    """run(key, rows) for each (bucket, i, j), rows sorted by id; its tuples are the result.
+
+    Most pieces are two or three rows, for which a grouped pandas call costs far more than the work. So rows are dealt by piece,
+    sorted, and read as a stream from which pieces are cut; only the piece that is being read is held.
+    """
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+    keys = [rows.columns.index(c) for c in ("bucket", "i", "j")]
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key, out = None, []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        for b in batches:
+            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            starts = [0, *(k for k in range(1, b.num_rows) if cols[0][k] != cols[0][k - 1] or cols[1][k] != cols[1][k - 1] or cols[2][k] != cols[2][k - 1])]
+            for at, end in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                now = tuple(int(c[at]) for c in cols)
+                if now != key and held:
+                    out += run(key, pa.Table.from_batches(held))
+                    held = []
+                key = now
+                held.append(b.slice(at, end - at))
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if held:
+            out += run(key, pa.Table.from_batches(held))
+        yield made()
+
+    return dealt.mapInArrow(stream, schema)

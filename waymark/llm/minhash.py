@@ -17,14 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table
-from .components import chunk_pairs, connected
+from .components import chunk_pairs, connected, each_piece
 
 WORDS = 4
 BANDS, R = 30, 5
@@ -136,25 +135,24 @@ class Forest:
 
 def likely(band: np.ndarray, low: np.ndarray, own: np.ndarray, bucket: int, crossed: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row, the later rows it has to be compared with here, and their agreement."""
-    place = np.flatnonzero((band == bucket).all(0))
+    place = np.flatnonzero(band[0] == bucket)
     first = int(place[0]) if len(place) else 0
     for a in range(len(band) - 1):
-        rest = np.arange(a + 1, len(band))
+        ok = (low[a + 1 :] == low[a]).mean(1) >= FLOOR
         if crossed:
-            rest = rest[own[rest] != own[a]]
-        if first and len(rest):
-            rest = rest[~(band[rest, :first] == band[a, :first]).any(1)]
+            ok &= own[a + 1 :] != own[a]
+        if first and ok.any():
+            ok &= ~(band[a + 1 :, :first] == band[a, :first]).any(1)
+        rest = np.flatnonzero(ok) + a + 1
         if len(rest):
-            agree = (low[rest] == low[a]).mean(1)
-            ok = agree >= FLOOR
-            if ok.any():
-                yield a, rest[ok], agree[ok]
+            yield a, rest, (low[rest] == low[a]).mean(1)
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    band = np.array(pdf["bands"].tolist(), dtype=np.int64).reshape(len(pdf), -1)
-    low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), -1)
-    return band, low, pdf["own"].to_numpy()
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = rows.num_rows
+    band = np.concatenate([c.flatten().to_numpy() for c in rows.column("bands").chunks]).reshape(n, -1)
+    low = np.frombuffer(b"".join(rows.column("low").to_pylist()), dtype=np.uint8).reshape(n, -1)
+    return band, low, rows.column("own").to_numpy()
 
 
 def links(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -165,16 +163,16 @@ def links(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
     light = reps.select(F.col("id").alias("_id"), "bands", "low")
     met = pieces.join(light, F.col("id") == F.col("_id")).drop("_id")
 
-    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pick(key: tuple[int, int, int], rows: pa.Table) -> list[tuple]:
         """The rows with a likely partner here; those alone bring their sets to the second step."""
         hit: set[int] = set()
-        pdf = pdf.sort_values("id", ignore_index=True)
-        for a, rest, _ in likely(*_arrays(pdf), key[0], key[1] != key[2]):
+        for a, rest, _ in likely(*_arrays(rows), key[0], key[1] != key[2]):
             hit.add(a)
             hit.update(rest.tolist())
-        return pdf.iloc[sorted(hit)][["bucket", "id", "own", "i", "j"]]
+        ids, own = rows.column("id").to_pylist(), rows.column("own").to_pylist()
+        return [(key[0], ids[k], own[k], key[1], key[2]) for k in sorted(hit)]
 
-    need = materialise(met.groupBy("bucket", "i", "j").applyInPandas(pick, "bucket bigint, id bigint, own int, i int, j int"))
+    need = materialise(each_piece(met, pick, "bucket bigint, id bigint, own int, i int, j int"))
     slot = F.pmod(F.xxhash64(F.col("id")), F.lit(BITMAP))
     parts = need.groupBy(F.shiftright(slot, 15).cast("int").alias("part")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
     bitmap = np.zeros(BITMAP // 8, dtype=np.uint8)
@@ -198,11 +196,10 @@ def links(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
     named = named.groupBy("id", "_name").agg(F.first("set").alias("set")).join(reps.select(F.col("id").alias("_r"), "bands", "low"), F.col("id") == F.col("_r")).select(F.col("id").alias("_id"), "set", "bands", "low")
     full = need.join(named, F.col("id") == F.col("_id")).drop("_id")
 
-    def confirm(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        s = [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]]
-        pairs = [(float(g), a, int(b)) for a, rest, agree in likely(*_arrays(pdf), key[0], key[1] != key[2]) for b, g in zip(rest, agree, strict=True)]
-        forest, ids, out = Forest(len(pdf)), pdf["id"].to_numpy(), []
+    def confirm(key: tuple[int, int, int], rows: pa.Table) -> list[tuple]:
+        s = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("set").to_pylist()]
+        pairs = [(float(g), a, int(b)) for a, rest, agree in likely(*_arrays(rows), key[0], key[1] != key[2]) for b, g in zip(rest, agree, strict=True)]
+        forest, ids, out = Forest(len(s)), rows.column("id").to_pylist(), []
         for _, a, b in sorted(pairs, reverse=True):  # the likeliest first, so that most of the others are connected already
             if forest.root(a) != forest.root(b) and ids[a] != ids[b]:
                 x, y = len(s[a]), len(s[b])
@@ -210,10 +207,10 @@ def links(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
                     continue
                 both = len(np.intersect1d(s[a], s[b], assume_unique=True))
                 if DENOMINATOR * both >= NUMERATOR * (x + y - both) and forest.add(a, b):
-                    out.append((int(ids[a]), int(ids[b])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    out.append((ids[a], ids[b]))
+        return out
 
-    return full.groupBy("bucket", "i", "j").applyInPandas(confirm, "a bigint, b bigint")
+    return each_piece(full, confirm, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
