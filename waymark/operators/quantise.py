@@ -21,7 +21,7 @@ def assign_level(df: DataFrame, codebook: DataFrame, level: int) -> DataFrame:
     book = [(r["code"], r["direction"]) for r in codebook.orderBy("code").limit(4097).collect()]
     if len(book) > 4096:
         raise ValueError("a codebook has at most 4096 codes")
-    scores = F.array(*[F.struct(vector.dot(F.col("residual"), F.array(*[F.lit(float(x)) for x in v])).alias("s"), F.lit(-c).alias("k"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for c, v in book])
+    scores = F.array(*[F.struct(F.round(vector.dot(F.col("residual"), F.array(*[F.lit(float(x)) for x in v])), 9).alias("s"), F.lit(-c).alias("k"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for c, v in book])
     d = df.withColumn("_best", F.array_max(scores))
     scalar = F.greatest(F.lit(0.0), F.col("_best")["s"])
     d = d.withColumn(f"code_{level}", (-F.col("_best")["k"]).cast("int")).withColumn("_p", F.transform(F.col("_best")["v"], lambda x: x * scalar))
@@ -38,7 +38,7 @@ def assign(df: DataFrame, books: list[np.ndarray], vec: str = "vec") -> DataFram
             r, codes = x.copy(), []
             for book in books:
                 s = r @ book.T
-                c = s.argmax(1)
+                c = s.round(9).argmax(1)  # what is nearly equal, such as a residual of nothing, goes to the lower code
                 r -= np.maximum(0, s[np.arange(len(c)), c])[:, None] * book[c]
                 codes.append(c)
             yield b.assign(indices=list(np.stack(codes, 1).astype(np.int32)) if len(b) else [], reconstruction=list(x - r) if len(b) else [])

@@ -1,9 +1,9 @@
 """Queries over the test tables, each with its SQL twin."""
 
-from . import core
+from . import core, meaning, scoring
 from .core import flagship
 
-QUERIES = {**core.QUERIES}
-ORACLES = {**core.ORACLES}
+QUERIES = {**core.QUERIES, **meaning.QUERIES, **scoring.QUERIES}
+ORACLES = {**core.ORACLES, **meaning.ORACLES, **scoring.ORACLES}
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -35,9 +35,9 @@ _Y, _X = "(floor(latitude * 8000)::BIGINT + 720000)", "(floor(longitude * 8000):
 _CODE = " || ".join(f"substr('{_DIGITS}', (({v} // {cell}) % 20 + 1)::INTEGER, 1)" for cell in (160000, 8000, 400) for v in (_Y, _X))
 
 
-@query(f"WITH {CHECKINS_SQL} SELECT seq, uid, pid, category, {_CODE} AS region, t AS \"Time\", hour(time_dt)::INTEGER AS visit_hour FROM c WHERE uid % 11 <> 3")
+@query(f"WITH {CHECKINS_SQL} SELECT seq, uid, pid, category, {_CODE} AS region, t AS \"Time\", hour(time_dt)::INTEGER AS visit_hour FROM c")
 def checkins_clean(spark, sf_dir):
-    raw = checkins(spark, sf_dir).select("seq", F.when(F.col("uid") % 11 != 3, F.col("uid")).alias("original_uid"), F.col("pid").alias("original_pid"), "category", "latitude", "longitude", "timezone_offset", F.col("utc_ts"))
+    raw = checkins(spark, sf_dir).select("seq", F.col("uid").alias("original_uid"), F.col("pid").alias("original_pid"), "category", "latitude", "longitude", "timezone_offset", F.col("utc_ts"))
     return base.clean(raw).select("seq", F.col("original_uid").alias("uid"), F.col("original_pid").alias("pid"), "category", "region", "Time", "visit_hour")
 
 

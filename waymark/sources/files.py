@@ -27,10 +27,11 @@ def read_checkins(spark: SparkSession, path: str, encoding: str | None = None, p
 
     Without an encoding, UTF-8 is taken unless some line holds bytes that it can't decode; then Latin-1.
     """
+    lines = spark.read.text(path)
     if encoding is None:
-        binary = spark.read.format("text").load(path).select(F.col("value").contains("�").alias("bad"))
-        encoding = "latin1" if binary.where("bad").limit(1).count() else "utf-8"
-    lines = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").option("escape", "").schema("value string").csv(path) if encoding != "utf-8" else spark.read.text(path)
+        encoding = "latin1" if lines.where(~F.is_valid_utf8("value")).limit(1).count() else "utf-8"
+    if encoding != "utf-8":
+        lines = lines.select(F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("value"))
     parts = F.split("value", "\t")
     d = lines.where(F.length(F.trim("value")) > 0).select(parts.alias("f")).where(F.size("f") <= len(RAW_COLUMNS))
     field = lambda i, t: F.nullif(F.get("f", F.lit(i)), F.lit("")).try_cast(t)
