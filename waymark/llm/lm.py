@@ -21,13 +21,13 @@ table gives no rows; without training texts N and V are 0, every word is unknown
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +50,18 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+def pack(a: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed numbers, by byte planes: all lowest bytes first, and so on; ascending ones as differences."""
+    a = np.diff(a, prepend=a.dtype.type(0)) if ascending else np.ascontiguousarray(a)
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 3)
 
 
-def unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=_PACK[kind])
+def unpack(b: bytes, kind: str, ascending: bool = False) -> np.ndarray:
+    size = np.dtype(_PACK[kind]).itemsize
+    planes = np.frombuffer(zstandard.decompress(b), dtype=np.uint8).reshape(size, -1)
+    a = np.ascontiguousarray(planes.T).view(_PACK[kind]).ravel()
+    with np.errstate(over="ignore"):
+        return np.cumsum(a, dtype=a.dtype) if ascending else a
 
 
 def extend(history: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -171,7 +177,7 @@ def sent(block_rows: DataFrame, levels: list[int], ranges: int) -> DataFrame:
                     cuts = cut(k, ranges)
                     full = np.flatnonzero(np.diff(cuts))
                     columns = [pa.array(full, pa.int64()), pa.array(np.full(len(full), level), pa.int32()), pa.array(np.full(len(full), row["block"]), pa.int64())]
-                    columns += [pa.array([pack(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()) for x in (k, c)]
+                    columns += [pa.array([pack(x[cuts[i] : cuts[i + 1]], x is k) for i in full], pa.binary()) for x in (k, c)]
                     yield pa.RecordBatch.from_arrays(columns, ["range", "level", "block", "k", "c"])
 
     return block_rows.select("block", "ids", "ends", "train", "hashes").mapInArrow(run, "range bigint, level int, block bigint, k binary, c binary")
@@ -184,7 +190,7 @@ def summed(rows: DataFrame) -> DataFrame:
     """
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        ks, cs = [unpack(b, "uint64") for b in pdf["k"]], [unpack(b, "uint32") for b in pdf["c"]]
+        ks, cs = [unpack(b, "uint64", True) for b in pdf["k"]], [unpack(b, "uint32") for b in pdf["c"]]
         all_k, inverse = np.unique(np.concatenate(ks), return_inverse=True)
         total = np.bincount(inverse, weights=np.concatenate(cs), minlength=len(all_k)).astype(np.uint64)
         out, at = [], 0
@@ -193,7 +199,7 @@ def summed(rows: DataFrame) -> DataFrame:
             at += len(k)
             differ = np.flatnonzero(mine != c)
             if len(differ):
-                out.append((key[0], key[1], block, 0, pack(differ.astype(np.uint32)), pack(mine[differ])))
+                out.append((key[0], key[1], block, 0, pack(differ.astype(np.uint32), True), pack(mine[differ])))
         out.append((key[0], key[1], -1, int((total > 0).sum()), b"", b""))
         return pd.DataFrame(out, columns=["range", "level", "block", "distinct", "p", "s"])
 
@@ -294,7 +300,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             cuts, c = cut(k, ranges), c.astype(np.int64)
             mine = right[right["level"] == level]
             for r, p, s in zip(mine["range"], mine["p"], mine["s"], strict=True):
-                c[cuts[r] + unpack(p, "uint32").astype(np.int64)] = unpack(s, "uint64")
+                c[cuts[r] + unpack(p, "uint32", True).astype(np.int64)] = unpack(s, "uint64")
             counts.append(c[inverse])
         firsts = np.append(0, block.ends[:-1].astype(np.int64)).astype(np.int64)
         per = lambda x: np.add.reduceat(x, firsts)
