@@ -35,7 +35,7 @@ from .common import fold, materialise, small_batches, table
 
 ORDER = 2
 #: Weight of the shorter history, in observations.
-MASS = 4.0
+MASS = 128.0
 HELD_OUT = 1
 #: Bytes of text of a block, and n-gram keys that a key range is meant to have.
 BLOCK_BYTES = 4 << 20
