@@ -18,13 +18,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import draw, materialise, table
-from .components import chunk_pairs, connected
+from .components import chunk_pairs, connected, each_piece
 from .minhash import Forest
 
 COSINE = 0.9
@@ -52,7 +51,7 @@ def rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray
         return np.zeros(d), r
     mean = x.mean(0)
     centred = x - mean
-    _, _, vt = np.linalg.svd(centred, full_matrices=True)
+    vt = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # the principal directions, by d * d numbers whatever the sample
     v = centred @ vt.T
     for _ in range(rounds):
         b = np.where(v @ r >= 0, 1.0, -1.0)
@@ -106,16 +105,16 @@ def coded(reps: DataFrame, index: Index) -> DataFrame:
 
 def bucket_links(met: DataFrame, cosine: float, dimension: int) -> DataFrame:
     """From (bucket, id, own, i, j, copies, unit, keys): (id, links, other) rows; other is an edge of the forest or null."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        u = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float64).reshape(len(pdf), dimension)
-        keys = np.array(pdf["keys"].tolist(), dtype=np.int64)
-        ids, copies, own = pdf["id"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
+    def run(key: tuple[int, int, int], rows: pa.Table) -> list[tuple]:
+        n = rows.num_rows
+        u = np.frombuffer(b"".join(rows.column("unit").to_pylist()), dtype=np.float64).reshape(n, dimension)
+        keys = np.concatenate([c.flatten().to_numpy() for c in rows.column("keys").chunks]).reshape(n, -1)
+        ids, copies, own = (rows.column(c).to_numpy() for c in ("id", "copies", "own"))
         place, crossed = key[0] >> 40, key[1] != key[2]
         near = u @ u.T >= cosine - 1e-9
         near = np.triu(near, 1)
-        links, forest, edges = np.zeros(len(pdf), dtype=np.int64), Forest(len(pdf)), []
-        for a in range(len(pdf) - 1):
+        links, forest, edges = np.zeros(n, dtype=np.int64), Forest(n), []
+        for a in range(n - 1):
             rest = np.flatnonzero(near[a])
             if crossed:
                 rest = rest[own[rest] != own[a]]
@@ -127,10 +126,9 @@ def bucket_links(met: DataFrame, cosine: float, dimension: int) -> DataFrame:
                 links[rest] += copies[a]
                 edges += [(int(ids[a]), int(ids[b])) for b in rest if forest.root(a) != forest.root(int(b)) and forest.add(a, int(b))]
         some = np.flatnonzero(links)
-        rows = [(int(ids[i]), int(links[i]), None) for i in some] + [(a, 0, b) for a, b in edges]
-        return pd.DataFrame(rows, columns=["id", "links", "other"]).astype({"id": "int64", "links": "int64", "other": "Int64"})
+        return [(int(ids[i]), int(links[i]), None) for i in some] + [(a, 0, b) for a, b in edges]
 
-    return met.groupBy("bucket", "i", "j").applyInPandas(run, "id bigint, links bigint, other bigint")
+    return each_piece(met, run, "id bigint, links bigint, other bigint")
 
 
 def link(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
