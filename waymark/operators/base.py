@@ -54,8 +54,8 @@ def dictionary(df: DataFrame, column: str, mapped: str) -> DataFrame:
 def positions(df: DataFrame, coarse: Column, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
     """Adds the 1-based position in a total order without one task for all rows.
 
-    Rows are dealt over ranges of `coarse`, which the order must refine; ranges are cut by approximate quantile ranks of it,
-    each range is numbered by a window of its own, and the ranges' counts are summed up. Only the counts, one a range, meet.
+    Rows are dealt over ranges of `coarse`, which the order must refine: equal widths between its least and
+    largest value, or first characters of texts. Each range is numbered by a window of its own, and the ranges' counts are summed up. Only the counts, one a range, meet.
     """
     d = df.withColumn("_c", coarse)
     kind = dict(d.dtypes)["_c"]
@@ -63,7 +63,7 @@ def positions(df: DataFrame, coarse: Column, order: list[Column], name: str, buc
         cut = F.substring("_c", 1, 1)  # ranges of texts: by first character, which sorts like the text
     else:
         number = F.col("_c").cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col("_c").cast("double")
-        lo, hi = d.select(number.alias("_v")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")), None
+        lo = d.select(number.alias("_v")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
         d = d.crossJoin(F.broadcast(lo))  # one row
         cut = F.when(F.col("hi") > F.col("lo"), F.floor((number - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
     d = d.withColumn("_range", cut)

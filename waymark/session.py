@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "waymark", **conf: str) -> SparkSession:
@@ -47,3 +49,19 @@ def merged(base: dict, other: dict) -> dict:
     for k, v in other.items():
         out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes a frame to the shared folder (spark.checkpoint.dir, or a temporary one where that is unset) and reads it back.
+
+    What comes after has a short plan, and lost executors do not cost the work before.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="waymark-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
