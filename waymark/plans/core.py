@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts, sid
 from ..operators import base, places, ranking, semantic, sequences
+from ..session import cut
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
 
 QUERIES: dict = {}
@@ -66,7 +67,8 @@ e AS (SELECT * FROM p WHERE (train OR test) AND uid IN (SELECT uid FROM p WHERE
 
 
 def parts(spark, sf_dir) -> DataFrame:
-    return base.split(timed(spark, sf_dir), "uid", "pid", "t", "seq", 0.8)
+    """The split, written out: windows, semi-joins and adjacency all read it."""
+    return cut(base.split(timed(spark, sf_dir), "uid", "pid", "t", "seq", 0.8))
 
 
 @query(f"WITH {CHECKINS_SQL}, {_SPLIT} SELECT seq, position::BIGINT AS position, train, test FROM p")
@@ -113,8 +115,8 @@ v AS (SELECT split, uid, "end", list_slice(p, CASE WHEN n >= 50 THEN "end" - 48
     p["end" + 1] AS target, tt["end" + 1] AS target_time FROM v0)"""
 
 
-def evaluation(spark, sf_dir) -> DataFrame:
-    return sequences.eval_windows(sequences.gathered(base.eval_base(parts(spark, sf_dir), "uid"), "uid", "pid", "t", "seq"))
+def evaluation(spark, sf_dir, p: DataFrame | None = None) -> DataFrame:
+    return sequences.eval_windows(sequences.gathered(base.eval_base(parts(spark, sf_dir) if p is None else p, "uid"), "uid", "pid", "t", "seq"))
 
 
 @query(f"WITH {CHECKINS_SQL}, {_SPLIT}, {_EVAL} SELECT split, uid, \"end\", array_to_string(pids, ',') AS pids, array_to_string(times, ',') AS times, target, target_time FROM v")
@@ -161,7 +163,7 @@ _SEQTEXT = "'User_' || uid || ' visited: ' || (SELECT string_agg(tok || ' at ' |
 
 
 def indexed_test(spark, sf_dir) -> DataFrame:
-    w = evaluation(spark, sf_dir).where("split = 'test'")
+    w = cut(evaluation(spark, sf_dir).where("split = 'test'"))
     return base.positions(w, F.col("uid"), [F.col("uid")], "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
@@ -236,7 +238,7 @@ def flagship(spark, sf_dir):
     from pyspark.sql import Window
 
     popular = popular.select(F.col("pid").alias("b"), (F.row_number().over(Window.orderBy(F.col("n").desc(), "pid")) + 1000).alias("o"))  # 20 rows
-    t = evaluation(spark, sf_dir).where("split = 'test'").select("uid", "target", F.element_at("pids", -1).alias("last"))
+    t = evaluation(spark, sf_dir, p).where("split = 'test'").select("uid", "target", F.element_at("pids", -1).alias("last"))
     cand = t.join(near, F.col("last") == F.col("a")).select("uid", "target", "b", "o").unionByName(t.crossJoin(F.broadcast(popular)).select("uid", "target", "b", "o"))
     best = F.array_sort(F.collect_list(F.struct("o", "b")))
     ranked = cand.groupBy("uid", "target", "b").agg(F.min("o").alias("o")).groupBy("uid", "target").agg(F.slice(F.transform(best, lambda x: sid.place_token(x["b"])), 1, 10).alias("parsed_predictions"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, sid, text, vector
 from ..operators import ranking, sampling, semantic
+from ..session import cut
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
 from .core import query as _query
 
@@ -104,7 +105,7 @@ _NEG = ", ".join(map(_negatives, semantic.LEVELS))
 
 @query(f"WITH {_ROWS}, {_PROTO}, {_NEG} SELECT 'a' AS level, * FROM ne_a UNION ALL SELECT 'ab', * FROM ne_ab UNION ALL SELECT 'abc', * FROM ne_abc")
 def hard_negatives(spark, sf_dir):
-    p = semantic.prototypes(rows(spark, sf_dir)).cache()
+    p = cut(semantic.prototypes(rows(spark, sf_dir)))
     out = [semantic.hard_negatives(p, lv).select(F.lit(lv).alias("level"), "positive", F.array_join("negatives", " ").alias("negatives")) for lv in semantic.LEVELS]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
@@ -122,8 +123,8 @@ UNION ALL SELECT '{back}', source_abc || '::profile_to_{level}', 'Semantic profi
 UNION ALL {_record_sql('abc', 'abc_to_abc_profile', 'abc_profile_to_abc')}
 UNION ALL SELECT 'full_sid_to_abc_profile', full_sid || '::full_to_profile', 'Semantic ID: ' || full_sid, profile_json FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc""")
 def alignment_records(spark, sf_dir):
-    d = rows(spark, sf_dir).cache()
-    return semantic.records(d, semantic.prototypes(d).cache()).select("task_type", "sample_id", "input", "output")
+    d = cut(rows(spark, sf_dir))
+    return semantic.records(d, cut(semantic.prototypes(d))).select("task_type", "sample_id", "input", "output")
 
 
 @query(f"WITH {_ROWS}, d AS (SELECT DISTINCT abc FROM sr) SELECT abc, row_number() OVER (ORDER BY {_u('42-abc', 'abc')}, abc) <= greatest(1, floor(count(*) OVER () * 0.1::DOUBLE)) AS valid FROM d")
@@ -159,8 +160,8 @@ def mix_quotas(spark, sf_dir):
 
 def mixed_phase(spark, sf_dir):
     """The last phase's training mix; its rows follow the quotas, drawn with replacement."""
-    d = rows(spark, sf_dir).cache()
-    r = semantic.records(d, semantic.prototypes(d).cache()).coalesce(4).cache()  # a few thousand rows: a row or two for each prefix
+    d = cut(rows(spark, sf_dir))
+    r = cut(semantic.records(d, cut(semantic.prototypes(d))).coalesce(4))  # some rows for each prefix, read once for each family
     fam = {f: r.where(F.col("task_type") == f) for f, _ in sampling.PHASE_B2[:3]}
     fam["phase_a_replay"] = r.where(F.col("sid_level").isin("a", "ab"))
     return sampling.mixed(fam, sampling.PHASE_B2).select("family", "draw", "sample_id")
