@@ -216,7 +216,8 @@ def links(reps: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "te
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """(id, n, component) of every row of docs; component is the least id reachable, the row's own without a link."""
     signed = materialise(signatures(docs, key, text, words))
-    same = signed.where("same is not null").groupBy("same").agg(F.min("id").alias("rep")).withColumnRenamed("same", "_same")
+    # Written out, so that the joins below deal both sides anew and a group of a third of all rows can be split.
+    same = materialise(signed.where("same is not null").groupBy("same").agg(F.min("id").alias("rep")).withColumnRenamed("same", "_same"))
     member = materialise(signed.select("id", "n", "same").join(same, F.col("same") == F.col("_same"), "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
     # One signature for each representative: that of the set it stands for. An id with several sets stands for each of them.
     reps = signed.where("same is not null and id is not null").join(same, (F.col("same") == F.col("_same")) & (F.col("id") == F.col("rep"))).select("id", "bands", "low").distinct()
