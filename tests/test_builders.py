@@ -87,3 +87,43 @@ def test_trace_files(spark, tmp_path):
     files.append_traces(d, str(tmp_path / "t"))
     got = files.read_traces(spark, str(tmp_path / "t"), streaming.TRACE_SCHEMA)
     assert got.count() == 4 and got.where("file is not null and local_record_index is not null").count() == 4
+
+
+def test_report(spark):
+    from waymark.plans import report
+
+    d = spark.createDataFrame([(i, 1, i, 4, float(i % 5), 1.0, 0.5, 0.0, 2) for i in range(50)], "time_ns bigint, pid bigint, local_record_index bigint, group_size_hint bigint, total_reward double, single_line_score double, valid_count_score double, exact_ten_score double, parsed_prediction_count int")
+    page, summary = report.report(d, most=6)
+    assert summary["group_size"] == 4 and summary["steps"] == 13 and summary["trace_row_count"] == 50 and page.count("<svg") == page.count("</svg>") >= 4
+    assert report.ticks(0, 1) == [0.0, 0.5, 1.0] and report.nice(0.3) == 0.5 and report.chart("none", [], {}).endswith("</svg>")
+    assert report.default_path("a/checkpoints/d/s/r/traces") == "a/outputs/d/s/r/report.html" and report.default_path("x/t.jsonl") == "x/report.html"
+
+
+def test_replay_and_encoder_inspection(spark):
+    s = spark.createDataFrame([("a", "<a_1><b_1><c_1>"), ("b", "<a_2><b_2><c_2>")], "sample_id string, ground_truth string")
+    ans = spark.createDataFrame([("a", "<a_1><b_1><c_1>"), ("b", "none")], "sample_id string, prediction string")
+    assert builders.replay(s, ans, "a").first().reward.hit == 1.0 and builders.replay(s, ans, row_index=1).first().reward.hit == 0.0
+    bank = s.select("sample_id", F.col("ground_truth").alias("key_text"))
+    assert [(r.sample_id, r.health.nans) for r in builders.inspect_encoder(bank).collect()] == [("a", 0), ("b", 0)]
+
+
+def test_import(spark, tmp_path):
+    import pytest
+
+    from waymark.sources import imported
+
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "train.csv").write_text('Uid,Pids\n1,"[1, 2]"\n')
+    (tmp_path / "data" / "retrieval_bank_id.jsonl").write_text('{"sample_id": "x"}\n')
+    got = imported.imported(spark, str(tmp_path))
+    assert sorted(got) == ["retrieval_bank_id", "train"] and got["train"].first().Pids == "[1, 2]"
+    with pytest.raises(FileNotFoundError):
+        imported.present(spark, str(tmp_path / "none"))
+
+
+def test_column_vectors(spark):
+    from waymark.operators import embedding
+
+    d = spark.createDataFrame([("Bar",), ("Cafe",), ("Bar",), (None,), ("Park",)], "category string")
+    v = embedding.column_vectors(d, "category", components=2).collect()
+    assert sorted(r.value for r in v) == ["Bar", "Cafe", "Park"] and all(len(r.vec) == 2 for r in v)

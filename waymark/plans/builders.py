@@ -128,3 +128,23 @@ def inference(samples: DataFrame, candidates: DataFrame, kind: str, source: str
     now = prompts.current(F.col("input_text"), F.col("key_text"), F.col("target_time"))
     d = d.withColumn("prompt", prompts.prompt(prompts.body(source, now, past, cases), kind, n)).select("sample_id", "target", "prompt", "candidates")
     return generated(d, "prompt", "candidates", n, generator).withColumn("parsed_predictions", sid.predictions(F.col("prediction"), kind))
+
+
+def replay(samples: DataFrame, answers: DataFrame, sample_id: str | None = None, row_index: int | None = None) -> DataFrame:
+    """One RL sample with its answer and all parts of its reward; by id, or by its place in id order."""
+    from ..functions import reward
+
+    if sample_id is None:
+        one = base.positions(samples, F.col("sample_id"), [F.col("sample_id")], "_k").where(F.col("_k") == (row_index or 0) + 1).drop("_k")
+    else:
+        one = samples.where(F.col("sample_id") == sample_id)
+    d = one.join(answers.select("sample_id", "prediction"), "sample_id")
+    return d.withColumn("reward", reward.parts(F.col("prediction"), F.col("ground_truth")))
+
+
+def inspect_encoder(bank_rows: DataFrame, n: int = 2, encoder: TextEncoder | None = None) -> DataFrame:
+    """Health of the vectors of the first few texts of a bank; the limit is what is asked for."""
+    from ..functions import vector
+
+    few = encoded(bank_rows.select("sample_id", "key_text").orderBy("sample_id").limit(n), "key_text", encoder)
+    return few.select("sample_id", vector.health(F.col("vec")).alias("health"), vector.norm(F.col("vec")).alias("norm"))

@@ -249,3 +249,29 @@ def trained_codes(spark, sf_dir):
 
 
 QUERIES["trained_codes"] = trained_codes
+
+
+@query(f"WITH {CHECKINS_SQL}, h AS (SELECT pid, hour(time_dt)::DOUBLE AS h, count(*)::DOUBLE AS n FROM c GROUP BY 1, 2), f AS (SELECT pid, {_WAVES} FROM h GROUP BY pid), cv AS (SELECT 'cat' || vec_id AS value, embedding FROM embeddings WHERE vec_id < 5), pl AS (SELECT DISTINCT pid, category, latitude, longitude FROM c) SELECT pid, 79::INTEGER AS length, round(coalesce(embedding[1]::DOUBLE, 0), 6) AS c1, round(coalesce(embedding[64]::DOUBLE, 0), 6) AS c64, round(sin(radians(latitude)), 8) AS z, sin1, cos6 FROM pl JOIN f USING (pid) LEFT JOIN cv ON cv.value = category")
+def place_vectors(spark, sf_dir):
+    """Vectors of 64 + 3 + 12 numbers; categories 5 and 6 have no vector of their own and get zeros."""
+    from ..operators import embedding
+    from ..operators.places import hour_histogram
+
+    cats = table(spark, sf_dir, "embeddings").where("vec_id < 5").select(F.concat(F.lit("cat"), F.col("vec_id").cast("string")).alias("value"), F.col("embedding").cast("array<double>").alias("vec"))
+    p = places(spark, sf_dir).join(hour_histogram(checkins(spark, sf_dir).withColumn("hour", F.hour("time_dt")), "pid", "hour"), "pid")
+    v = embedding.place_vectors(p, cats, 64)
+    at = lambda i, n, d=6: F.round(F.col("vec")[i], d).alias(n)
+    return v.select("pid", F.size("vec").alias("length"), at(0, "c1"), at(63, "c64"), at(66, "z", 8), at(67, "sin1", 8), at(78, "cos6", 8))
+
+
+@query(f"WITH {CHECKINS_SQL}, m AS (SELECT DISTINCT pid, pid % 3 > 0 AS has FROM c), g AS (SELECT pid, count(DISTINCT uid)::BIGINT AS unique_user_count, count(*)::BIGINT AS visit_count, string_agg(DISTINCT hour(utc_ts)::VARCHAR, ',') AS x FROM c WHERE pid % 3 > 0 GROUP BY pid), hh AS (SELECT pid, string_agg(h || ':' || n, ',' ORDER BY h) AS histogram FROM (SELECT pid, hour(utc_ts) AS h, count(*) AS n FROM c WHERE pid % 3 > 0 GROUP BY 1, 2) GROUP BY pid) SELECT m.pid AS \"Pid\", CASE WHEN has THEN 'cat' || (m.pid % 7) ELSE 'old' || m.pid END AS category, coalesce(unique_user_count, 0)::BIGINT AS unique_user_count, coalesce(visit_count, 0)::BIGINT AS visit_count, coalesce(histogram, '') AS histogram FROM m LEFT JOIN g USING (pid) LEFT JOIN hh USING (pid)")
+def import_enrichment(spark, sf_dir):
+    """Place information joined with the check-ins of mapped places; the mapping leaves every third place out."""
+    from ..sources.imported import enriched
+
+    c = checkins(spark, sf_dir)
+    raw = c.select(F.col("uid").alias("original_uid"), F.concat(F.lit("p"), F.col("pid").cast("string")).alias("Original_Pid"), "category", "category_id", "latitude", "longitude", "utc_ts")
+    mapping = c.select("pid").distinct().where("pid % 3 > 0").select(F.concat(F.lit("p"), F.col("pid").cast("string")).alias("Original_Pid"), F.col("pid").alias("Mapped_Pid"))
+    info = c.select(F.col("pid").alias("Pid")).distinct().withColumns({"Catname": F.concat(F.lit("old"), F.col("Pid").cast("string")), "Region": F.lit(7)})
+    hist = F.array_join(F.transform(F.map_entries("visit_time_and_count"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return enriched(info, raw, mapping).select("Pid", "category", F.coalesce("unique_user_count", F.lit(0)).alias("unique_user_count"), F.coalesce("visit_count", F.lit(0)).alias("visit_count"), hist.alias("histogram"))
