@@ -60,7 +60,7 @@ def positions(df: DataFrame, coarse: Column, order: list[Column], name: str, buc
     d = df.withColumn("_c", coarse)
     kind = dict(d.dtypes)["_c"]
     if kind == "string":
-        cut = F.substring("_c", 1, 1)  # ranges of texts: by first character, which sorts like the text
+        cut = F.substring("_c", 1, 3)  # ranges of texts: by their first characters, which sort like the texts
     else:
         number = F.col("_c").cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col("_c").cast("double")
         lo = d.select(number.alias("_v")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
@@ -71,7 +71,8 @@ def positions(df: DataFrame, coarse: Column, order: list[Column], name: str, buc
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(upto), F.lit(0))).select(F.col("_range").alias("_r"), "_first")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = d.withColumn("_own", own).join(F.broadcast(firsts), F.col("_range").eqNullSafe(F.col("_r")))  # at most buckets + 1 rows, or one a character
+    firsts = firsts if kind == "string" else F.broadcast(firsts)  # at most buckets + 1 rows; beginnings of texts have no such bound
+    out = d.withColumn("_own", own).join(firsts, F.col("_range").eqNullSafe(F.col("_r")))
     return out.withColumn(name, (F.col("_first") + F.col("_own")).cast("bigint")).drop("_c", "lo", "hi", "_range", "_r", "_first", "_own")
 
 
