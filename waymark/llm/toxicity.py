@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, small_batches, table
+from .common import fold, materialise, small_batches, table
 from .labelled import learnable, sample_ids, texts_of
 
 #: Confirmed positives and unlabelled rows that are learned from, at most.
@@ -112,7 +112,7 @@ def choose(sums: DataFrame, n_pos: int, n_unl: int, most: int = GRAMS) -> np.nda
 
 
 def dense_rows(texts: DataFrame, chosen: np.ndarray, text: str = "text") -> DataFrame:
-    """(kind, x): a byte for each chosen gram."""
+    """(kind, key, x): a byte for each chosen gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -123,21 +123,22 @@ def dense_rows(texts: DataFrame, chosen: np.ndarray, text: str = "text") -> Data
                 ok[ok] = chosen[at[ok]] == r[ok]
                 x[at[ok]] = n[ok]
                 out.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["kind", "key", "x"])
 
-    return texts.select("kind", text).mapInArrow(run, "kind int, x binary")
+    return texts.select("kind", text, "key").mapInArrow(run, "kind int, key bigint, x binary")
 
 
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.01, decay: float = 3e-3, beta: float = 0.0, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model, by Adam on mini-batches of the corrected risk."""
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(pos.shape[1] + 1), -1.0
+    pos, unl = pos.astype(np.float32), unl.astype(np.float32)
+    w, b = np.zeros(pos.shape[1] + 1, dtype=np.float32), -1.0
     w[-1] = b
     m, v = np.zeros_like(w), np.zeros_like(w)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
-        p = pos[rng.integers(0, len(pos), min(256, len(pos)))].astype(np.float64)
-        u = unl[rng.integers(0, len(unl), min(512, len(unl)))].astype(np.float64)
+        p = pos[rng.integers(0, len(pos), min(256, len(pos)))]
+        u = unl[rng.integers(0, len(unl), min(512, len(unl)))]
         gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
         # The logistic loss l(z) = log(1 + exp(-z)): l'(g) = -sig(-g) for a positive, sig(g) for a negative.
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
@@ -146,11 +147,12 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate
             dp, du = -prior * sig(-gp) / len(gp) + d_neg_p, d_neg_u
         else:
             dp, du = -d_neg_p, -d_neg_u
-        grad = np.append(p.T @ dp + u.T @ du, dp.sum() + du.sum())
+        dp, du = dp.astype(np.float32), du.astype(np.float32)
+        grad = np.append(dp @ p + du @ u, dp.sum() + du.sum())
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, held_out: int = HELD_OUT) -> Model:
@@ -163,9 +165,10 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = counts[1] / sum(counts.values())
     pos = sample_ids(known.where("toxic = 1"), positives, SEED)
     unl = sample_ids(docs.where((fold() != held_out) & F.col("doc_id").isNotNull()), unlabelled, SEED)
-    texts = texts_of(docs, {1: pos, 0: unl})
+    # The sample is bounded; written out and dealt evenly, the documents are scanned once for both passes over it.
+    texts = materialise(texts_of(docs, {1: pos, 0: unl}).repartition(docs.sparkSession.sparkContext.defaultParallelism, "key"))
     chosen = choose(gram_sums(texts), len(pos), len(unl))
-    rows = dense_rows(texts, chosen).collect()
+    rows = sorted(dense_rows(texts, chosen).collect(), key=lambda r: (r["key"], bytes(r["x"])))
     x = [np.frombuffer(b"".join(r["x"] for r in rows if r["kind"] == k), dtype=np.uint8).reshape(-1, max(1, len(chosen))) for k in (0, 1)]
     if not len(x[0]) or not len(x[1]):
         return none
