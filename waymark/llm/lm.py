@@ -38,7 +38,7 @@ ORDER = 2
 MASS = 128.0
 HELD_OUT = 1
 #: Bytes of text of a block, and n-gram keys that a key range is meant to have.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 RANGE_KEYS = 1 << 19
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
