@@ -144,6 +144,32 @@ def test_embedding_recall_on_the_tables(spark):
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+@pytest.mark.parametrize("n", [20_000, 1_000_000])
+@pytest.mark.parametrize("common", [0.0, 0.75])
+def test_near_vectors_meet_whatever_their_mean(common, n):
+    rng = np.random.default_rng(5)
+    unit = lambda a: a / np.sqrt((a * a).sum(-1, keepdims=True))
+    mean = unit(rng.standard_normal(64)) * common**0.5
+    own = unit(rng.standard_normal((1500, 64)))
+    # Pairs near cosine 0.91 in every case; with a common mean their own parts are further apart.
+    mate = unit(own + unit(rng.standard_normal(own.shape)) * (0.46 if common == 0 else 1.2))
+    x, y = unit(mean + own * (1 - common) ** 0.5), unit(mean + mate * (1 - common) ** 0.5)
+    near = (x * y).sum(1)
+    near = (near >= 0.9) & (near < 0.93)
+    assert near.sum() >= 300
+    index = itq.Index(np.concatenate([x[~near], y[~near], x[near]]), 64, n)
+    assert (index.keys(x[near]) == index.keys(y[near])).any(1).mean() >= 0.99
+
+
+def test_vectors_close_to_their_mean_are_all_compared():
+    rng = np.random.default_rng(6)
+    x = np.eye(64)[0] + rng.standard_normal((500, 64)) * 0.02
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    index = itq.Index(x, 64, 100_000)
+    keys = index.keys(x)
+    assert all((keys == k).any(1).all() for k in keys)
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     extra = spark.createDataFrame([(9000, None, "en", None, None), (9001, "", "en", "s", 0), (None, "plain words in a row for once.", "en", "s", 5), (9002, "Mail a.b@mail1.example.com now, says the man in the house.", "en", "s", 1)], d.schema)

@@ -3,7 +3,9 @@
 Rotations are learned by ITQ on a bounded sample: PCA, then alternating signs and Procrustes rotations, so that the bits are
 balanced and lose little. Codes are cut into tables of `bits` bits; two vectors that agree in a table's bits meet in a bucket of
 it. With n distinct vectors a table has about log2(n / BUCKET) bits, and there are as many tables as bring two vectors at the
-threshold together with probability TARGET, by as many rotations as that takes. In a bucket all pairs not met in an earlier table
+threshold together with probability TARGET, by as many rotations as that takes. Bits are of vectors less their mean, between which
+angles are wider, so tables are counted and then tried on pairs of the sample and pairs built at the threshold; where they would be
+more than comparing all vectors with each other is worth, one table of no bits has them all. In a bucket all pairs not met in an earlier table
 are compared in double precision. Equal vectors are one representative, with its number of copies. Pairs never become rows: a
 bucket gives each vector's number of links and the edges of a spanning forest; large buckets are split into pairs of chunks.
 
@@ -32,6 +34,9 @@ TARGET = 0.998
 BUCKET = 256
 SAMPLE = 8192
 ROUNDS = 30
+#: Pairs that tables are tried on, of each kind; those of the sample are at most NEAR above the threshold.
+TRIED = 2048
+NEAR = 0.03
 SEED = "itq-1"
 
 
@@ -60,19 +65,109 @@ def rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> tuple[np.ndarray
     return mean, vt.T @ r
 
 
+def near_pairs(x: np.ndarray, cosine: float = COSINE, most: int = TRIED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (u, v) by kind: built from the sample with exactly this cosine, and those of the sample at it or little above.
+
+    A built v is as far from the sample's mean as u where that can be, and else as near to it; the rest of its way from u is along
+    the difference of two vectors of the sample. u . v and both distances give the angle between u - mean and v - mean.
+    """
+    if len(x) < 2 or x.shape[1] < 2:
+        return []
+    rng = np.random.default_rng(1)
+    mean, side = x.mean(0), math.sqrt(1 - cosine * cosine)
+    u = x[rng.integers(0, len(x), most)]
+    s = u @ mean
+    away = mean - s[:, None] * u
+    h = np.sqrt((away * away).sum(1))
+    some = h > 1e-9
+    away = np.where(some[:, None], away / np.maximum(h, 1e-9)[:, None], 0.0)
+    w = x[rng.integers(0, len(x), most)] - x[rng.integers(0, len(x), most)]
+    w = np.where((np.abs(w).max(1) > 1e-9)[:, None], w, rng.standard_normal(w.shape))
+    for base in (u, away):
+        w = w - (w * base).sum(1)[:, None] * base
+    w /= np.maximum(np.sqrt((w * w).sum(1)), 1e-12)[:, None]
+    up = np.where(some, np.clip((1 - cosine) * s / np.maximum(h, 1e-9), -side, side), 0.0)
+    v = cosine * u + up[:, None] * away + np.sqrt(np.maximum(0, side * side - up * up))[:, None] * w
+    found = [(u, v / np.sqrt((v * v).sum(1, keepdims=True)))]
+    left, right = [], []
+    for at in range(0, len(x), 1024):
+        near = x[at : at + 1024] @ x[at:].T
+        i, j = np.nonzero((near >= cosine) & (near < cosine + NEAR) & (np.arange(len(near))[:, None] < np.arange(near.shape[1])))
+        few = rng.permutation(len(i))[:most]
+        left.append(at + i[few])
+        right.append(at + j[few])
+    i, j = np.concatenate(left), np.concatenate(right)
+    few = rng.permutation(len(i))[:most]
+    return [*found, (x[i[few]], x[j[few]])] if len(i) else found
+
+
+def fitted(pairs: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray, n: int, cosine: float, target: float) -> tuple[int, int]:
+    """(bits, tables) as plan() has them, or fewer bits and more tables where the angles of the pairs less the mean ask for it.
+
+    A vector's row in a table costs as much as BUCKET comparisons; of the numbers of bits the cheapest is taken. (0, 1): all pairs.
+    """
+    bits, tables = plan(n, cosine, target)
+    most = limit(n)
+    agree = []
+    for u, v in pairs:
+        a, b = u - mean, v - mean
+        c = (a * b).sum(1) / np.maximum(np.sqrt((a * a).sum(1) * (b * b).sum(1)), 1e-12)
+        agree.append(1 - np.arccos(np.clip(c, -1, 1)) / math.pi)
+    best = None
+    for k in range(4, bits + 1):
+        met = [p**k for p in agree]
+        enough = lambda t, met=met: all((1 - (1 - q) ** t).mean() >= target for q in met)
+        low, high = 0, most
+        if not enough(most):
+            continue
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if enough(mid) else (mid, high)
+        own = max(high, tables) if k == bits else high
+        cost = own * (BUCKET + n / 2**k)
+        if best is None or cost <= best[0]:
+            best = cost, k, own
+    return best[1:] if best else (0, 1)
+
+
+def limit(n: int) -> int:
+    """Tables beyond which comparing all pairs is no more work."""
+    return max(64, n // BUCKET)
+
+
 class Index:
     """Rotations and the cut into tables."""
 
     def __init__(self, sample: np.ndarray, dimension: int, n: int, cosine: float = COSINE, target: float = TARGET):
+        self.dimension, self.cosine, self.rotations = dimension, cosine, []
         self.bits, self.tables = plan(n, cosine, target)
-        self.dimension, self.cosine = dimension, cosine
-        self.rotations = [rotation(sample, s) for s in range(-(-self.bits * self.tables // dimension))] if dimension else []
+        pairs = near_pairs(sample, cosine) if dimension else []
+        if pairs:
+            self.bits, self.tables = fitted(pairs, sample.mean(0), n, cosine, target)
+        self.rotate(sample)
+        while self.bits and pairs and not all(self.found(u, v) >= math.floor(target * len(u)) for u, v in pairs):
+            self.tables += max(1, self.tables // 8)
+            if self.tables > limit(n):
+                self.bits, self.tables = 0, 1
+            self.rotate(sample)
+
+    def rotate(self, sample: np.ndarray) -> None:
+        """As many rotations as the tables take."""
+        need = -(-self.bits * self.tables // self.dimension) if self.dimension else 0
+        self.rotations = self.rotations[:need] + [rotation(sample, s) for s in range(len(self.rotations), need)]
+
+    def found(self, u: np.ndarray, v: np.ndarray) -> int:
+        """How many of the pairs meet in a table."""
+        return int((self.keys(u) == self.keys(v)).any(1).sum())
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """A number for each table; the table's number is part of it."""
-        code = np.concatenate([(unit - m) @ r > 0 for m, r in self.rotations], axis=1)[:, : self.bits * self.tables]
-        cut = code.reshape(len(unit), self.tables, self.bits)
-        return (cut @ (1 << np.arange(self.bits, dtype=np.int64))) + (np.arange(self.tables, dtype=np.int64) << 40)
+        out = np.tile(np.arange(self.tables, dtype=np.int64) << 40, (len(unit), 1))
+        for at in range(0, len(unit) if self.bits else 0, 256):  # few rows at a time: a row has bits x tables numbers
+            code = np.concatenate([(unit[at : at + 256] - m) @ r > 0 for m, r in self.rotations], axis=1)[:, : self.bits * self.tables]
+            cut = code.reshape(len(code), self.tables, self.bits)
+            out[at : at + 256] += cut @ (1 << np.arange(self.bits, dtype=np.int64))
+        return out
 
 
 def units(vectors: list, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
