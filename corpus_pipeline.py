@@ -17,19 +17,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least doc_id; rows that repeat a doc_id go too.
+    """One document of each near-duplicate group stays, that of the least doc_id; rows that repeat a doc_id and its text go too.
 
-    Rows without a doc_id stay, one for each text.
+    Rows that share a doc_id but have different texts are different documents; rows without a doc_id come after all others.
     """
     small_batches(spark)
-    found = minhash.near_duplicates(docs)
-    gone = found.where("id <> component").select(F.col("id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count()
     nameless = docs.where("doc_id is null").limit(1).count()
-    if repeated or nameless:  # the same rows either way; without repeats this saves carrying the texts through an aggregate
-        left = left.withColumn("_t", F.when(F.col("doc_id").isNull(), F.md5("text"))).dropDuplicates(["doc_id", "_t"])
-    return left.select(*docs.columns)
+    names, key = docs.columns, "doc_id"
+    if repeated or nameless:  # doc_ids don't name documents, so numbers in the order of (doc_id, text) do; else this carries no texts
+        one = docs.withColumn("_t", F.md5("text")).dropDuplicates(["doc_id", "_t"])
+        docs, key = materialise(one.orderBy(F.col("doc_id").cast("bigint").asc_nulls_last(), "_t").withColumn("_key", F.monotonically_increasing_id())), "_key"
+    found = minhash.near_duplicates(docs, key)
+    gone = found.where("id <> component").select(F.col("id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(key).cast("bigint") == F.col("_gone"), "left_anti").select(*names)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

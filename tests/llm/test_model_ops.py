@@ -194,6 +194,13 @@ def test_pipeline(spark):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_pipeline_keeps_each_text_of_repeated_and_null_ids_once(spark):
+    rows = [(7, "a b c d e"), (7, "v w x y z"), (7, "a b c d e"), (9, "v w x y z"), (None, "a b c d e"), (None, "alone in here now"), (None, "alone in here now"), (None, None), (3, "V w x y z"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id or -1, r.text or "") for r in corpus_pipeline.deduplicate(spark, d, SMALL).collect())
+    assert got == [(-1, ""), (-1, "alone in here now"), (3, "V w x y z"), (7, "a b c d e"), (8, "")]
+
+
 def test_pipeline_stages_on_an_empty_table(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
