@@ -144,6 +144,13 @@ def test_embedding_recall_on_the_tables(spark):
     assert all(got[i] <= n for i, n in want.items()) and sum(got.values()) >= 0.9 * sum(want.values())
 
 
+def test_embedding_links_of_each_length(spark):
+    rows = [(i, [1.0, i / 100, 0.0]) for i in range(5)] + [(10, [1.0, 1.0]), (11, [1.0, 1.1]), (12, [-1.0, 0.0]), (20, [3.0]), (21, [5.0]), (30, [1.0] * 7)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {r.id: (r.n_links, r.component) for r in itq.link(d).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (1, 20), 21: (1, 20), 30: (0, 30)}
+
+
 @pytest.mark.parametrize("n", [20_000, 1_000_000])
 @pytest.mark.parametrize("common", [0.0, 0.75])
 def test_near_vectors_meet_whatever_their_mean(common, n):

@@ -9,8 +9,8 @@ more than comparing all vectors with each other is worth, one table of no bits h
 are compared in double precision. Equal vectors are one representative, with its number of copies. Pairs never become rows: a
 bucket gives each vector's number of links and the edges of a spanning forest; large buckets are split into pairs of chunks.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and those of another length than the most
-common one in the sample, link with nothing but equal valid ones; null vec_id rows have no component; rows that repeat a vec_id
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; those of each length have
+an index of their own; null vec_id rows have no component; rows that repeat a vec_id
 count as copies; an empty table gives an empty result.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -236,14 +237,16 @@ def link(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine
     src = src.where("same is not null")
     groups = src.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     reps = materialise(groups.where("id is not null"))
-    picked = [r[0] for r in reps.orderBy(draw(SEED, F.col("id")), "id").limit(sample).select("v").collect()]
-    sizes = [len(v) for v in picked]
-    dimension = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
-    index = Index(units(picked, dimension)[1], dimension, reps.count(), cosine, target)
-    made = materialise(coded(reps, index))
-    pieces = chunk_pairs(made.select("id", F.explode("keys").alias("bucket")).select("bucket", "id"))
-    met = pieces.join(made.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-    out = materialise(bucket_links(met, cosine, dimension))
+    # An index for each length that two vectors or more have; vectors of other lengths have no cosine.
+    outs = []
+    for dimension, n in sorted(tuple(r) for r in reps.groupBy(F.size("v").alias("d")).count().where("count > 1").collect()):
+        own = reps.where(F.size("v") == dimension)
+        picked = [r[0] for r in own.orderBy(draw(SEED, F.col("id")), "id").limit(sample).select("v").collect()]
+        made = materialise(coded(own, Index(units(picked, dimension)[1], dimension, n, cosine, target)))
+        pieces = chunk_pairs(made.select("id", F.explode("keys").alias("bucket")).select("bucket", "id"))
+        met = pieces.join(made.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
+        outs.append(materialise(bucket_links(met, cosine, dimension)))
+    out = reduce(DataFrame.unionByName, outs) if outs else rows.sparkSession.createDataFrame([], "id bigint, links bigint, other bigint")
     counts = out.where("links > 0").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_c")
     found = connected(out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     each = reps.select("same", F.col("id").alias("rep"), "copies")
