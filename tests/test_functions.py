@@ -74,3 +74,23 @@ def test_prompts(spark):
     got = one(spark, both, prompts.prompt(F.lit("x"), "sid", 1), prompts.prompt(F.lit("x"), "id"))
     assert got[0] == "Historical trajectory:\nNo historical trajectory is available.\n\nRetrieved similar cases:\nNo retrieved case is available.\n\nk\nPrediction time: t"
     assert "Output format" not in got[1] and got[2].endswith("7. Start the reply immediately with the first POI ID.")
+
+
+def test_literals(spark):
+    rows = [("[np.int64(1), numpy.int64(-2), 3]", [1, -2, 3]), ("(4, 5)", [4, 5]), ("[]", []), (None, [])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [list(r.x) for r in d.select("i", text.literal_list(F.col("t"), "bigint").alias("x")).orderBy("i").collect()] == [x for _, x in rows]
+    rows = [('["O\'Brien", \'x\']', ["O'Brien", "x"]), ("['say \\\"hi\\\"', 'a, b', 'it\\'s']", ['say "hi"', "a, b", "it's"]), ("['[x]']", ["[x]"]), ("[None, 'a']", [None, "a"]), ('["tab\tin"]', ["tab\tin"])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [list(r.x) for r in d.select("i", text.literal_list(F.col("t")).alias("x")).orderBy("i").collect()] == [x for _, x in rows]
+    for junk in ("[1, 2", "nothing", "['a' 'b']", "[1], [2]"):
+        with pytest.raises(Exception, match="not a list literal"):
+            spark.createDataFrame([(junk,)], "t string").select(text.literal_list(F.col("t"))).collect()
+
+
+def test_time_literals_and_completions(spark):
+    rows = [("{8: 2, '9': np.int64(3)}", {8: 2, 9: 3}), ("[(8, 2), (10, 1)]", {8: 2, 10: 1}), ("{8: 1, 8: 5}", {8: 5}), ("{}", {}), ("junk", {}), ("", {}), (None, {})]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [r.x for r in d.select("i", text.time_literal(F.col("t")).alias("x")).orderBy("i").collect()] == [x for _, x in rows]
+    one = spark.range(1).select(text.completion(F.lit(" do \n"), F.lit("this"), F.lit(" that ")).alias("x")).first().x
+    assert one == "### Instruction:\ndo\n\n### Input:\nthis\n\n### Response:\nthat<|eot_id|>"

@@ -24,14 +24,49 @@ def region_is_int(c: Column) -> Column:
 
 
 def clean_literal(c: Column) -> Column:
-    """np.int64(5) to 5."""
-    return F.regexp_replace(c, r"np\.int64\((-?\d+)\)", "$1")
+    """np.int64(5) and numpy.int64(5) to 5."""
+    return F.regexp_replace(c, r"\b(?:np|numpy)\.int64\((-?\d+)\)", "$1")
+
+
+# Strings of a list literal, in single or double quotes with escapes, or anything up to the next comma or end.
+_SINGLE, _DOUBLE, _BARE = r"'(?:[^'\\]|\\.)*'", r'"(?:[^"\\]|\\.)*"', r"[^\s,'\"\[\]()]+"
+_ITEM = f"{_SINGLE}|{_DOUBLE}|{_BARE}"
+_LIST = rf"(?s)^\s*[\[(]\s*(?:(?:{_ITEM})\s*(?:,\s*(?:{_ITEM})\s*)*,?\s*)?[\])]\s*$"
 
 
 def literal_list(c: Column, kind: str = "string") -> Column:
-    """A list literal to an array; null and junk to an empty one."""
-    found = F.from_json(F.regexp_replace(clean_literal(c), "'", '"'), f"array<{kind}>")
-    return F.coalesce(found, F.array().cast(f"array<{kind}>"))
+    """A list literal to an array: quotes are read by state, so an apostrophe in double quotes stays; null gives an empty array.
+
+    Junk, and items that are no `kind`, are errors, as rows would be lost silently.
+    """
+    t = clean_literal(c)
+    items = F.regexp_extract_all(t, F.lit(f"({_ITEM})"), F.lit(1))
+    quoted = lambda x: x.rlike("^['\"]")
+    inner = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"(?s)\\(['\"\\])", "$1")
+    plain = F.transform(items, lambda x: F.when(quoted(x), inner(x)).when(x == "None", F.lit(None).cast("string")).otherwise(x))
+    bad = F.raise_error(F.concat(F.lit("not a list literal: "), t))
+    return F.when(c.isNull(), F.array().cast(f"array<{kind}>")).when(t.rlike(_LIST), plain.cast(f"array<{kind}>")).otherwise(bad)
+
+
+def time_literal(c: Column) -> Column:
+    """A literal of hours and counts, as a mapping {8: 2} or pairs [(8, 2)], to map<int,bigint>; junk and null to an empty one."""
+    t = clean_literal(c)
+    number = r"['\"]?(\d+)['\"]?"
+    pair = rf"(?:{number}\s*:\s*{number}|[\[(]\s*{number}\s*,\s*{number}\s*[\])])"
+    form = rf"(?s)^\s*[\{{\[(]\s*(?:{pair}\s*,?\s*)*[\}}\])]\s*$"
+    each = F.regexp_extract_all(t, F.lit(rf"({number}\s*[:,]\s*{number})"), F.lit(1))
+    digits = lambda x, k: F.element_at(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), k)
+    entries = F.transform(each, lambda x: F.struct(digits(x, 1).cast("int").alias("k"), digits(x, 2).cast("bigint").alias("v")))
+    # A key that comes twice keeps its last count, as in a mapping literal.
+    lasting = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["k"] == e["k"]))
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
+    return F.coalesce(F.when(t.rlike(form), F.map_from_entries(lasting)), empty)
+
+
+def completion(instruction: Column, body: Column, output: Column, end: str = "<|eot_id|>") -> Column:
+    """The training text of a supervised row, each part trimmed, with the end mark."""
+    part = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit("")), F.lit(" \t\n\r\f\x0b"))
+    return F.concat(F.lit("### Instruction:\n"), part(instruction), F.lit("\n\n### Input:\n"), part(body), F.lit("\n\n### Response:\n"), part(output), F.lit(end))
 
 
 def sequence(uid: Column, tokens: Column, times: Column) -> Column:

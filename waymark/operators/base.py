@@ -96,5 +96,5 @@ def split(df: DataFrame, user: str, poi: str, time: str, tie: str, ratio: float)
 
 
 def eval_base(parts: DataFrame, user: str) -> DataFrame:
-    """All events of the users with test rows, from either period."""
-    return parts.where("train or test").join(parts.where("test").select(user).distinct(), user, "left_semi")
+    """All events of the users with test rows, from either period, also those at places that training has not seen."""
+    return parts.join(parts.where("test").select(user).distinct(), user, "left_semi")

@@ -75,16 +75,25 @@ def accuracy(predictions: DataFrame, kind: str = "sid") -> DataFrame:
 
 
 def profile_eval(d: DataFrame) -> DataFrame:
-    """One row of rates from (prediction, output): valid profiles, and each field and all fields right; regions compare as text."""
+    """One row of rates from (prediction, output): valid profiles, and each field and all fields right; regions compare as text.
+
+    dominant_category_share and dominant_region_share: the rows with the most frequent predicted value, of all rows. Profiles are
+    told apart by their canonical JSON, so white space of an answer does not count.
+    """
     get = lambda c, f: F.get_json_object(c, f"$.{f}")
-    ok = profile.valid(F.col("prediction"), "abc")
-    right = {f: (ok & F.coalesce(get("prediction", f) == get("output", f), F.lit(False))).cast("double") for f in profile.FIELDS["abc"]}
-    n = F.count(F.lit(1))
-    rates = [F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{f}_rate") for f, c in right.items()]
-    joint = F.coalesce(F.avg(right["category"] * right["region"] * right["geo_bucket"]), F.lit(0.0)).alias("joint_rate")
-    one = d.agg(n.alias("num_samples"), F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("valid_rate"), *rates, joint, F.countDistinct(F.when(ok, F.col("prediction"))).alias("unique_profiles"))
-    top = d.where(ok).groupBy("prediction").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("_m"))
-    return one.crossJoin(top).withColumn("dominant_share", F.coalesce(F.try_divide(F.col("_m").cast("double"), F.col("num_samples")), F.lit(0.0))).drop("_m")
+    d = d.withColumn("_ok", profile.valid(F.col("prediction"), "abc"))
+    d = d.withColumns({f"_p_{f}": F.when(F.col("_ok"), get("prediction", f)) for f in profile.FIELDS["abc"]})
+    right = {f: F.coalesce(F.col(f"_p_{f}") == get("output", f), F.lit(False)).cast("double") for f in profile.FIELDS["abc"]}
+    rate = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    rates = [rate(c).alias(f"{f}_rate") for f, c in right.items()]
+    # The canonical form keeps the difference between a region that is a number and one that is its text.
+    kind = F.regexp_extract("prediction", r'"region"\s*:\s*(")?', 1)
+    whole = F.when(F.col("_ok"), F.struct("_p_category", "_p_region", "_p_geo_bucket", kind))
+    one = d.agg(F.count(F.lit(1)).alias("num_samples"), rate(F.col("_ok").cast("double")).alias("valid_rate"), *rates, rate(right["category"] * right["region"] * right["geo_bucket"]).alias("joint_rate"), F.countDistinct(whole).alias("unique_profiles"))
+    for f in ("category", "region"):
+        most = d.where("_ok").groupBy(f"_p_{f}").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("_m"))
+        one = one.crossJoin(most).withColumn(f"dominant_{f}_share", F.coalesce(F.try_divide(F.col("_m").cast("double"), F.col("num_samples")), F.lit(0.0))).drop("_m")  # one row each
+    return one
 
 
 def prefix_eval(d: DataFrame, level: str) -> DataFrame:

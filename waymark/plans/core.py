@@ -63,7 +63,7 @@ def dictionary_encoding(spark, sf_dir):
 _SPLIT = r"""p0 AS (SELECT c.*, row_number() OVER (ORDER BY t, seq) AS position, count(*) OVER () AS total FROM c),
 p1 AS (SELECT *, position <= floor(total * 0.8::DOUBLE) AS train FROM p0),
 p AS (SELECT *, NOT train AND uid IN (SELECT uid FROM p1 WHERE train) AND pid IN (SELECT pid FROM p1 WHERE train) AS test FROM p1),
-e AS (SELECT * FROM p WHERE (train OR test) AND uid IN (SELECT uid FROM p WHERE test))"""
+e AS (SELECT * FROM p WHERE uid IN (SELECT uid FROM p WHERE test))"""
 
 
 def parts(spark, sf_dir) -> DataFrame:

@@ -101,15 +101,20 @@ def markdown_summary(spark, sf_dir):
     return files.summary_lines(ranking.accuracy(d).withColumn("run", F.lit("demo")))
 
 
-_PE = f"""WITH {_ROWS}, {_PROTO}, x AS (SELECT full_sid, sr.pid, pr.profile_json AS output, CASE WHEN sr.pid % 3 = 0 THEN 'junk' WHEN sr.pid % 3 = 1 THEN pr.profile_json ELSE '{{"category":"' || pr.category || '","region":"99","geo_bucket":"' || pr.geo_bucket || '"}}' END AS prediction, pr.region FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc)"""
+_PE = f"""WITH {_ROWS}, {_PROTO}, x0 AS (SELECT full_sid, sr.pid, pr.profile_json AS output, sr.pid % 4 AS k, pr.category AS oc, pr.region AS ore, pr.geo_bucket AS og, CASE WHEN sr.pid % 4 = 2 THEN '99' ELSE pr.region END AS pre FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc),
+x AS (SELECT *, k > 0 AS ok, k > 0 AND pre = ore AS rok, CASE WHEN k = 2 THEN true WHEN k > 0 THEN NOT regexp_full_match(pre, '-?[0-9]+') END AS quoted FROM x0)"""
 
 
-@query(f"{_PE} SELECT count(*)::BIGINT AS num_samples, avg((pid % 3 > 0)::INTEGER) AS valid_rate, avg((pid % 3 > 0)::INTEGER) AS category_rate, avg((pid % 3 = 1 OR pid % 3 = 2 AND region = '99')::INTEGER) AS region_rate, avg((pid % 3 > 0)::INTEGER) AS geo_bucket_rate, avg((pid % 3 = 1 OR pid % 3 = 2 AND region = '99')::INTEGER) AS joint_rate, count(DISTINCT CASE WHEN pid % 3 > 0 THEN prediction END)::BIGINT AS unique_profiles, (SELECT max(n) FROM (SELECT count(*) AS n FROM x WHERE pid % 3 > 0 GROUP BY prediction))::DOUBLE / count(*) AS dominant_share FROM x")
+@query(f"""{_PE} SELECT count(*)::BIGINT AS num_samples, avg(ok::INTEGER) AS valid_rate, avg(ok::INTEGER) AS category_rate, avg(rok::INTEGER) AS region_rate, avg(ok::INTEGER) AS geo_bucket_rate, avg(rok::INTEGER) AS joint_rate,
+count(DISTINCT CASE WHEN ok THEN row(oc, pre, og, quoted) END)::BIGINT AS unique_profiles, (SELECT max(n) FROM (SELECT count(*) AS n FROM x WHERE ok GROUP BY oc))::DOUBLE / count(*) AS dominant_category_share, (SELECT max(n) FROM (SELECT count(*) AS n FROM x WHERE ok GROUP BY pre))::DOUBLE / count(*) AS dominant_region_share FROM x""")
 def profile_evaluation(spark, sf_dir):
+    """Answers by place number: junk, the right profile, one with another region, and the right one with blanks in its JSON."""
     d = rows(spark, sf_dir)
     p = semantic.prototypes(d).where("level = 'abc'").select(F.col("prefix").alias("_p"), F.col("category").alias("_c"), F.col("geo_bucket").alias("_g"), F.col("profile_json").alias("output"))
     wrong = F.concat(F.lit('{"category":"'), "_c", F.lit('","region":"99","geo_bucket":"'), "_g", F.lit('"}'))
-    x = d.join(p, F.col("abc") == F.col("_p")).withColumn("prediction", F.when(F.col("pid") % 3 == 0, "junk").when(F.col("pid") % 3 == 1, F.col("output")).otherwise(wrong))
+    k = F.col("pid") % 4
+    blanks = F.regexp_replace(F.regexp_replace("output", '":', '" : '), ',"', ' , "')
+    x = d.join(p, F.col("abc") == F.col("_p")).withColumn("prediction", F.when(k == 0, "junk").when(k == 1, F.col("output")).when(k == 2, wrong).otherwise(blanks))
     return ranking.profile_eval(x)
 
 

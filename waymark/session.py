@@ -51,17 +51,28 @@ def merged(base: dict, other: dict) -> dict:
     return out
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir. Only in local mode, where there is one machine, a temporary one stands in."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="waymark-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder (spark.checkpoint.dir, or a temporary one where that is unset) and reads it back.
+    """Writes a frame to the shared folder and reads it back; the files go when the driver ends.
 
     What comes after has a short plan, and lost executors do not cost the work before.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
