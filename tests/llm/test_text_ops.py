@@ -63,6 +63,18 @@ def test_scores(docs, order):
     assert len(got) == len(want) and all(near(g, w, 5) for g, w in zip(got, want, strict=True))
 
 
+def test_scores_keep_large_ids_beside_null_ones(spark):
+    rows = [(9007199254740993, "a b", "s"), (None, "a c", "s"), (-(2**63), "", "s"), (2**63 - 1, None, "s")]
+    got = {(r.doc_id, r.n_tokens) for r in lm.score(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert got == {(9007199254740993, 3), (None, 3), (-(2**63), 1), (2**63 - 1, 1)}
+
+
+def test_scores_by_a_tree_of_sums(docs):
+    few = docs.where("doc_id % 3 = 0 or doc_id >= 5000").withColumns({"held_out": F.lit(1), "block": F.lit("x")})
+    kept = lambda **kw: sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(few, block_bytes=20_000, range_keys=50_000, **kw).collect())
+    assert kept(fan=3) == kept()
+
+
 def test_scores_of_nothing(empty, spark):
     assert lm.score(empty).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)

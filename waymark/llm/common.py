@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: A word of the contracts: anything but ASCII white space. ``bytes.split()`` splits at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,39 +22,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches of the session, so that a batch of very long texts fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the Arrow batches of the session, so that a batch of very long texts fits a Python worker; a lower bound stays.
+
+    Spark reads the setting when a lazy result is run, so it can't be put back before that.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def packed(df: DataFrame, **inputs: Column) -> DataFrame:
+    """Only the given columns, and `row` with all columns that came in, so that no column's name can clash with a step's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in inputs.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + tempfile.mkdtemp(prefix="waymark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+def unpacked(df: DataFrame, names: list[str], **added: Column) -> DataFrame:
+    """The columns that came in, in their order, and added ones, which replace those of their names."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names if c not in added], *[c.alias(name) for name, c in added.items()])
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: it cuts the lineage and outlives any executor."""
+    """Writes a frame to the shared folder and reads it back: it cuts the lineage and outlives any executor.
+
+    The files go with discard(), or when the driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._waymark_path = path
     return out
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what materialise() wrote, once nothing reads it any more."""
     path = getattr(df, "_waymark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        where, fs = _place(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:

@@ -12,10 +12,12 @@ the start mark and ends with one end token.
 No part of the model has to fit one machine. Texts are cut into blocks, each with its own word list. A block sends the keys
 (64-bit hashes) of its words and n-grams with its training counts; the counts of a key are summed over blocks, and go back only
 to the blocks where the sum differs from what the block itself counted. So a block holds exactly the part of the automaton its own
-texts can reach. Counts of a key travel packed, sorted, by key range; a very common key costs an entry a block, not one a row.
+texts can reach. Counts of a key travel packed, sorted, by key range; a very common key costs an entry a block, not one a row. Sums
+go up a tree: a task adds a range's counts of at most FAN blocks, then of at most FAN such sums, and so on, and down the same way.
 
-Edge cases: null and empty texts are the end token alone; null doc_id counts as training text; repeated rows count each; an empty
-table gives no rows; without training texts N and V are 0, every word is unknown and P(w) is 1.
+Edge cases: null and empty texts are the end token alone; null doc_id counts as training text; repeated rows count each; a very
+long text is a block of its own; all columns but key and text are left out, whatever their names; an empty table gives no rows;
+without training texts N and V are 0, every word is unknown and P(w) is 1.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ HELD_OUT = 1
 #: Bytes of text of a block, and n-gram keys that a key range is meant to have.
 BLOCK_BYTES = 3 << 20
 RANGE_KEYS = 1 << 19
+#: Blocks, or sums of blocks, whose counts of a key range one task adds.
+FAN = 4096
 
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PACK = {"uint64": np.uint64, "uint32": np.uint32, "float64": np.float64}
@@ -126,11 +130,11 @@ def cut(distinct: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(which, np.arange(ranges + 1).astype(np.uint64))
 
 
-_BLOCK = "block bigint, tokens bigint, train_tokens bigint, starts bigint, ids binary, ends binary, train binary, hashes binary, keys array<bigint>"
+_BLOCK = "block bigint, tokens bigint, train_tokens bigint, starts bigint, ids binary, ends binary, train binary, hashes binary, keys binary, nulls binary"
 
 
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: int = HELD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, ids, ends, train, hashes, keys) of whole texts; keys are the doc_ids. Written out, as two steps read it."""
+    """Rows (block, ids, ends, train, hashes, keys, nulls) of whole texts; keys are the doc_ids, nulls those without. Written out, as two steps read it."""
     src = docs.select(F.col(key).cast("bigint").alias("k"), (fold(key) != held_out).alias("t"), F.col(text).alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,9 +146,9 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: i
         def made() -> pa.RecordBatch:
             b = Block.of(texts, train)
             own = b.in_training()
-            row = {"block": (part << 32) + number, "tokens": len(own), "train_tokens": int(own.sum()), "starts": sum(train), "ids": pack(b.ids), "ends": pack(b.ends), "train": pack(b.train), "hashes": pack(b.hashes), "keys": names}
-            kinds = {"ids": pa.binary(), "ends": pa.binary(), "train": pa.binary(), "hashes": pa.binary(), "keys": pa.list_(pa.int64())}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([(c, kinds.get(c, pa.int64())) for c in row]))
+            row = {"block": (part << 32) + number, "tokens": len(own), "train_tokens": int(own.sum()), "starts": sum(train), "ids": pack(b.ids), "ends": pack(b.ends), "train": pack(b.train), "hashes": pack(b.hashes)}
+            row |= {"keys": pack(np.array([k or 0 for k in names], dtype=np.int64).view(np.uint64)), "nulls": pack(np.array([k is None for k in names], dtype=np.uint32))}
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([(c, pa.binary() if isinstance(v, bytes) else pa.int64()) for c, v in row.items()]))
 
         for batch in batches:
             for k, t, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -183,27 +187,65 @@ def sent(block_rows: DataFrame, levels: list[int], ranges: int) -> DataFrame:
     return block_rows.select("block", "ids", "ends", "train", "hashes").mapInArrow(run, "range bigint, level int, block bigint, k binary, c binary")
 
 
-def summed(rows: DataFrame) -> DataFrame:
+_SUMS = "range bigint, level int, block bigint, distinct bigint, p binary, s binary"
+
+
+def _merged(pdf: pd.DataFrame, kind: str) -> tuple[pd.DataFrame, list, list, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows by block, their keys and counts, all distinct keys, where each row's keys stand in them, and the sums."""
+    pdf = pdf.sort_values("block")
+    ks, cs = [unpack(b, "uint64", True) for b in pdf["k"]], [unpack(b, kind) for b in pdf["c"]]
+    all_k, inverse = np.unique(np.concatenate(ks), return_inverse=True)
+    total = np.bincount(inverse, weights=np.concatenate(cs), minlength=len(all_k)).astype(np.uint64)  # exact below 2^53
+    return pdf, ks, cs, all_k, inverse, total
+
+
+def _differences(key: tuple, merged: tuple, total: np.ndarray) -> list[tuple]:
+    pdf, ks, cs, _, inverse, _ = merged
+    out, at = [], 0
+    for block, k, c in zip(pdf["block"], ks, cs, strict=True):
+        mine = total[inverse[at : at + len(k)]]
+        at += len(k)
+        differ = np.flatnonzero(mine != c)
+        if len(differ):
+            out.append((key[0], key[1], block, 0, pack(differ.astype(np.uint32), True), pack(mine[differ])))
+    return out
+
+
+def summed(rows: DataFrame, blocks: int, fan: int = FAN, kind: str = "uint32") -> DataFrame:
     """(range, level, block, distinct, p, s): the sums over all blocks, for the keys where they differ from the block's own count.
 
     p are places in the block's sorted keys of that range, s their sums; block -1 has how many keys of the range are in training.
+    kind: the numbers' type in column c. blocks: how many there are; beyond `fan` of them, groups of blocks are summed first, then the groups' sums in the same way.
     """
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        ks, cs = [unpack(b, "uint64", True) for b in pdf["k"]], [unpack(b, "uint32") for b in pdf["c"]]
-        all_k, inverse = np.unique(np.concatenate(ks), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(cs), minlength=len(all_k)).astype(np.uint64)
-        out, at = [], 0
-        for block, k, c in zip(pdf["block"], ks, cs, strict=True):
-            mine = total[inverse[at : at + len(k)]]
-            at += len(k)
-            differ = np.flatnonzero(mine != c)
-            if len(differ):
-                out.append((key[0], key[1], block, 0, pack(differ.astype(np.uint32), True), pack(mine[differ])))
-        out.append((key[0], key[1], -1, int((total > 0).sum()), b"", b""))
-        return pd.DataFrame(out, columns=["range", "level", "block", "distinct", "p", "s"])
-
-    return rows.groupBy("range", "level").applyInPandas(run, "range bigint, level int, block bigint, distinct bigint, p binary, s binary")
+    names = ["range", "level", "block", "distinct", "p", "s"]
+    if blocks <= fan:
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            m = _merged(pdf, kind)
+            out = _differences(key, m, m[5])
+            return pd.DataFrame([*out, (key[0], key[1], -1, int((m[5] > 0).sum()), b"", b"")], columns=names)
+
+        return rows.groupBy("range", "level").applyInPandas(run, _SUMS)
+    groups = -(-blocks // max(2, fan))
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, _, all_k, _, total = _merged(pdf, kind)
+        return pd.DataFrame([(key[0], key[1], key[2], pack(all_k, True), pack(total))], columns=["range", "level", "block", "k", "c"])
+
+    def down(key: tuple, own: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({c: [] for c in names})
+        m = _merged(own, kind)
+        total = m[5].copy()
+        for p, s in zip(above["p"], above["s"], strict=True):  # one row at most
+            total[unpack(p, "uint32", True).astype(np.int64)] = unpack(s, "uint64")
+        return pd.DataFrame(_differences(key, m, total), columns=names)
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    sums = materialise(dealt.groupBy("range", "level", "group").applyInPandas(add, "range bigint, level int, block bigint, k binary, c binary"))
+    above = materialise(summed(sums, groups, fan, "uint64"))
+    by = ["range", "level", "group"]
+    each = dealt.groupBy(*by).cogroup(above.where("block >= 0").withColumnRenamed("block", "group").groupBy(*by)).applyInPandas(down, _SUMS)
+    return each.unionByName(above.where("block = -1"))
 
 
 class Automaton:
@@ -276,17 +318,17 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, mass: float = MASS, held_out: int = HELD_OUT, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, mass: float = MASS, held_out: int = HELD_OUT, block_bytes: int = BLOCK_BYTES, range_keys: int = RANGE_KEYS, fan: int = FAN) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; other columns are left out."""
     rows = blocks(docs, key, text, held_out, block_bytes)
-    size = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0))).first()
-    ranges, n, starts = max(1, -(-size[0] // range_keys)), size[1], size[2]
-    words = materialise(summed(sent(rows, [1], ranges)))
+    size = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("starts"), F.lit(0)), F.count(F.lit(1))).first()
+    ranges, n, starts, many = max(1, -(-size[0] // range_keys)), size[1], size[2], size[3]
+    words = materialise(summed(sent(rows, [1], ranges), many, fan))
     both = F.coalesce(F.sum("distinct"), F.lit(0))
     v = words.where("block = -1").agg(both).first()[0]
     back = words.where("block >= 0")
     if order > 1:
-        back = back.unionByName(summed(sent(rows, list(range(2, order + 1)), ranges)).where("block >= 0"))
+        back = back.unionByName(summed(sent(rows, list(range(2, order + 1)), ranges), many, fan).where("block >= 0"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -307,12 +349,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
         unit = (n + 0.5 * (v + 1)) or 1.0
         base = np.log10((counts[0] + 0.5) / unit) if n else np.zeros(len(counts[0]))
         got = Automaton(block, counts, starts, n, v, mass).traverse(block)
-        out = [list(row["keys"]), block.train == 0, np.diff(block.ends.astype(np.int64), prepend=0), per((counts[0] > 0).astype(np.int64)), np.full(len(got), n), per(base), got]
-        out = pd.DataFrame(dict(zip(names, out, strict=True)))
-        return out.assign(key=pd.array([None if x is None or x != x else int(x) for x in out["key"]], dtype="Int64"))
+        keys = pd.arrays.IntegerArray(unpack(row["keys"], "uint64").view(np.int64).copy(), unpack(row["nulls"], "uint32") > 0)
+        out = [keys, block.train == 0, np.diff(block.ends.astype(np.int64), prepend=0), per((counts[0] > 0).astype(np.int64)), np.full(len(got), n), per(base), got]
+        return pd.DataFrame(dict(zip(names, out, strict=True)))
 
     schema = "key bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    need = rows.select("block", "ids", "ends", "train", "hashes", "keys")
+    need = rows.select("block", "ids", "ends", "train", "hashes", "keys", "nulls")
     return need.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(run, schema).withColumnRenamed("key", key)
 
 
