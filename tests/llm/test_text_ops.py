@@ -112,10 +112,19 @@ def test_mixing(docs):
 
 
 def test_mix_emits_rows_with_their_columns(docs, empty):
-    d = docs.withColumn("size", F.lit("clash"))
+    d = docs.withColumns({c: F.lit("clash") for c in ("size", "target", "source_size", "copies", "key", "tie", "row", "bucket", "place", "first", "copy")})
     m = mixing.mix(d)
-    assert m.columns == d.columns and m.count() == mixing.copies(docs).agg(F.sum("copies")).first()[0]
+    assert m.columns == d.columns and m.where("target = 'clash' and size = 'clash'").count() == m.count() == mixing.copies(docs).agg(F.sum("copies")).first()[0]
     assert mixing.mix(empty).count() == 0
+    one = lambda x: sorted((str(r.doc_id), r.text or "", r.copies, r.size) for r in mixing.copies(x).collect())
+    assert one(d) == one(docs)
+
+
+def test_mixing_takes_the_same_of_texts_that_share_an_id(spark):
+    rows = [(i % 3 if i % 4 else None, f"text number {i}", f"s{i % 2}") for i in range(200)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    key = lambda x: sorted((r.text, r.copies) for r in mixing.copies(x, stretch_rows=16).collect())
+    assert key(d) == key(d.repartition(9)) == key(d.orderBy(F.rand(3)))
 
 
 def test_ogg_round_trips_and_checksums():

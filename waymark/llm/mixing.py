@@ -8,30 +8,36 @@ Copies: every document of a source has the expected copies r = target / size, at
 random offset u is added to the prefix sums of r, and a document is emitted once for each whole number its interval crosses.
 The order: by size class (eight for each doubling), in it by hash bucket, in that by size; so every stretch of the order holds
 documents of about one size, and the words taken stay near the target. The prefix sum is the stretch's offset and the place in
-it, so a source that holds a third of all rows, or many documents of one size, is spread over its stretches.
+it, so a source that holds a third of all rows, or many documents of one size, is spread over its stretches; there are as many hash
+buckets as keep a stretch at STRETCH rows.
 
 Edge cases: null and empty texts have size 0 and are drawn like others; a source of size 0 has target 0; no words at all: all
-targets 0; a null source is a source of its own; rows with equal doc_id stand next to each other in any order, which changes no
-row's columns but possibly which of the equal rows is taken.
+targets 0; a null source is a source of its own; rows without a doc_id are spread and ordered by their text; rows with equal doc_id
+are ordered by their text too, and where that is equal as well they are copies of each other, of which any may be taken; a very long
+text is one row like others; extra columns pass through whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, draw, table
+from .common import WORD, draw, materialise, packed, table, unpacked
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
-#: Hash buckets of a size class; with more documents, raise it so that one source's share of a bucket stays sortable.
-BUCKETS = 64
+#: Rows that a hash bucket is meant to have; the stretches of all size classes in it share them.
+STRETCH = 1 << 16
+
+
+def words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds size, the number of words."""
-    return docs.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")))
+    """Adds size, the number of words; a column of this name is replaced."""
+    return docs.withColumn("size", words(F.col(text)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -51,45 +57,53 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.when(F.col("ratio") < F.col("held"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("held") * F.col("w"))).alias("target"))
 
 
-def copies(docs: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
-    """Adds size, source_size, target and copies to rows that have a key, source and text or already a size."""
-    d = docs if "size" in docs.columns else sized(docs)
+def drawn(d: DataFrame, stretch_rows: int = STRETCH, seed: str = SEED) -> DataFrame:
+    """Adds source_size, target and copies to (key, source, size, tie) and whatever else there is; tie: a digest of the text."""
+    buckets = max(1, -(-d.count() // stretch_rows))
     bits = F.bin(F.col("size") + 1)
-    stretch = F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3), F.lit("-"), F.lpad(F.pmod(draw(seed, F.col(key)), F.lit(buckets)).cast("string"), 8, "0"))
-    d = d.withColumn("_bucket", stretch)
-    counted = d.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.sum("size").alias("_words"))
-    goal = targets(counted.groupBy("source").agg(F.sum("_words").alias("source_size")))
-    upto = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.withColumn("_first", F.coalesce(F.sum("_rows").over(upto), F.lit(0))).select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), "_first")
-    goal = goal.withColumnRenamed("source", "_g")
+    stretch = F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3), F.lit("-"), F.lpad(F.pmod(draw(seed, F.col("key"), F.col("tie")), F.lit(buckets)).cast("string"), 12, "0"))
+    d = d.withColumn("bucket", stretch)
+    counted = materialise(d.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))  # a row a stretch
+    goal = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "_g")
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("first"))
     first = first.join(goal, F.col("_s").eqNullSafe(F.col("_g"))).drop("_g")
-    place = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("size", F.col(key).asc_nulls_last()))
-    d = d.withColumn("_place", place).join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", F.col("key").asc_nulls_last(), F.col("tie").asc_nulls_last()))
+    d = d.withColumn("place", place).join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = draw(seed, F.col("source")) / F.lit(4294967296.0)
-    n = (F.col("_first") + F.col("_place")).cast("double")
-    d = d.withColumn("copies", (F.floor(n * rate + offset) - F.floor((n - 1) * rate + offset)).cast("bigint"))
-    return d.drop("_bucket", "_place", "_first", "_s", "_b")
+    n = (F.col("first") + F.col("place")).cast("double")
+    return d.withColumn("copies", (F.floor(n * rate + offset) - F.floor((n - 1) * rate + offset)).cast("bigint")).drop("bucket", "place", "first", "_s", "_b")
+
+
+def _inputs(docs: DataFrame, key: str, text: str, source: str) -> dict[str, Column]:
+    return {"key": F.col(f"`{key}`"), "source": F.col(f"`{source}`"), "size": words(F.col(f"`{text}`")), "tie": F.md5(f"`{text}`")}
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", stretch_rows: int = STRETCH) -> DataFrame:
+    """Adds size, source_size, target and copies; columns of these names are replaced."""
+    d = drawn(packed(docs, **_inputs(docs, key, text, source)), stretch_rows)
+    return unpacked(d, docs.columns, **{c: F.col(c) for c in ("size", "source_size", "target", "copies")})
 
 
-def mix(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed documents: each row as often as it has copies, with the columns it came with."""
-    names = docs.columns
-    drawn = copies(docs.drop("size") if "size" in names else docs, key)
-    times = drawn.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return times.select(*names)
+    d = drawn(packed(docs, **_inputs(docs, key, text, source)))
+    times = d.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return unpacked(times, docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    c = copies(docs)
-    return c.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    """The texts are read once: what the sampling needs of a document is written out."""
+    docs = table(spark, sf_dir, "documents")
+    c = drawn(materialise(docs.select(*[x.alias(n) for n, x in _inputs(docs, "doc_id", "text", "source").items()])))
+    return c.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE = rf"""
-WITH d0 AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+WITH d0 AS (SELECT doc_id, source, md5(text) AS tie, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, greatest(1, (count(*) OVER () + {STRETCH} - 1) // {STRETCH})::BIGINT AS buckets FROM documents),
 d AS (SELECT *, lpad(length(bin(size + 1))::VARCHAR, 2, '0') || substr(bin(size + 1), 2, 3) || '-'
-    || lpad((('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '\N')), 1, 8))::BIGINT % {BUCKETS})::VARCHAR, 8, '0') AS bucket FROM d0),
+    || lpad((('0x' || substr(md5('{SEED}|' || coalesce(doc_id::VARCHAR, '\N') || '|' || coalesce(tie, '\N')), 1, 8))::BIGINT % buckets)::VARCHAR, 12, '0') AS bucket FROM d0),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT source, source_size, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, (3 * source_size)::BIGINT AS cap FROM s0),
 s2 AS (SELECT *, cap::DOUBLE / w AS ratio, sum(source_size) OVER () AS total, sum(w) OVER () AS weights FROM s1),
@@ -98,7 +112,7 @@ s3 AS (SELECT *, (total - coalesce(sum(cap) OVER p, 0))::DOUBLE / (weights - coa
 s4 AS (SELECT *, (SELECT level FROM s3 WHERE level <= ratio ORDER BY ratio, level LIMIT 1) AS held FROM s3),
 s5 AS (SELECT source, source_size, CASE WHEN ratio < held THEN cap::DOUBLE ELSE least(cap::DOUBLE, held * w) END AS target FROM s4),
 b AS (SELECT source, bucket, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM d GROUP BY source, bucket),
-o AS (SELECT d.*, first, source_size, target, row_number() OVER (PARTITION BY d.source, d.bucket ORDER BY size, doc_id NULLS LAST) AS place
+o AS (SELECT d.*, first, source_size, target, row_number() OVER (PARTITION BY d.source, d.bucket ORDER BY size, doc_id NULLS LAST, tie NULLS LAST) AS place
     FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.bucket = b.bucket JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate, ('0x' || substr(md5('{SEED}|' || coalesce(source, '\N')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u, (first + place)::DOUBLE AS n FROM o)
 SELECT doc_id, size, source_size, target, ((floor(n * rate + u) - floor((n - 1) * rate + u))::BIGINT * size)::BIGINT AS taken FROM r
