@@ -286,3 +286,16 @@ def test_surnames_that_meet_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "redraws", lambda *_: spark.createDataFrame([("baker", 5)], "word string, attempt int"))
     out = {r.doc_id: r.text for r in pii.surrogates(x).collect()}
     assert out[1] == f"Mr {real(pii.KEY, 'Baker', 5)} and Mr {real(pii.KEY, 'Adams')}" and out[2] == f"Mr {real(pii.KEY, 'Clark')}"
+
+
+def test_added_columns_replace_those_of_their_names(docs):
+    d = docs.limit(20).withColumns({c: F.lit("clash") for c in ("feature", "payload_bytes", "media_sha256", "n_bytes", "media", "n_tokens", "spans", "n_hex", "row")})
+    for out in (ogg.probe(ogg.store(d)), bpe.digests(d), secrets.scan(d)):
+        assert len(set(out.columns)) == len(out.columns) and out.count() == 20 and out.where("row = 'clash'").count() == 20
+
+
+def test_secret_spans_of_many_finds_in_one_text():
+    scanner = secrets.Scanner(secrets.train(*secrets.samples()))
+    t = " ".join(f"token={'ab12' * 4}{i:06d} zX9qW3rT7yU2iP8aS5{i:06d}" for i in range(20_000))
+    got = scanner.spans(t)
+    assert sum(k == 0 for _, k, _ in got) == 20_000 and all(a[2] <= b[0] for a, b in zip(got, got[1:], strict=False))

@@ -4,7 +4,8 @@ A rank file becomes a tokenizers model: every split of a token into two tokens i
 a piece that is a token itself is taken whole. Bytes stand as characters by the usual byte table. Texts are split by the public
 pattern; each distinct piece of a task goes through the library once and is kept in a bounded table, as most pieces come again.
 
-Edge cases: null and empty texts have no tokens; lone surrogates can't occur in Arrow strings; a character whose bytes fall in
+Edge cases: null and empty texts have no tokens; a very long text is one list of ids; repeated rows get equal ids; an empty table
+gives none; extra columns stay, but those named like an added one are replaced; lone surrogates can't occur in Arrow strings; a character whose bytes fall in
 several tokens has the same offsets in each of them, and decoding only part of them gives U+FFFD in text, the bytes in bytes.
 Ids without a token, null ids and null lists decode to nothing.
 """
@@ -113,6 +114,11 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def found(vocabulary: tuple[str, str] | None) -> Codec:
+    """The codec of a vocabulary; the public one's path is looked up where the codec is used, in the task."""
+    return codec(*(vocabulary or public_vocabulary()))
+
+
 def _mapped(df: DataFrame, column: str, added: dict[str, str], run, drop: bool) -> DataFrame:
     """Adds columns that run(values) makes a batch of; `added`: their names and SQL types. Columns of these names are replaced."""
     keep = [c for c in df.columns if c not in added or c == column]
@@ -130,10 +136,8 @@ def _mapped(df: DataFrame, column: str, added: dict[str, str], run, drop: bool)
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str = "offsets", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Adds the ids of each text, and for each id the first and end character it has bytes of."""
-    path, pattern = vocabulary or public_vocabulary()
-
     def run(values: pa.Array) -> list[pa.Array]:
-        c, texts = codec(path, pattern), values.to_pylist()
+        c, texts = found(vocabulary), values.to_pylist()
         coded = c.encode(texts)
         where = [[{"first": a, "end": b} for a, b in c.offsets(t or "", i)] for t, i in zip(texts, coded, strict=True)]
         return [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i in coded], pa.list_(pa.int32())), pa.array(where, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))]
@@ -143,10 +147,8 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str = "
 
 def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str = "decoded_text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Adds the bytes of each list of ids, and their text with U+FFFD where a character's bytes are not whole."""
-    path, pattern = vocabulary or public_vocabulary()
-
     def run(values: pa.Array) -> list[pa.Array]:
-        c = codec(path, pattern)
+        c = found(vocabulary)
         out = [c.decode(np.array([i for i in v or [] if i is not None and i >= 0], "<u4").tobytes()) for v in values.to_pylist()]
         return [pa.array(out, pa.binary()), pa.array([o.decode("utf-8", "replace") for o in out], pa.string())]
 
@@ -155,10 +157,8 @@ def decode(df: DataFrame, ids: str = "ids", raw: str = "decoded", text: str = "d
 
 def digests(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """Encodes and decodes each text and puts n_tokens, ids_sha256 and decoded_sha256 in its place, so no ids leave the task."""
-    path, pattern = vocabulary or public_vocabulary()
-
     def run(values: pa.Array) -> list[pa.Array]:
-        c = codec(path, pattern)
+        c = found(vocabulary)
         coded = c.encode(values.to_pylist())
         return [pa.array([len(i) // 4 for i in coded], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i in coded], pa.string()), pa.array([hashlib.sha256(c.decode(i)).hexdigest() for i in coded], pa.string())]
 

@@ -6,7 +6,8 @@ from lacing values (also over pages), separates the streams by serial number and
 
 Edge cases: a null payload is written as an empty one; an empty payload is a file with headers and an empty last page; bytes
 that are no Ogg give no streams; a page with a wrong checksum is skipped and counted, and packets it held part of are dropped
-and counted as holes; repeated rows give equal bytes, as nothing depends on the row's identity.
+and counted as holes; repeated rows give equal bytes, as nothing depends on the row's identity; a very long text is one file;
+extra columns stay, but those named like an added one are replaced; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -215,6 +216,8 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
 
 def probe(df: DataFrame, media: str = "media") -> DataFrame:
     """Replaces the media column by what reading it gives: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    added = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in added or c == media])
     at, keep = df.columns.index(media), [c for c in df.columns if c != media]
     schema = df.drop(media).selectExpr(*[f"`{c}`" for c in keep], "0L payload_bytes", "'' payload_sha256", "0L tail_crc32", "0L media_bytes", "'' media_sha256", "'' feature").schema
 

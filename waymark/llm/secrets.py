@@ -5,7 +5,8 @@ A candidate, a run of 20 or more of ``[A-Za-z0-9+/_=-]`` that holds letters and
 secret where the log-likelihood ratio for each character is above a threshold. The pattern spans always stay.
 
 Edge cases: null and empty texts have no spans; spans count code points; matches of a kind never overlap; ties at one start
-stand in the order assign, access, hex, markov.
+stand in the order assign, access, hex, markov; a very long text is read whole; repeated rows get equal spans; an empty table gives
+none; extra columns stay, but those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-THRESHOLD = 0.35
+THRESHOLD = 0.6
 
 # Parts of identifiers, joined by rule to make the ordinary samples.
 PARTS = (
@@ -41,6 +42,8 @@ PARTS = (
     "open close read write update delete insert create remove find search sort merge split join left right upper lower word "
     "line page document image video audio codec frame sample rate channel window layer weight bias learning step epoch loss"
 ).split()
+# Names with digits in them that identifiers often have.
+TECHNICAL = "utf8 utf16 ipv4 ipv6 int8 int32 int64 uint8 float32 float64 fp16 fp32 sha1 sha256 md5 crc32 http2 base64 x86 x64 amd64 arm64 win32 python3 iso8859 latin1 rfc822 rfc2047 v1 v2 v3 p256 h264 mp3 mp4 s3 ec2 k8s l2 t5 2d 3d".split()
 
 
 def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
@@ -51,9 +54,16 @@ def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
     plain = []
     for i in range(n):
         words = [PARTS[j] for j in rng.integers(0, len(PARTS), int(rng.integers(3, 7)))]
+        if i % 3:
+            words.insert(int(rng.integers(0, len(words) + 1)), TECHNICAL[int(rng.integers(0, len(TECHNICAL)))])
         number = str(rng.integers(0, 10 ** int(rng.integers(1, 5))))
         year = f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}"
-        plain.append(("_".join(words) + "_" + number, "-".join(words) + "-" + year, words[0] + "".join(w.capitalize() for w in words[1:]) + number, "/".join(words) + "/" + number, "_".join(words).upper() + number, "=" * int(rng.integers(20, 40)))[i % 6])
+        big = [w.capitalize() for w in words]
+        styles = (
+            "_".join(words) + "_" + number, "-".join(words) + "-" + year, words[0] + "".join(big[1:]) + number, "/".join(words) + "/" + number, "_".join(words).upper() + number, "=" * int(rng.integers(20, 40)),
+            "test" + "".join(big) + number, "/".join(words[:2]).upper() + "/" + "-".join(big[2:]), "_" + "_".join(words) + "_",
+        )
+        plain.append(styles[i % len(styles)])
     return secret, plain
 
 
@@ -101,10 +111,15 @@ class Scanner:
         if "AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found.sort()
+        base, at, reach = len(found), 0, 0  # candidates come from left to right, so one walk along the sorted spans tells what they overlap
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
+            while at < base and found[at][0] < e:
+                reach = max(reach, found[at][2])
+                at += 1
             part = m[0]
-            if any(c.isdigit() for c in part) and any(c.isalpha() for c in part) and all(e <= a or s >= b for a, _, b in found) and self.ratio(part) > self.threshold:
+            if reach <= s and any(c.isdigit() for c in part) and any(c.isalpha() for c in part) and self.ratio(part) > self.threshold:
                 found.append((s, 3, e))
         return sorted(found)
 
