@@ -38,6 +38,56 @@ def test_classifiers_on_edges(spark, op):
     assert op.score(d.limit(0), op.learn(d.limit(0), none)).count() == 0
 
 
+@pytest.mark.parametrize("op", [quality, toxicity])
+def test_classifiers_beside_clashing_columns(spark, op):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    odd = d.withColumns({c: F.lit("clash") for c in ("_key", "key", "kind", "u", "word", "n", "x", "row")})
+    a, b = op.score(d, op.learn(d, labels)), op.score(odd, op.learn(odd, labels.withColumns({"u": F.lit(1), "key": F.lit(2)})))
+    assert {(r.doc_id, r.score) for r in a.collect()} == {(r.doc_id, r.score) for r in b.collect()} and b.where("kind = 'clash' and _key = 'clash'").count() == d.count()
+
+
+def slope(f, w):
+    return np.array([(f(w + e) - f(w - e)) / 2e-6 for e in np.eye(len(w)) * 1e-6])
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.9])
+def test_risk_and_its_steps_against_a_plain_version(prior):
+    rng = np.random.default_rng(8)
+    p, u, w = rng.integers(0, 3, (7, 5)).astype(float), rng.integers(0, 2, (12, 5)).astype(float), rng.standard_normal(6)
+    loss = lambda g: float(np.log(1 + np.exp(-g)))
+
+    def parts(w):
+        g = lambda x: sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1]
+        return prior * sum(loss(g(x)) for x in p) / 7, sum(loss(-g(x)) for x in u) / 12 - prior * sum(loss(-g(x)) for x in p) / 7
+
+    seen = set()
+    for shift in (-4.0, 0.0, 6.0):
+        v = w + np.append(np.full(5, shift / 2), 0)
+        positive, negative, gradient = toxicity.risk(p, u, v, prior)
+        assert np.allclose((positive, negative), parts(v))
+        seen.add(negative >= 0)
+        want = slope(lambda x: sum(parts(x)), v) if negative >= 0 else slope(lambda x: -parts(x)[1], v)
+        assert np.allclose(gradient, want, atol=1e-5)
+    assert prior < 0.5 or seen == {True, False}
+
+
+def test_pair_loss_against_a_plain_version():
+    rng = np.random.default_rng(9)
+    d, w = rng.standard_normal((11, 4)), rng.standard_normal(4)
+    plain = lambda w: sum(np.log(1 + np.exp(-sum(a * b for a, b in zip(x, w, strict=True)))) for x in d) / 11 + 0.05 * sum(a * a for a in w)
+    loss, gradient = quality.pair_loss(d, w, 0.1)
+    assert np.isclose(loss, plain(w)) and np.allclose(gradient, slope(plain, w), atol=1e-5)
+
+
+def test_gram_totals_against_a_plain_version(spark):
+    texts = [(1, "Abc abc abcdef"), (1, None), (0, "abcdef ghi"), (0, "abcdef")]
+    d = spark.createDataFrame(texts, "kind int, text string")
+    got = {(r.kind, r.gram): r.total for r in toxicity.gram_sums(toxicity.word_counts(d.where("kind = 1"), 1).unionByName(toxicity.word_counts(d.where("kind = 0"), 0))).collect()}
+    want = collections.Counter((k, g) for k, t in texts for w in set((t or "").lower().split()) for g in toxicity.grams(w))
+    assert got == dict(want)
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")

@@ -1,13 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all training-side documents, whatever their labels, is the unlabelled
-set, and the share of toxic ones among labelled rows is the class prior. A document is the character 5- and 6-grams, beginnings
-and wholes of its distinct lower-case words. The GRAMS grams that set the positives apart most are the inputs of a logistic
-model, which numpy trains on the risk  p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]);  where the second part falls below zero,
-a step climbs it back instead.
+Confirmed toxic documents are the positives, all training-side documents, whatever their labels, are unlabelled, and the share of
+toxic ones among labelled rows is the class prior. A document is the character 5- and 6-grams, beginnings and wholes of its distinct
+lower-case words. The GRAMS grams that set the positives apart most, by totals over all unlabelled documents, are the inputs of a
+logistic model, which numpy trains on the risk  p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]);  where the second part falls below
+zero, a step climbs it back instead. Its steps draw from bounded samples of the positives and of the unlabelled documents.
 
 Edge cases: a null text counts as an empty one and has the score of a document without any gram; with no confirmed positives
-every score is the prior of 0; null labels are not used; repeated rows and equal texts get equal scores.
+every score is the prior of 0; null labels are not used; repeated rows and equal texts get equal scores; a very long text is read
+whole; an empty table gives none; extra columns stay whatever their names, but one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialise, small_batches, table
 from .labelled import learnable, sample_ids, texts_of
 
-#: Confirmed positives and unlabelled rows that are learned from, at most.
+#: Confirmed positives and unlabelled rows that the steps draw from, at most.
 POSITIVES, UNLABELLED = 2500, 5000
 GRAMS = 2048
 HELD_OUT = 0
@@ -87,27 +88,45 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
 
-def gram_sums(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(gram, kind, total, squares): sums of each gram's counts over the documents of a kind; each batch sums first."""
+def word_counts(texts: DataFrame, kind: int, text: str = "text") -> DataFrame:
+    """(kind, word, n): in how many documents each word is; a task sums first, and sends what it has when its table is full."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.update(words(t))
+            if len(held) > KEPT_WORDS:
+                yield made()
+                held.clear()
+        yield made()
+
+    each = texts.select(F.col(text)).mapInArrow(run, "word string, n bigint")
+    return each.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(kind).alias("kind"), "word", "n")
+
+
+def gram_sums(counts: DataFrame) -> DataFrame:
+    """(kind, gram, total): in how many distinct words of documents each gram is, from (kind, word, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = np.array(b.column(0).to_pylist(), dtype=np.int64)
-            rows = [gram_counts(t) for t in b.column(1).to_pylist()]
-            for kind in np.unique(kinds):
-                own = [rows[i] for i in np.flatnonzero(kinds == kind)]
-                ids, inverse = np.unique(np.concatenate([i for i, _ in own]), return_inverse=True)
-                n = np.concatenate([c for _, c in own]).astype(np.float64)
-                sums = [np.bincount(inverse, weights=w, minlength=len(ids)).astype(np.int64) for w in (n, n * n)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), kind), pa.int32()), *map(pa.array, sums)], ["gram", "kind", "total", "squares"])
+            held: Counter = Counter()
+            for kind, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for g in grams(w):
+                    held[kind, g] += n
+            kinds, ids = zip(*held, strict=True) if held else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array(list(held.values()), pa.int64())], ["kind", "gram", "n"])
 
-    return texts.select("kind", text).mapInArrow(run, "gram bigint, kind int, total bigint, squares bigint")
+    return counts.mapInArrow(run, "kind int, gram bigint, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("total"))
 
 
 def choose(sums: DataFrame, n_pos: int, n_unl: int, most: int = GRAMS) -> np.ndarray:
-    """The grams with the largest difference of mean counts, in standard errors; ties by number."""
-    of = lambda c, kind: F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0))
-    by = sums.groupBy("gram").agg((of("total", 1) / n_pos).alias("p"), (of("total", 0) / n_unl).alias("u"), (of("squares", 1) / n_pos).alias("pp"), (of("squares", 0) / n_unl).alias("uu"))
-    z = (F.col("p") - F.col("u")) / F.sqrt((F.col("pp") - F.col("p") * F.col("p") + 1 / n_pos) / n_pos + (F.col("uu") - F.col("u") * F.col("u") + 1 / n_unl) / n_unl)
+    """The grams with the largest difference of mean counts, in standard errors of counts; ties by number."""
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("total")).otherwise(0))
+    by = sums.groupBy("gram").agg((of(1) / max(1, n_pos)).alias("p"), (of(0) / max(1, n_unl)).alias("u"))
+    z = (F.col("p") - F.col("u")) / F.sqrt((F.col("p") + 1 / max(1, n_pos)) / max(1, n_pos) + (F.col("u") + 1 / max(1, n_unl)) / max(1, n_unl))
     return np.sort(np.array([r[0] for r in by.orderBy(z.desc(), "gram").limit(most).select("gram").collect()], dtype=np.uint32))
 
 
@@ -128,27 +147,35 @@ def dense_rows(texts: DataFrame, chosen: np.ndarray, text: str = "text") -> Data
     return texts.select("kind", text, "key").mapInArrow(run, "kind int, key bigint, x binary")
 
 
+def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, beta: float = 0.0) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, gradient of the step): of the risk, or of minus its negative part where that is below -beta.
+
+    The last weight is the bias. The loss is l(z) = log(1 + exp(-z)): l'(g) = -sig(-g) for a positive, sig(g) for a negative.
+    """
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    d_neg_u, d_neg_p = sig(gu) / len(gu), -prior * sig(gp) / len(gp)
+    if negative >= -beta:
+        dp, du = -prior * sig(-gp) / len(gp) + d_neg_p, d_neg_u
+    else:
+        dp, du = -d_neg_p, -d_neg_u
+    dp, du = dp.astype(p.dtype), du.astype(u.dtype)
+    return float(positive), float(negative), np.append(dp @ p + du @ u, dp.sum() + du.sum())
+
+
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.01, decay: float = 3e-3, beta: float = 0.0, seed: int = 11) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model, by Adam on mini-batches of the corrected risk."""
     rng = np.random.default_rng(seed)
     pos, unl = pos.astype(np.float32), unl.astype(np.float32)
-    w, b = np.zeros(pos.shape[1] + 1, dtype=np.float32), -1.0
-    w[-1] = b
+    w = np.zeros(pos.shape[1] + 1, dtype=np.float32)
+    w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
         p = pos[rng.integers(0, len(pos), min(256, len(pos)))]
         u = unl[rng.integers(0, len(unl), min(512, len(unl)))]
-        gp, gu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        # The logistic loss l(z) = log(1 + exp(-z)): l'(g) = -sig(-g) for a positive, sig(g) for a negative.
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_neg_u, d_neg_p = sig(gu) / len(gu), -prior * sig(gp) / len(gp)
-        if negative >= -beta:
-            dp, du = -prior * sig(-gp) / len(gp) + d_neg_p, d_neg_u
-        else:
-            dp, du = -d_neg_p, -d_neg_u
-        dp, du = dp.astype(np.float32), du.astype(np.float32)
-        grad = np.append(dp @ p + du @ u, dp.sum() + du.sum())
+        grad = risk(p, u, w, prior, beta)[2]
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -164,10 +191,12 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return none
     prior = counts[1] / sum(counts.values())
     pos = sample_ids(known.where("toxic = 1"), positives, SEED)
-    unl = sample_ids(docs.where((fold() != held_out) & F.col("doc_id").isNotNull()), unlabelled, SEED)
+    there = docs.where(fold() != held_out)
+    unl = sample_ids(there, unlabelled, SEED)
     # The sample is bounded; written out and dealt evenly, the documents are scanned once for both passes over it.
     texts = materialise(texts_of(docs, {1: pos, 0: unl}).repartition(docs.sparkSession.sparkContext.defaultParallelism, "key"))
-    chosen = choose(gram_sums(texts), len(pos), len(unl))
+    counts = word_counts(there, 0).unionByName(word_counts(texts.where("kind = 1"), 1))
+    chosen = choose(gram_sums(counts), len(pos), there.count())
     rows = sorted(dense_rows(texts, chosen).collect(), key=lambda r: (r["key"], bytes(r["x"])))
     x = [np.frombuffer(b"".join(r["x"] for r in rows if r["kind"] == k), dtype=np.uint8).reshape(-1, max(1, len(chosen))) for k in (0, 1)]
     if not len(x[0]) or not len(x[1]):
