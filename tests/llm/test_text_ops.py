@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -16,6 +17,7 @@ from waymark.llm import bpe, lm, mixing, ogg, pii, secrets
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 EDGES = [(None, "the of", "s"), (5000, None, None), (5001, "", "s"), (5001, "", "s"), (5002, "word " * 30_000, "s"), (5003, "éa b ſ K \x1c x", "t"), (5004, "a\tb\x0bc", None)]
 SCHEMA = "doc_id bigint, text string, source string"
+KEY = "a key of the tests"
 
 
 @pytest.fixture(scope="module")
@@ -228,7 +230,7 @@ def test_split_characters_and_odd_ids(spark):
 
 
 def test_surrogates_are_distinct_consistent_and_of_one_form():
-    k = pii.KEY
+    k = KEY
     ips = [f"{a}.7.{b}.9" for a in range(1, 200, 3) for b in range(0, 250, 9)]
     cards = [f"{4000000000000000 + i * 977}" for i in range(2000)]
     mails = [f"{a}{b}.{n}@mail{n % 10}.example.com" for a in "abcdef" for b in "ghijk" for n in range(10, 60)]
@@ -264,7 +266,7 @@ def test_private_data_goes_and_clean_text_stays(docs, spark, empty):
 
 def test_names(spark):
     t = "Dr. John Smith met Mrs Smith; MARY SMITH saw Мария Иванова. Maryland Smithy said hello."
-    new, found = pii.replaced(t)
+    new, found = pii.replaced(t, KEY)
     given, family = new.split()[1:3]
     assert family in new.split("Mrs ")[1] and family.upper() in new and given in pii.GIVEN["latin", "m"] and new.endswith("Maryland Smithy said hello.")
     assert re.search("[А-Я][а-я]+ [А-Я][а-я]+", new) and "Smith " not in new.split(".")[1]
@@ -273,19 +275,19 @@ def test_names(spark):
 
 def test_surnames_that_meet_are_drawn_again(spark, monkeypatch):
     real = pii.surname
-    fake = lambda key, w, attempt=0: pii.cased(w, "samename") if attempt == 0 else real(key, w, attempt)
+    fake = lambda key, w, attempt=0, gender="n": pii.cased(w, "samename") if attempt == 0 else real(key, w, attempt, gender)
     words = ["adams", "baker", "clark"]
     d = spark.createDataFrame([(w,) for w in words], "word string")
     monkeypatch.setattr(pii, "surname", fake)
-    got = {r.word: r.attempt for r in pii.redraws(d).collect()}
+    got = {r.word: r.attempt for r in pii.redraws(d, KEY).collect()}
     monkeypatch.setattr(pii, "surname", real)
     assert got == {"baker": 1, "clark": 1}
-    assert len({fake(pii.KEY, w, got.get(w, 0)) for w in words}) == 3
-    assert pii.redraws(d) is None
-    x = spark.createDataFrame([(1, "Mr Baker and Mr Adams"), (2, "Mr Clark")], "doc_id bigint, text string")
+    assert len({fake(KEY, w, got.get(w, 0)) for w in words}) == 3
+    assert pii.redraws(d, KEY) is None
+    x = spark.createDataFrame([(1, "Mr Baker and Mr Adams"), (2, "Mr Clark"), (None, "Mr Baker")], "doc_id bigint, text string")
     monkeypatch.setattr(pii, "redraws", lambda *_: spark.createDataFrame([("baker", 5)], "word string, attempt int"))
-    out = {r.doc_id: r.text for r in pii.surrogates(x).collect()}
-    assert out[1] == f"Mr {real(pii.KEY, 'Baker', 5)} and Mr {real(pii.KEY, 'Adams')}" and out[2] == f"Mr {real(pii.KEY, 'Clark')}"
+    out = {r.doc_id: r.text for r in pii.surrogates(x, secret=KEY).collect()}
+    assert out[1] == f"Mr {real(KEY, 'Baker', 5)} and Mr {real(KEY, 'Adams')}" and out[2] == f"Mr {real(KEY, 'Clark')}" and out[None] == f"Mr {real(KEY, 'Baker', 5)}"
 
 
 def test_added_columns_replace_those_of_their_names(docs):
@@ -299,3 +301,101 @@ def test_secret_spans_of_many_finds_in_one_text():
     t = " ".join(f"token={'ab12' * 4}{i:06d} zX9qW3rT7yU2iP8aS5{i:06d}" for i in range(20_000))
     got = scanner.spans(t)
     assert sum(k == 0 for _, k, _ in got) == 20_000 and all(a[2] <= b[0] for a, b in zip(got, got[1:], strict=False))
+
+
+LEAKS = [
+    "жанна@mail.ru", "Ωμέγα.άλφα@mail.gr", "josé.ñandú@mail.es", "o'brien.k@mail.ie", "jose\u0301.x@mail.es", "user.name@пример.рф", "分析员.研究组@mail.cn", "مستخدم@mail.sa", "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332",
+    "٠١٢٣-٤٥٦-٧٨٩٠", "+1 (212) 555-0187", "8.8.4.4", "536-90-4399", "4111 1111 1111 1111", "４１１１ １１１１ １１１１ １１１１",
+]
+
+
+@pytest.mark.parametrize("value", LEAKS)
+def test_no_part_of_an_entity_stays(value):
+    new, found = pii.replaced(f"see {value} for more", KEY)
+    assert len(found) == 1 and found[0][:2] == (4, 4 + len(value)) and value not in new and new.startswith("see ") and new.endswith(" for more")
+    got = new[4 : -len(" for more")]
+    shape = lambda t: ["9" if c.isdecimal() else "a" if c.isalpha() else "m" if unicodedata.combining(c) else c for c in t]
+    assert pii.replaced(f"see {value} for more", "another key")[0] != new
+    if "." not in value or "@" in value:
+        assert shape(got) == shape(value)
+    words = [w for w in re.split(r"[@.' -]", value.rsplit(".", 1)[0] if "@" in value else value) if sum(map(str.isalpha, w)) >= 3 and w != "mail"]
+    assert not any(w in got for w in words) and (not value[:2].isascii() or not value[:2].isupper() or pii.iban_ok(got))
+
+
+def test_surrogates_of_short_forms_all_move_and_are_distinct():
+    for n in (2, 3, 10, 26, 676):
+        assert sorted(pii.permuted(KEY, "x", i, n) for i in range(n)) == list(range(n)) and all(pii.permuted(KEY, "x", i, n) != i for i in range(n))
+    even = [pii.permuted(KEY, "x", i, 1000, lambda y: y % 2 == 0) for i in range(0, 1000, 2)]
+    assert sorted(even) == list(range(0, 1000, 2)) and all(a != b for a, b in zip(even, range(0, 1000, 2), strict=True))
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x5D0, 0x5EB), *range(0x620, 0x64B), *range(0x4E00, 0x4E80), *range(0x10A0, 0x1100)) if chr(c).isalpha()]
+    new = [pii.reformed(KEY, "x", c) for c in letters]
+    assert len(set(new)) == len(letters) and not any(a == b for a, b in zip(letters, new, strict=True)) and all(a.isupper() == b.isupper() for a, b in zip(letters, new, strict=True))
+
+
+def test_ibans_stay_distinct_and_valid():
+    body = lambda i: f"37040044{i:010d}"
+    check = lambda b: 98 - int(b + "131400") % 97
+    old = [f"DE{check(body(i)):02d}{body(i)}" for i in range(0, 30000, 7)]
+    assert all(map(pii.iban_ok, old))
+    new = [pii.iban(KEY, t) for t in old]
+    assert len(set(new)) == len(old) and all(map(pii.iban_ok, new)) and not any(a[4:] == b[4:] for a, b in zip(old, new, strict=True))
+
+
+def test_names_agree_in_gender_and_refer_to_the_same():
+    new, found = pii.replaced("Г-н Иванов и г-жа встретились. Г-жа Иванова пришла. Мария Иванова ушла; Иванов спит.", KEY)
+    family = new.split()[1]
+    assert family.endswith("ов") and f"Г-жа {family}а" in new and new.endswith(f"{family} спит.") and "Иванов" not in new and len(found) == 5
+    assert pii.replaced("Κύριος Παπαδόπουλος", KEY)[0].endswith("όπουλος") and pii.replaced("Κυρία Παπαδοπούλου", KEY)[0].endswith("οπούλου")
+    new, _ = pii.replaced("Mr Ahmed Khan and Ms Ayesha Khan. mr john smith, Emma O'Brien. Smith", KEY)
+    w = new.split()
+    assert w[1].endswith("rik") and w[5].endswith("na") and w[2] == w[6].rstrip(".") and not re.search("Khan|smith|Smith|Brien|Ayesha|Ahmed|john", new)
+    assert pii.replaced("Иван сказал привет. Mark my words, will you", KEY)[1] == []
+    new, found = pii.replaced("السيد أحمد الخطيب قال", KEY)
+    assert len(found) == 2 and "الخطيب" not in new and new.split()[1] in pii.GIVEN["arabic", "m"]
+
+
+def plain_replaced(text):
+    """One find after the other, each against all before, without the shortcuts."""
+    found = []
+    finds = [("email", m.span(), "") for m in pii.EMAIL.finditer(text)] + [("iban", m.span(), "") for m in pii.IBAN.finditer(text) if pii.iban_ok(m[0])]
+    finds += [(k, m.span(), "") for k, p in (("ip", pii.IP), ("ssn", pii.SSN), ("card", pii.CARD), ("phone", pii.PHONE)) for m in p.finditer(text)]
+    finds += [(k, (a, b), g) for a, b, k, g in pii.name_parts(text)]
+    for kind, (a, b), g in finds:
+        if all(b <= x or a >= y for x, y, _, _ in found):
+            found.append((a, b, kind, g))
+    for a, b, kind, g in sorted(found, reverse=True):
+        t = text[a:b]
+        make = {"email": pii.email, "iban": pii.iban, "ip": pii.ip, "ssn": pii.ssn, "card": pii.card, "phone": pii.phone, "given": pii.given}.get(kind)
+        text = text[:a] + (make(KEY, t) if make else (pii.surname if kind == "surname" else pii.called)(KEY, t, 0, g)) + text[b:]
+    return text, len(found)
+
+
+def test_private_data_against_a_plain_version(docs):
+    rows = docs.withColumns({c: F.lit("clash") for c in ("redrawn", "id", "row", "n_email")})
+    got = pii.surrogates(rows, secret=KEY).collect()
+    want = collections.Counter((r.doc_id, *(plain_replaced(r.text) if r.text else (r.text, 0))) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.text, len(r.spans.split(",")) if r.spans else 0) for r in got) == want and sum(n for _, _, n in want) > 0
+    assert all(r.redrawn == r.id == "clash" and isinstance(r.n_email, int) for r in got)
+
+
+def test_many_finds_in_one_text_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        t = " ".join(f"a{i}.b@mail{i % 7}.com" for i in range(n))
+        start = time.process_time()
+        assert len(pii.spans(t)) == n
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_the_key_is_the_session_s(spark):
+    drawn = pii.secret_of(spark)
+    assert drawn == pii.secret_of(spark) and len(drawn) == 64
+    spark.conf.set(pii.SETTING, "mine")
+    try:
+        d = spark.createDataFrame([(1, "write to a.b@mail1.com")], "doc_id bigint, text string")
+        assert pii.surrogates(d).first().text == pii.replaced("write to a.b@mail1.com", "mine")[0]
+    finally:
+        spark.conf.unset(pii.SETTING)

@@ -31,6 +31,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, str(rows))
 
 
+def fresh(names: list[str], stem: str) -> str:
+    """A name like the stem that none of the columns has, whatever their case."""
+    there = {c.lower() for c in names}
+    while stem.lower() in there:
+        stem += "_"
+    return stem
+
+
 def packed(df: DataFrame, **inputs: Column) -> DataFrame:
     """Only the given columns, and `row` with all columns that came in, so that no column's name can clash with a step's own."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(name) for name, c in inputs.items()])
