@@ -110,13 +110,13 @@ def brute_components(rows, links):
     return {i: root(i) for i in rows}
 
 
-def words_set(t):
+def words_set(t, n):
     w = (t or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute_near(rows):
-    s = [(i, words_set(t)) for i, t in rows]
+def brute_near(rows, words):
+    s = [(i, words_set(t, words)) for i, t in rows]
     links = [(a, b) for k, (a, x) in enumerate(s) for b, y in s[:k] if x and y and 100 * len(x & y) >= 80 * len(x | y)]
     return brute_components([i for i, _ in s], links), {i: len(x) for i, x in s}
 
@@ -137,16 +137,44 @@ def variants(n, seed):
     return out
 
 
-@pytest.mark.parametrize("chunk", [components.CHUNK, 4])
-def test_near_duplicates(spark, monkeypatch, chunk):
-    monkeypatch.setattr(components.chunk_pairs, "__defaults__", (chunk,))
+@pytest.mark.parametrize(("chunk", "words"), [(components.CHUNK, 4), (4, 4), (7, 5), (2, 5)])
+def test_near_duplicates(spark, chunk, words):
     rows = variants(300, 1) + [(1000, ""), (1001, None), (1002, " \t"), (1003, "A b"), (1004, "a B"), (1005, "a b c"), (1006, "x " * 60_000)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    want, sizes = brute_near(rows)
-    got = minhash.near_duplicates(d.withColumn("n", F.lit(1)).repartition(5)).collect()
+    want, sizes = brute_near(rows, words)
+    got = minhash.near_duplicates(d.withColumn("n", F.lit(1)).repartition(5), words=words, chunk=chunk).collect()
     assert {r.id: r.component for r in got} == want and {r.id: r.n for r in got} == sizes
 
 
+def test_a_large_group_of_near_copies_beside_others(spark):
+    rng = np.random.default_rng(12)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(240):  # copies of one text with more and more edits, so that only some are linked with the first
+        w = list(base)
+        for _ in range(i % 12):
+            w[int(rng.integers(0, 300))] = f"v{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, _ = brute_near(rows, 5)
+    assert 1 < len(set(want.values())) < 150
+    assert {r.id: r.component for r in minhash.near_duplicates(d, chunk=16).collect()} == want
+
+
+def test_chunk_pairs_bring_every_two_rows_together_once(spark):
+    rows = [(b, i, (i * 7 + b) % 3 > 0) for b, n in ((1, 40), (2, 9), (3, 1)) for i in range(n)] + [(4, i, True) for i in range(30)]
+    d = spark.createDataFrame(rows, "bucket bigint, id bigint, settled boolean")
+    for frame, calm in ((d, {(b, i): s for b, i, s in rows}), (d.drop("settled"), {})):
+        pieces, met = collections.defaultdict(list), collections.Counter()
+        for r in components.chunk_pairs(frame, 5).collect():
+            pieces[r.bucket, r.i, r.j].append((r.id, r.own))
+        for (b, i, j), own in pieces.items():
+            assert len(own) <= 40
+            met.update((b, *sorted((x, y))) for k, (x, p) in enumerate(own) for y, q in own[:k] if i == j or p != q)
+        want = {(b, *sorted((x, y))) for b, x, _ in rows for c, y, _ in rows if b == c and x != y and not (calm.get((b, x)) and calm.get((b, y)))}
+        assert set(met) == want and set(met.values()) <= {1}
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     d = spark.createDataFrame([(7, "a b c d e"), (7, "v w x y z"), (9, "v w x y z"), (None, "a b c d e"), (None, "alone in here now")], "doc_id bigint, text string")
     got = sorted((r.id or -1, r.component or -1) for r in minhash.near_duplicates(d).collect())
@@ -241,7 +269,7 @@ def test_pipeline(spark):
             model = quality.learn(before, spark.read.parquet(f"{SMALL}/labels.parquet"))
             assert docs.count() == quality.score(before, model, out="s").where(F.col("s") >= 0.3).count() < before.count()
         if name == "near_duplicates":
-            want, _ = brute_near([(r.doc_id, r.text) for r in before.where("doc_id is not null").collect()])
+            want, _ = brute_near([(r.doc_id, r.text) for r in before.where("doc_id is not null").collect()], 5)
             assert sorted(r.doc_id for r in docs.where("doc_id is not null").collect()) == sorted({c for c in want.values()})
         if name == "private_data":
             assert docs.count() == before.count() and not docs.where("text like '%a.b@mail1%'").count()

@@ -50,15 +50,21 @@ def connected(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def chunk_pairs(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(bucket, id) of buckets with two rows or more to (bucket, id, own, i, j): the chunk pairs that a row takes part in.
+    """(bucket, id, …) of buckets with two rows or more to (bucket, id, own, i, j, …): the chunk pairs that a row takes part in.
 
-    A bucket's rows are dealt over ceil(rows / chunk) chunks by hash; every two rows of it meet in exactly one pair of chunks.
+    A bucket's rows are dealt over ceil(rows / chunk) chunks by hash; every two rows of it meet in exactly one pair of chunks. With a
+    column `settled`, rows that have it true need not meet each other: they get chunks of their own, which meet the others only.
     """
-    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("bucket").alias("_bucket"), F.ceil(F.col("_n") / chunk).cast("int").alias("_chunks"))
-    dealt = rows.join(many, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("bucket", "id"), F.col("_chunks")).cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    return dealt.select("bucket", "id", "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
+    calm = F.col("settled") if "settled" in rows.columns else F.lit(False)
+    rest = [c for c in rows.columns if c not in ("bucket", "id", "settled")]
+    parts = lambda c: F.ceil(F.sum(c.cast("bigint")) / chunk).cast("int")
+    many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"), parts(~calm).alias("_open"), parts(calm).alias("_calm")).where("_n > 1 and _open > 0").withColumnRenamed("bucket", "_bucket").drop("_n")
+    dealt = rows.withColumn("_settled", calm).join(many, F.col("bucket") == F.col("_bucket"))
+    place = lambda n: F.pmod(F.xxhash64("bucket", "id"), F.greatest(n, F.lit(1))).cast("int")
+    dealt = dealt.withColumn("own", F.when(F.col("_settled"), F.col("_open") + place(F.col("_calm"))).otherwise(place(F.col("_open"))))
+    last = F.col("_open") - 1 + F.when(F.col("_settled"), 0).otherwise(F.col("_calm"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("bucket", "id", "own", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), *rest)
 
 
 def each_piece(rows: DataFrame, run: Callable[[tuple[int, int, int], pa.Table], list[tuple]], schema: str) -> DataFrame:
