@@ -291,3 +291,24 @@ def test_pipeline_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, SMALL)
         assert d.count() == 0
+
+
+def test_pipeline_beside_clashing_columns(spark):
+    clash = ["_key", "key", "row", "size", "target", "source_size", "score", "_score", "spans", "n_email", "redrawn", "digest", "gone", "id", "_id", "n", "component", "bands", "copies", "bucket", "copy", "tie", "_t", "number"]
+    plain = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd = plain.withColumns({c: F.lit("clash") for c in clash})
+    for name, stage in corpus_pipeline.STAGES:
+        before = odd
+        plain, odd = materialise(stage(spark, plain, SMALL)), materialise(stage(spark, odd, SMALL))
+        if name != "token_ids":
+            assert odd.columns == before.columns and odd.where(" and ".join(f"`{c}` = 'clash'" for c in clash)).count() == odd.count()
+        assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, odd.select(*plain.columns).collect()), key=str)
+
+
+def test_pipeline_order_of_rows_that_share_an_id(spark):
+    rows = [(7, "a b c d e f", "x"), (7, "a b c d e f", "y"), (7, "A b c d e f", "z"), (None, "a b c d e f", "w"), (8, "q", None), (8, "q", "s")]
+    kept = []
+    for seed in (1, 2, 3):
+        d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").orderBy(F.rand(seed)).repartition(4)
+        kept.append(sorted(map(tuple, corpus_pipeline.deduplicate(spark, d, SMALL).collect()), key=str))
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
