@@ -229,6 +229,14 @@ def test_embedding_links_of_each_length(spark):
     assert got == {i: (4, 0) for i in range(5)} | {10: (1, 10), 11: (1, 10), 12: (0, 12), 20: (1, 20), 21: (1, 20), 30: (0, 30)}
 
 
+def test_embedding_links_of_a_repeated_id_with_other_vectors(spark):
+    v, v2, w, w2, far = [1.0, 0.02, 0.0], [1.0, 0.0, 0.0], [0.0, 0.02, 1.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0]
+    rows = [(1, v), (1, w), (2, v2), (3, w2), (5, far), (5, far), (None, far), (None, [0.0, -1.0, 0.0]), (1, None)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "same", "name", "v", "copies")})
+    got = collections.Counter((r.id, r.n_links, r.component) for r in itq.link(d).collect())
+    assert got == collections.Counter({(1, 1, 1): 2, (2, 1, 1): 1, (3, 1, 1): 1, (5, 2, 5): 2, (None, 2, 5): 1, (None, 0, None): 1, (1, 0, 1): 1})
+
+
 @pytest.mark.parametrize("n", [20_000, 1_000_000])
 @pytest.mark.parametrize("common", [0.0, 0.75])
 def test_near_vectors_meet_whatever_their_mean(common, n):

@@ -5,13 +5,17 @@ balanced and lose little. Codes are cut into tables of `bits` bits; two vectors
 it. With n distinct vectors a table has about log2(n / BUCKET) bits, and there are as many tables as bring two vectors at the
 threshold together with probability TARGET, by as many rotations as that takes. Bits are of vectors less their mean, between which
 angles are wider, so tables are counted and then tried on pairs of the sample and pairs built at the threshold; where they would be
-more than comparing all vectors with each other is worth, one table of no bits has them all. In a bucket all pairs not met in an earlier table
-are compared in double precision. Equal vectors are one representative, with its number of copies. Pairs never become rows: a
-bucket gives each vector's number of links and the edges of a spanning forest; large buckets are split into pairs of chunks.
+more than comparing all vectors with each other is worth, one table of no bits has them all. What travels to the buckets is a vector's
+number and the signs of all its bits. There, all pairs not met in an earlier table whose signs differ in few enough places (at most
+as many as in any tried pair, and one more) have their vectors fetched, which are compared in double precision. Equal vectors are one
+representative, with its number of copies. Pairs never become rows: a bucket gives each vector's number of links and the edges of a
+spanning forest; large buckets are split into pairs of chunks.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; those of each length have
-an index of their own; null vec_id rows have no component; rows that repeat a vec_id
-count as copies; an empty table gives an empty result.
+an index of their own; every row is a vector of its own: rows that repeat a vec_id and its vector are copies that link with each other,
+with another vector each row has its own links, and the least vec_id reachable; null vec_id rows are linked like others, and name no
+component: a component without any vec_id is null; all columns but key and vector are left out, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ ROUNDS = 30
 #: Pairs that tables are tried on, of each kind; those of the sample are at most NEAR above the threshold.
 TRIED = 2048
 NEAR = 0.03
+#: Signs that travel with a vector's number, at least.
+SIGNS = 128
 SEED = "itq-1"
 
 
@@ -152,22 +158,34 @@ class Index:
                 self.bits, self.tables = 0, 1
             self.rotate(sample)
 
+        far = [int((self.signs(u) != self.signs(v)).sum(1).max()) for u, v in pairs if len(u)]
+        self.radius = max(far) + 1 if far else max(1, self.dimension) * len(self.rotations)
+
     def rotate(self, sample: np.ndarray) -> None:
-        """As many rotations as the tables take."""
-        need = -(-self.bits * self.tables // self.dimension) if self.dimension else 0
+        """As many rotations as the tables take, and enough of them for the signs to tell vectors apart."""
+        need = max(-(-self.bits * self.tables // self.dimension), -(-SIGNS // self.dimension)) if self.dimension else 0
         self.rotations = self.rotations[:need] + [rotation(sample, s) for s in range(len(self.rotations), need)]
 
     def found(self, u: np.ndarray, v: np.ndarray) -> int:
         """How many of the pairs meet in a table."""
         return int((self.keys(u) == self.keys(v)).any(1).sum())
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
+    def signs(self, unit: np.ndarray) -> np.ndarray:
+        """The bits of all rotations, a byte each."""
+        width = self.dimension * len(self.rotations)
+        out = np.zeros((len(unit), width), dtype=np.uint8)
+        for at in range(0, len(unit) if width else 0, 256):
+            out[at : at + 256] = np.concatenate([(unit[at : at + 256] - m) @ r > 0 for m, r in self.rotations], axis=1)
+        return out
+
+    def keys(self, unit: np.ndarray, signs: np.ndarray | None = None) -> np.ndarray:
         """A number for each table; the table's number is part of it."""
         out = np.tile(np.arange(self.tables, dtype=np.int64) << 40, (len(unit), 1))
-        for at in range(0, len(unit) if self.bits else 0, 256):  # few rows at a time: a row has bits x tables numbers
-            code = np.concatenate([(unit[at : at + 256] - m) @ r > 0 for m, r in self.rotations], axis=1)[:, : self.bits * self.tables]
-            cut = code.reshape(len(code), self.tables, self.bits)
-            out[at : at + 256] += cut @ (1 << np.arange(self.bits, dtype=np.int64))
+        if self.bits and len(unit):
+            signs = self.signs(unit) if signs is None else signs
+            for at in range(0, len(unit), 256):
+                cut = signs[at : at + 256, : self.bits * self.tables].reshape(-1, self.tables, self.bits)
+                out[at : at + 256] += cut @ (1 << np.arange(self.bits, dtype=np.int64))
         return out
 
 
@@ -188,34 +206,67 @@ def units(vectors: list, dimension: int | None = None) -> tuple[np.ndarray, np.n
 
 
 def coded(reps: DataFrame, index: Index) -> DataFrame:
-    """(id, copies, unit, keys) of the valid representatives."""
+    """(id, copies, unit, keys, signs) of the valid representatives."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, u = units(b.column(2).to_pylist(), index.dimension)
             if len(u):
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(list(index.keys(u)), pa.list_(pa.int64()))], ["id", "copies", "unit", "keys"])
+                at, bits = pa.array(np.flatnonzero(ok)), index.signs(u)
+                columns = [b.column(0).take(at), b.column(1).take(at), pa.array([x.tobytes() for x in u], pa.binary()), pa.array(list(index.keys(u, bits)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], ["id", "copies", "unit", "keys", "signs"])
+
+    return reps.select("id", "copies", "v").mapInArrow(run, "id bigint, copies bigint, unit binary, keys array<bigint>, signs binary")
+
+
+class Met:
+    """Which rows of a piece have to be compared: signs near, in no earlier table together, of both chunks where there are two."""
+
+    def __init__(self, key: tuple[int, int, int], rows: pa.Table, bits: int, radius: int):
+        n = rows.num_rows
+        packed = np.frombuffer(b"".join(rows.column("signs").to_pylist()), dtype=np.uint8).reshape(n, -1)
+        self.signs = np.unpackbits(packed, axis=1)
+        self.own, self.place, self.crossed, self.bits, self.radius = rows.column("own").to_numpy(), key[0] >> 40, key[1] != key[2], bits, radius
+        whole = self.signs.astype(np.float32)
+        ones = whole.sum(1)
+        self.near = np.triu(ones[:, None] + ones - 2 * (whole @ whole.T) <= radius, 1)
+
+    def later(self, a: int) -> np.ndarray:
+        """The later rows that row a is compared with."""
+        rest = np.flatnonzero(self.near[a])
+        if self.crossed:
+            rest = rest[self.own[rest] != self.own[a]]
+        if self.place and len(rest):
+            width = self.place * self.bits
+            same = (self.signs[rest, :width] == self.signs[a, :width]).reshape(len(rest), self.place, self.bits).all(2)
+            rest = rest[~same.any(1)]
+        return rest
+
+
+def likely(pieces: DataFrame, bits: int, radius: int) -> DataFrame:
+    """(bucket, id, own, i, j) of the rows that have a row to be compared with; written out."""
+    def run(key: tuple[int, int, int], rows: pa.Table) -> list[tuple]:
+        met, hit = Met(key, rows, bits, radius), set()
+        for a in range(rows.num_rows - 1):
+            rest = met.later(a).tolist()
+            if rest:
+                hit.add(a)
+                hit.update(rest)
+        ids = rows.column("id").to_pylist()
+        return [(key[0], ids[k], int(met.own[k]), key[1], key[2]) for k in sorted(hit)]
 
-    return reps.select("id", "copies", "v").mapInArrow(run, "id bigint, copies bigint, unit binary, keys array<bigint>")
+    return materialise(each_piece(pieces, run, "bucket bigint, id bigint, own int, i int, j int"))
 
 
-def bucket_links(met: DataFrame, cosine: float, dimension: int) -> DataFrame:
-    """From (bucket, id, own, i, j, copies, unit, keys): (id, links, other) rows; other is an edge of the forest or null."""
+def bucket_links(met: DataFrame, cosine: float, dimension: int, bits: int, radius: int) -> DataFrame:
+    """From (bucket, id, own, i, j, copies, unit, signs): (id, links, other) rows; other is an edge of the forest or null."""
     def run(key: tuple[int, int, int], rows: pa.Table) -> list[tuple]:
         n = rows.num_rows
         u = np.frombuffer(b"".join(rows.column("unit").to_pylist()), dtype=np.float64).reshape(n, dimension)
-        keys = np.concatenate([c.flatten().to_numpy() for c in rows.column("keys").chunks]).reshape(n, -1)
-        ids, copies, own = (rows.column(c).to_numpy() for c in ("id", "copies", "own"))
-        place, crossed = key[0] >> 40, key[1] != key[2]
-        near = u @ u.T >= cosine - 1e-9
-        near = np.triu(near, 1)
+        ids, copies = (rows.column(c).to_numpy() for c in ("id", "copies"))
+        near = Met(key, rows, bits, radius)
         links, forest, edges = np.zeros(n, dtype=np.int64), Forest(n), []
         for a in range(n - 1):
-            rest = np.flatnonzero(near[a])
-            if crossed:
-                rest = rest[own[rest] != own[a]]
-            if place and len(rest):
-                rest = rest[~(keys[rest, :place] == keys[a, :place]).any(1)]
+            rest = near.later(a)
             rest = rest[(u[rest] * u[a]).sum(1) >= cosine] if len(rest) else rest
             if len(rest):
                 links[a] += copies[rest].sum()
@@ -229,33 +280,35 @@ def bucket_links(met: DataFrame, cosine: float, dimension: int) -> DataFrame:
 
 def link(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component) of every row."""
-    src = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    finite = F.coalesce(F.size("v"), F.lit(0)) > 0
-    valid = finite & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    src = rows.select(F.col(f"`{key}`").cast("bigint").alias("name"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    valid = (F.coalesce(F.size("v"), F.lit(0)) > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     # -0.0 and 0.0 are the same component of a vector.
-    src = src.withColumn("same", F.when(valid, F.md5(F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("string"))))
-    src = src.where("same is not null")
-    groups = src.groupBy("same").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
-    reps = materialise(groups.where("id is not null"))
+    same = F.when(valid, F.md5(F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("string")))
+    src = src.withColumn("same", same)
+    # A vector, not a vec_id, is a node; its number is made here and written out.
+    groups = src.where("same is not null").groupBy("same").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    reps = materialise(groups.withColumn("id", F.monotonically_increasing_id()))
     # An index for each length that two vectors or more have; vectors of other lengths have no cosine.
     outs = []
     for dimension, n in sorted(tuple(r) for r in reps.groupBy(F.size("v").alias("d")).count().where("count > 1").collect()):
         own = reps.where(F.size("v") == dimension)
-        picked = [r[0] for r in own.orderBy(draw(SEED, F.col("id")), "id").limit(sample).select("v").collect()]
-        made = materialise(coded(own, Index(units(picked, dimension)[1], dimension, n, cosine, target)))
-        pieces = chunk_pairs(made.select("id", F.explode("keys").alias("bucket")).select("bucket", "id"))
-        met = pieces.join(made.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
-        outs.append(materialise(bucket_links(met, cosine, dimension)))
+        picked = [r[0] for r in own.orderBy(draw(SEED, F.col("same")), "same").limit(sample).select("v").collect()]
+        index = Index(units(picked, dimension)[1], dimension, n, cosine, target)
+        made = materialise(coded(own, index))
+        pieces = chunk_pairs(made.select("id", F.explode("keys").alias("bucket"), "signs").select("bucket", "id", "signs"))
+        whole = made.select(F.col("id").alias("_id"), "copies", "unit", "signs")
+        met = likely(pieces, index.bits, index.radius).join(whole, F.col("id") == F.col("_id")).drop("_id")
+        outs.append(materialise(bucket_links(met, cosine, dimension, index.bits, index.radius)))
     out = reduce(DataFrame.unionByName, outs) if outs else rows.sparkSession.createDataFrame([], "id bigint, links bigint, other bigint")
     counts = out.where("links > 0").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "_c")
     found = connected(out.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    each = reps.select("same", F.col("id").alias("rep"), "copies")
-    each = each.join(counts, F.col("rep") == F.col("_c"), "left").join(found, F.col("rep") == F.col("node"), "left")
-    each = each.select(F.col("same").alias("_same"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "rep").alias("_component"))
+    each = reps.select("same", "id", "name", "copies").join(counts, F.col("id") == F.col("_c"), "left").join(found, F.col("id") == F.col("node"), "left")
+    each = materialise(each.select(F.col("same").alias("_same"), "name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("group")))
+    least = each.groupBy("group").agg(F.min("name").alias("component")).withColumnRenamed("group", "_group")
+    each = each.join(least, F.col("group") == F.col("_group")).select("_same", "links", "component")
     # Back to every row, of which the invalid ones have no representative.
-    name = F.when(valid, F.md5(F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast("string")))
-    every = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).select("id", name.alias("same"))
-    return every.join(each, F.col("same") == F.col("_same"), "left").select("id", F.coalesce("_links", F.lit(0)).alias("n_links"), F.coalesce("_component", "id").alias("component"))
+    every = src.select(F.col("name").alias("id"), "same").join(each, F.col("same") == F.col("_same"), "left")
+    return every.select("id", F.coalesce("links", F.lit(0)).alias("n_links"), F.when(F.col("_same").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
