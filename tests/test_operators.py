@@ -40,10 +40,17 @@ def test_history_rows(spark):
 
 def test_positions_are_a_total_order(spark):
     d = spark.range(1000).select(F.col("id"), ((F.col("id") * 37) % 101).alias("v"))
-    got = base.positions(d, F.col("v"), [F.col("v"), F.col("id")], "k").orderBy("k").collect()
+    got = base.positions(d, [F.col("v"), F.col("id")], "k").orderBy("k").collect()
     assert [r.k for r in got] == list(range(1, 1001)) and [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
 
 
+def test_positions_with_one_value_nearly_everywhere(spark):
+    d = spark.range(4000).select(F.col("id"), F.when(F.col("id") == 7, "1970-01-01").otherwise("2024-05-05").alias("v")).repartition(5)
+    got = base.positions(d, [F.col("v"), F.col("id")], "k").collect()
+    assert {r.id: r.k for r in got} == {7: 1} | {i: i + 2 if i < 7 else i + 1 for i in range(4000) if i != 7}
+    assert base.positions(d.limit(0), [F.col("id")], "k").count() == 0
+
+
 def test_frequent_is_two_passes(spark):
     d = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 3), (3, 1)], "uid bigint, pid bigint")
     assert sorted(map(tuple, base.frequent(d, "pid", "uid", 2, 1).collect())) == [(1, 1), (2, 1), (3, 1)]

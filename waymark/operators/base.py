@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import cut
 
 CATEGORY_ALIASES = ("category", "Category", "Catname", "catname")
 REGION_ALIASES = ("region", "Region")
@@ -47,33 +48,22 @@ def frequent(df: DataFrame, poi: str, user: str, poi_min: int, user_min: int) ->
 
 def dictionary(df: DataFrame, column: str, mapped: str) -> DataFrame:
     """Distinct values to dense numbers from 1 in sorted order."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return positions(values, F.col(column), [F.col(column)], mapped)
+    return positions(df.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], mapped)
 
 
-def positions(df: DataFrame, coarse: Column, order: list[Column], name: str, buckets: int = 256) -> DataFrame:
-    """Adds the 1-based position in a total order without one task for all rows.
+def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 1-based position in a total order, without one task for all rows or for a frequent value.
 
-    Rows are dealt over ranges of `coarse`, which the order must refine: equal widths between its least and
-    largest value, or first characters of texts. Each range is numbered by a window of its own, and the ranges' counts are summed up. Only the counts, one a range, meet.
+    Rows are dealt over ranges of the whole order, whose bounds Spark samples from the data, as many as there are shuffle partitions;
+    each range is sorted and its rows are numbered as they are written out. Then the ranges' sizes, one row each, are summed up.
     """
-    d = df.withColumn("_c", coarse)
-    kind = dict(d.dtypes)["_c"]
-    if kind == "string":
-        cut = F.substring("_c", 1, 3)  # ranges of texts: by their first characters, which sort like the texts
-    else:
-        number = F.col("_c").cast("timestamp").cast("double") if kind.startswith("timestamp") or kind == "date" else F.col("_c").cast("double")
-        lo = d.select(number.alias("_v")).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        d = d.crossJoin(F.broadcast(lo))  # one row
-        cut = F.when(F.col("hi") > F.col("lo"), F.floor((number - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
-    d = d.withColumn("_range", cut)
-    counts = d.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(upto), F.lit(0))).select(F.col("_range").alias("_r"), "_first")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    firsts = firsts if kind == "string" else F.broadcast(firsts)  # at most buckets + 1 rows; beginnings of texts have no such bound
-    out = d.withColumn("_own", own).join(firsts, F.col("_range").eqNullSafe(F.col("_r")))
-    return out.withColumn(name, (F.col("_first") + F.col("_own")).cast("bigint")).drop("_c", "lo", "hi", "_range", "_r", "_first", "_own")
+    d = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))  # partition << 33 | place
+    part, place = F.shiftrightunsigned("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = d.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"))
+    out = d.join(F.broadcast(firsts), part == F.col("_part"))  # a row a shuffle partition
+    return out.withColumn(name, (F.col("_first") + place + 1).cast("bigint")).drop("_row", "_part", "_first")
 
 
 def encode(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -87,7 +77,7 @@ def encode(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def split(df: DataFrame, user: str, poi: str, time: str, tie: str, ratio: float) -> DataFrame:
     """Adds train and kept: train are the first int(ratio n) rows by time; of the others those whose user and place are in train."""
     n = df.agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("_cut"))
-    d = positions(df, F.substring(time, 1, 10).cast("date"), [F.col(time), F.col(tie)], "position").crossJoin(F.broadcast(n))
+    d = positions(df, [F.col(time), F.col(tie)], "position").crossJoin(F.broadcast(n))  # one row
     d = d.withColumn("train", F.col("position") <= F.col("_cut")).drop("_cut")
     seen = lambda c: d.where("train").select(F.col(c).alias(f"_{c}")).distinct().withColumn(f"_in_{c}", F.lit(True))
     out = d.join(seen(user), F.col(user) == F.col(f"_{user}"), "left").join(seen(poi), F.col(poi) == F.col(f"_{poi}"), "left")

@@ -14,15 +14,21 @@ def hour_histogram(df: DataFrame, key: str, hour: str) -> DataFrame:
 
 
 def summary(df: DataFrame) -> DataFrame:
-    """One row a place from (uid, pid, category, category_id, region, lat, lon, time_dt, hour, seq)."""
+    """One row a place from (uid, pid, category, category_id, region, lat, lon, time_dt, hour, seq).
+
+    First visits are found for each place and user, and each place and hour, before anything is gathered: a place's arrays hold its
+    distinct users and hours, not its visits.
+    """
     when = F.struct("uid", "time_dt", "seq")
-    once = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("uid", "time_dt", "seq", F.col(c).alias("v")))), lambda x: x["v"]))
-    out = df.groupBy("pid").agg(
-        once("uid").alias("uids"), once("hour").alias("hours"), *[F.min_by(c, when).alias(c) for c in ("category", "category_id", "region")],
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("uid").alias("unique_user_count"), F.count(F.lit(1)).alias("visit_count"),
-        F.array_sort(F.collect_set("hour")).alias("visit_hours"),
-    )
-    return out.join(hour_histogram(df, "pid", "hour"), "pid")
+    firsts = lambda c: df.groupBy("pid", F.col(c).alias("v")).agg(F.min(when).alias("f"), F.count(F.lit(1)).alias("n"))
+    in_order = lambda g, name: F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias(name)
+    users, hours = firsts("uid"), firsts("hour")
+    by_user = users.groupBy("pid").agg(in_order(users, "uids"), F.count(F.lit(1)).alias("unique_user_count"), F.sum("n").alias("visit_count"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("v").cast("int").alias("h"), "n")))
+    by_hour = hours.groupBy("pid").agg(in_order(hours, "hours"), F.array_sort(F.collect_list("v")).alias("visit_hours"), F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["h"].cast("string"), x["n"]))).alias("visit_time_and_count"))
+    out = df.groupBy("pid").agg(*[F.min_by(c, when).alias(c) for c in ("category", "category_id", "region")], F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+    out = out.join(by_user, "pid").join(by_hour, "pid")
+    return out.select("pid", "uids", "hours", "category", "category_id", "region", "latitude", "longitude", "unique_user_count", "visit_count", "visit_hours", "visit_time_and_count")
 
 
 def neighbours(df: DataFrame, forward_only: bool, user: str = "uid", poi: str = "pid", order: tuple[str, ...] = ("time_dt", "seq")) -> DataFrame:

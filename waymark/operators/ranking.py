@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import profile, sid, vector
+from ..functions import profile, sid
 
 TOP = 10
 SAME_ABC, SAME_AB, SAME_A = 2, 2, 2
@@ -31,7 +33,8 @@ def ranked_targets(targets: DataFrame, space: DataFrame, top: int = TOP) -> Data
     t = targets.select(F.col("target"), sid.prefix(F.col("target"), "a").alias("ta"), sid.prefix(F.col("target"), "ab").alias("tab"), sid.prefix(F.col("target"), "abc").alias("tabc"))
     pick = lambda d, tier: d.select("target", "tabc", "sid", "n", "abc", F.lit(tier).alias("tier"))
     own = t.select("target", F.col("target").alias("candidate"), F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("n"))
-    twin = pick(num(t.join(s, F.col("abc") == F.col("tabc")).where("sid <> target"), ["target"], "k").where(F.col("k") <= SAME_ABC - 1), 1)
+    twins = num(s, ["abc"], "k").where(F.col("k") <= SAME_ABC).drop("k")  # the target itself may be one of the best
+    twin = pick(num(t.join(twins, F.col("abc") == F.col("tabc")).where("sid <> target"), ["target"], "k").where(F.col("k") <= SAME_ABC - 1), 1)
     ab = pick(num(t.join(in_ab, F.col("ab") == F.col("tab")).where("abc <> tabc"), ["target"], "k").where(F.col("k") <= SAME_AB), 2)
     a = pick(num(t.join(in_a, F.col("a") == F.col("ta")).where("ab <> tab"), ["target"], "k").where(F.col("k") <= SAME_A), 3)
     near = ab.unionByName(a).select(F.col("target").alias("_t"), F.col("abc").alias("_abc"))
@@ -43,22 +46,47 @@ def ranked_targets(targets: DataFrame, space: DataFrame, top: int = TOP) -> Data
     return every.withColumn("rank", r).where(F.col("rank") <= top).select("target", "candidate", "tier", "rank")
 
 
-def causal_topk(queries: DataFrame, keys: DataFrame, k: int, days: int = 1) -> DataFrame:
+#: Vectors of a block of queries or of keys; a task scores a block with a block.
+BLOCK = 4096
+
+
+def causal_topk(queries: DataFrame, keys: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, key_id, score, rank): the k most similar keys before the query's time, itself excluded; vectors are unit ones.
 
-    Every earlier key is a candidate, so this is the exact search: it compares in blocks, each query block with each day of keys
-    before it, keeps k a block, and merges. Blocks bound what a task holds; k rows a query and day is what moves.
+    Every earlier key is a candidate, so this is the exact search. Keys are dealt by hash over the blocks of their day, queries over
+    blocks too, both as many as their number asks for, so neither a busy day nor many queries are one task. A pair of blocks whose
+    days allow it is scored by one product of matrices in an Arrow batch and gives k rows a query. Ties, to nine digits, by key.
     """
-    day = lambda c: F.floor(F.unix_timestamp(F.date_trunc("day", F.col(c).cast("timestamp"))) / (86400 * days))
-    q = queries.select(F.col("id").alias("query_id"), F.col("time").alias("qt"), F.col("vec").alias("qv")).withColumn("qd", day("qt"))
-    t = keys.select(F.col("id").alias("key_id"), F.col("time").alias("kt"), F.col("vec").alias("kv")).withColumn("kd", day("kt"))
-    days_of = t.select("kd").distinct()
-    spread = q.join(F.broadcast(days_of), F.col("kd") <= F.col("qd"))  # one row a day with keys
-    met = spread.join(t, "kd").where((F.col("kt") < F.col("qt")) & (F.col("query_id") != F.col("key_id")))
-    scored = met.select("query_id", "key_id", "kd", vector.dot(F.col("qv"), F.col("kv")).alias("score"))
-    cut = lambda keys_: Window.partitionBy(*keys_).orderBy(F.col("score").desc(), "key_id")
-    part = scored.withColumn("r", F.row_number().over(cut(["query_id", "kd"]))).where(F.col("r") <= k)
-    return part.withColumn("rank", F.row_number().over(cut(["query_id"]))).where(F.col("rank") <= k).select("query_id", "key_id", "score", "rank")
+    day = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 86400)
+    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    side = lambda d, time: d.select(F.col("id"), stamp(time).alias("t"), day(time).alias("day"), F.col("vec"))
+    q, t = side(queries, "time").where("t is not null"), side(keys, "time").where("t is not null")
+    sizes = lambda d: d.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    dealt = lambda d, n, name: d.join(F.broadcast(n), "day").withColumn(name, F.concat_ws("-", "day", F.pmod(F.xxhash64("id"), F.col("n")))).drop("n")  # noqa: E731  a row a day
+    kn, qn = sizes(t), sizes(q)
+    # The pairs of blocks: a row for each, by their days.
+    kb = kn.select(F.col("day").alias("kd"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("kj")).select("kd", F.concat_ws("-", "kd", "kj").alias("kb"))
+    qb = qn.select(F.col("day").alias("qd"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("qj")).select("qd", F.concat_ws("-", "qd", "qj").alias("qb"))
+    pairs = qb.join(kb, F.col("kd") <= F.col("qd")).select("qb", "kb")
+    left, right = dealt(q, qn, "qb").join(pairs, "qb").drop("day"), dealt(t, kn, "kb").join(pairs, "kb").drop("day")
+    right = right.select(*[F.col(c).alias(f"k_{c}") for c in ("qb", "kb", "id", "t", "vec")])  # both sides may come from one frame
+    ids = dict(t.dtypes)["id"]
+
+    def score(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(one) and len(other):
+            other = other.rename(columns=lambda c: c[2:]).sort_values("id", kind="stable")
+            s = (np.array(one["vec"].tolist()) @ np.array(other["vec"].tolist()).T).round(9)
+            barred = (other["t"].to_numpy()[None, :] >= one["t"].to_numpy()[:, None]) | (other["id"].to_numpy()[None, :] == one["id"].to_numpy()[:, None])
+            s[barred] = -np.inf
+            for row, own in zip(s, one["id"], strict=True):
+                best = np.argsort(-row, kind="stable")[:k]
+                out += [(own, other["id"].iloc[j], float(row[j])) for j in best if row[j] > -np.inf]
+        return pd.DataFrame(out, columns=["query_id", "key_id", "score"])
+
+    part = left.groupBy("qb", "kb").cogroup(right.groupBy("k_qb", "k_kb")).applyInPandas(score, f"query_id {ids}, key_id {ids}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key_id"))
+    return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "key_id", "score", "rank")
 
 
 def accuracy(predictions: DataFrame, kind: str = "sid") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw
+from ..functions.draws import draw, fine_draw
 
 # The task mixes of the two later phases.
 PHASE_B1 = (("full_sid_to_abc_profile", 0.75), ("abc_to_abc_profile", 0.25))
@@ -21,22 +21,46 @@ def candidate_weight(category_n: Column, region_n: Column) -> Column:
     return 1 / F.sqrt(category_n.cast("double") * region_n.cast("double"))
 
 
-def with_replacement(items: DataFrame, key: str, size: int, seed: int | str, weight: Column | None = None, buckets: int = 64) -> DataFrame:
-    """`size` draws from items, uniform or by weight: (draw, and the item's columns).
+#: Weights are summed in whole millionths, so that sums are the same in any order.
+UNIT = 1_000_000
+#: Items of a bucket whose weights one task adds up, and items and draws that a cell is meant to have.
+BUCKET, CELL = 1 << 16, 64
 
-    Cumulative weights are two-level: hash buckets of items, then items in a bucket; a draw picks a bucket among the few bucket
-    sums, then joins its bucket's items on the bucket and the cumulative range. No task sees all items, no draw meets them all.
+
+def weighted(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds weight: the inverse frequency of a record's category, region and cell among the semantic rows; what they lack counts as one."""
+    d = records
+    for c in ("category", "region", "geo_bucket"):
+        n = rows.groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias(f"_n_{c}"))
+        d = d.join(n, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+    count = lambda c: F.coalesce(F.col(f"_n_{c}"), F.lit(1))
+    return d.withColumn("weight", forward_weight(count("region"), count("category"), count("geo_bucket"))).drop(*[f"_n_{c}" for c in ("category", "region", "geo_bucket")])
+
+
+def with_replacement(items: DataFrame, key: str, size: int, seed: int | str, weight: Column | None = None) -> DataFrame:
+    """`size` draws from items, uniform or by weight: (draw, and the item's columns); no items give no draws.
+
+    Each item has a stretch of the whole numbers below the sum of weights: its hash bucket's offset and the running sum in the
+    bucket, of which there are as many as keep a bucket at BUCKET items. The numbers are cut into cells of about CELL items and draws,
+    an item is sent to each cell that its stretch touches, and a draw meets the items of its own cell only.
     """
-    d = items.withColumn("_w", (weight if weight is not None else F.lit(1.0)).cast("double")).withColumn("_b", F.floor(draw(f"{seed}-bucket", F.col(key)) * buckets).cast("int"))
-    inside = Window.partitionBy("_b").orderBy(F.col(key))
-    d = d.withColumn("_hi", F.sum("_w").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    sums = d.groupBy("_b").agg(F.max("_hi").alias("_s"))
-    upto = Window.orderBy("_b")
-    sums = sums.withColumn("_top", F.sum("_s").over(upto)).withColumn("_from", F.col("_top") - F.col("_s")).withColumn("_all", F.sum("_s").over(Window.partitionBy()))
-    draws = d.sparkSession.range(size).select(F.col("id").alias("draw"), draw(f"{seed}-draw", F.col("id")).alias("_u"))
-    at = draws.join(F.broadcast(sums), (F.col("_u") * F.col("_all") >= F.col("_from")) & (F.col("_u") * F.col("_all") < F.col("_top")))  # at most `buckets` rows
-    at = at.select("draw", F.col("_b").alias("_at"), (F.col("_u") * F.col("_all") - F.col("_from")).alias("_v"))
-    return d.join(at, (F.col("_b") == F.col("_at")) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi"))).select("draw", *items.columns)
+    w = F.greatest(F.lit(1), F.round(weight * UNIT)).cast("bigint") if weight is not None else F.lit(1).cast("bigint")
+    d = items.withColumn("_w", w)
+    n, total = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    if not n or size <= 0:
+        return d.sparkSession.range(0).select(F.col("id").alias("draw")).crossJoin(items.limit(0))
+    d = d.withColumn("_b", F.floor(fine_draw(f"{seed}-bucket", F.col(key)) * -(-n // BUCKET)).cast("bigint"))
+    sums = d.groupBy("_b").agg(F.sum("_w").alias("_s"))  # a row a bucket
+    upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_b", F.coalesce(F.sum("_s").over(upto), F.lit(0)).alias("_from"))
+    d = d.withColumn("_hi", F.sum("_w").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(sums, "_b")
+    d = d.withColumns({"_hi": F.col("_hi") + F.col("_from"), "_lo": F.col("_hi") + F.col("_from") - F.col("_w")})
+    width = max(1, -(-total * CELL // (n + size)))
+    cell = lambda c: F.floor(c / width).cast("bigint")
+    d = d.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1))))
+    at = d.sparkSession.range(size).select(F.col("id").alias("draw"), F.floor(fine_draw(f"{seed}-draw", F.col("id")) * float(total)).cast("bigint").alias("_v")).withColumn("_at", cell(F.col("_v")))
+    met = d.join(at, (F.col("_cell") == F.col("_at")) & (F.col("_v") >= F.col("_lo")) & (F.col("_v") < F.col("_hi")))
+    return met.select("draw", *[F.col(f"`{c}`") for c in items.columns])
 
 
 def quotas(counts: DataFrame, mix: tuple[tuple[str, float], ...]) -> DataFrame:
@@ -49,8 +73,12 @@ def quotas(counts: DataFrame, mix: tuple[tuple[str, float], ...]) -> DataFrame:
     return share.select("family", F.when(F.col("last"), rest).otherwise(F.col("q")).cast("bigint").alias("quota"))
 
 
-def mixed(families: dict[str, DataFrame], mix: tuple[tuple[str, float], ...], key: str = "sample_id", seed: int = 42, weight: Column | None = None) -> DataFrame:
-    """Families in their shares of all rows, sampled with replacement, in hash order; weight: for the family of full SIDs."""
+#: The families whose records are drawn by weight.
+WEIGHTED = ("full_sid_to_abc_profile", "abc_to_abc_profile")
+
+
+def mixed(families: dict[str, DataFrame], mix: tuple[tuple[str, float], ...], key: str = "sample_id", seed: int = 42, weight: str | None = None) -> DataFrame:
+    """Families in their shares of all rows, sampled with replacement, in hash order; weight: the column that the WEIGHTED ones have it in."""
     counts = None
     for f, d in families.items():
         n = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("family"), "n")
@@ -59,7 +87,7 @@ def mixed(families: dict[str, DataFrame], mix: tuple[tuple[str, float], ...], ke
     out = None
     for f, d in families.items():
         if sizes.get(f, 0) > 0:
-            part = with_replacement(d, key, sizes[f], f"{seed}-{f}", weight if f == "full_sid_to_abc_profile" else None).withColumn("family", F.lit(f))
+            part = with_replacement(d, key, sizes[f], f"{seed}-{f}", F.col(weight) if weight and f in WEIGHTED else None).withColumn("family", F.lit(f))
             out = part if out is None else out.unionByName(part)
     return out.orderBy(draw(f"{seed}-order", F.concat_ws("|", "family", F.col("draw").cast("string"))))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, profile, prompts, sid
 from ..functions.draws import draw
+from .base import positions
 
 LEVELS = ("a", "ab", "abc")
 
@@ -62,38 +63,50 @@ def purity(d: DataFrame) -> DataFrame:
     return share.groupBy("level", "field").agg(F.count(F.lit(1)).alias("num_groups"), F.avg("s").alias("mean"), F.median("s").alias("median"), F.min("s").alias("min"), F.max("s").alias("max"))
 
 
+def _firsts(q: DataFrame, group: list[str], other: list[str], keep: int) -> DataFrame:
+    """In each group, the least prefix of each value of `other`, for its `keep` least values: one of them is not the value one has oneself."""
+    each = q.groupBy(*group, *other).agg(F.min("n_prefix").alias("n_prefix"))
+    order = F.row_number().over(Window.partitionBy(*group).orderBy(*other, "n_prefix")) if group else F.row_number().over(Window.orderBy(*other, "n_prefix"))
+    return (each.orderBy(*other, "n_prefix").limit(keep) if not group else each.withColumn("k", order).where(F.col("k") <= keep).drop("k"))
+
+
 def hard_negatives(protos: DataFrame, level: str, count: int = 3, seed: int = 42) -> DataFrame:
     """(positive, negatives): at most one prefix by each of the level's rules, filled up by hash to `count`, sorted.
 
-    Each rule is an equi-join on what has to be equal and keeps the best by a window; the rule for another category has no
-    equality, so it joins the two best prefixes over all categories, which are a bounded list, not all prefixes.
+    A rule that asks for another value can only pick the least prefix of the two least values, so a prefix never meets all of its
+    category or region: at level ab two, at level abc two for each of the grid's cells, which geo buckets bound.
     """
     p = protos.where(F.col("level") == level).select("prefix", "category", "region", "geo_bucket")
     q = p.select(*[F.col(c).alias(f"n_{c}") for c in p.columns])
-    other = F.col("category") != F.col("n_category")
+    differs = lambda c: F.col(c) != F.col(f"n_{c}")
+    same = lambda c: F.col(c) == F.col(f"n_{c}")
     away = geo.bucket_distance(F.col("geo_bucket"), F.col("n_geo_bucket"))
     if level == "a":
-        # The least (category, prefix) of another category is among the leasts of the two first categories.
-        firsts = q.groupBy("n_category").agg(F.min("n_prefix").alias("n_prefix")).orderBy("n_category").limit(2)
-        rules = [(p.join(F.broadcast(firsts), other), ["n_category", "n_prefix"])]
+        rules = [(p.join(F.broadcast(_firsts(q, [], ["n_category"], 2)), differs("category")), ["n_category", "n_prefix"])]  # two rows
     elif level == "ab":
         rules = [
-            (p.join(q, (F.col("category") == F.col("n_category")) & (F.col("region") != F.col("n_region"))), ["n_region", "n_prefix"]),
-            (p.join(q, (F.col("region") == F.col("n_region")) & other), ["n_category", "n_prefix"]),
+            (p.join(_firsts(q, ["n_category"], ["n_region"], 2), same("category") & differs("region")), ["n_region", "n_prefix"]),
+            (p.join(_firsts(q, ["n_region"], ["n_category"], 2), same("region") & differs("category")), ["n_category", "n_prefix"]),
         ]
     else:
-        same = F.col("category") == F.col("n_category")
         far = F.coalesce(away.cast("double"), F.lit(float("inf")))
-        # Another category at the least distance: the least prefix of each category in each bucket stands for the others there.
-        cells = q.where(F.col("n_geo_bucket").isNotNull()).groupBy("n_geo_bucket", "n_category").agg(F.min("n_prefix").alias("n_prefix"))
-        kinds = p.select("geo_bucket", "category").distinct().join(cells, other).withColumn("d", away).where("d is not null")
-        near = F.row_number().over(Window.partitionBy("geo_bucket", "category").orderBy("d", "n_category", "n_prefix"))
-        kinds = kinds.withColumn("k", near).where("k = 1").select(F.col("geo_bucket").alias("_g"), F.col("category").alias("_c"), "n_category", "n_prefix", "d")
+        # Prefixes of one category, region and cell share their picks, so these meet and the prefixes get the result.
+        kinds = p.select("category", "region", "geo_bucket").distinct()
+        cells = F.broadcast(_firsts(q.where(F.col("n_geo_bucket").isNotNull()), ["n_geo_bucket"], ["n_category"], 2))  # two rows a cell of the grid
+        alike = q.groupBy("n_category", "n_region", "n_geo_bucket").agg(F.min("n_prefix").alias("n_prefix"))
         rules = [
-            (p.join(q, same & (F.col("region") != F.col("n_region"))).withColumn("d", far), ["d", "n_region", "n_prefix"]),
-            (p.join(q, same & (F.col("region") == F.col("n_region")) & (F.col("geo_bucket") != F.col("n_geo_bucket"))).withColumn("d", far), ["d", "n_prefix"]),
-            (p.join(kinds, (F.col("geo_bucket") == F.col("_g")) & (F.col("category") == F.col("_c"))), ["d", "n_category", "n_prefix"]),
+            (kinds.join(_firsts(q, ["n_category", "n_geo_bucket"], ["n_region"], 2), same("category") & differs("region")).withColumn("d", far), ["d", "n_region", "n_prefix"]),
+            (kinds.join(alike, same("category") & same("region") & differs("geo_bucket")).withColumn("d", far), ["d", "n_prefix"]),
+            (kinds.join(cells, differs("category")).withColumn("d", away).where("d is not null"), ["d", "n_category", "n_prefix"]),
         ]
+        own = ["category", "region", "geo_bucket"]
+        meets = F.col("category").eqNullSafe(F.col("_c")) & F.col("region").eqNullSafe(F.col("_r")) & F.col("geo_bucket").eqNullSafe(F.col("_g"))
+
+        def back(d: DataFrame, order: list[str]) -> DataFrame:
+            best = d.withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where("k = 1")
+            return p.join(best.select(F.col("category").alias("_c"), F.col("region").alias("_r"), F.col("geo_bucket").alias("_g"), *order), meets)
+
+        rules = [(back(d, order), order) for d, order in rules]
     picked = None
     for k, (d, order) in enumerate(rules):
         best = d.withColumn("k", F.row_number().over(Window.partitionBy("prefix").orderBy(*order))).where("k = 1").select(F.col("prefix").alias("positive"), F.col("n_prefix").alias("negative"), F.lit(k).alias("rule"))
@@ -101,9 +114,8 @@ def hard_negatives(protos: DataFrame, level: str, count: int = 3, seed: int = 42
     # The fill: `count` + 1 + rules prefixes that come first in the positive's own hash order hold enough that are not picked yet.
     # All prefixes share one hash order on a ring; each positive starts at its own place, so no positive meets all prefixes.
     ring = p.select("prefix", draw(f"{seed}-ring-{level}", F.col("prefix")).alias("u"))
-    order = Window.orderBy("u", "prefix")
+    ring = positions(ring, [F.col("u"), F.col("prefix")], "place").select("prefix", (F.col("place") - 1).alias("place"))
     n = ring.count()
-    ring = ring.withColumn("place", F.row_number().over(order) - 1).drop("u")  # one row a prefix: at most 64 or 64 ** 2 of them by the codebooks, 64 ** 3 for abc
     span = min(count + len(rules), max(0, n - 1))
     steps = ring.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(span)))) if span else ring.withColumn("step", F.lit(0)).limit(0)
     steps = steps.withColumn("to", F.pmod(F.col("place") + F.col("step"), F.lit(max(1, n))))
@@ -114,13 +126,16 @@ def hard_negatives(protos: DataFrame, level: str, count: int = 3, seed: int = 42
 
 
 def split_prefixes(prefixes: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """(abc, valid): max(1, int(n ratio)) prefixes are for validation, by hash order."""
+    """(abc, valid): max(1, int(n ratio)) prefixes are for validation, by hash order; none left for training is an error."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
     d = prefixes.select("abc").distinct()
-    place = F.row_number().over(Window.orderBy(draw(f"{seed}-abc", F.col("abc")), "abc"))  # one row a prefix
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return d.select("abc", (place <= F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))).alias("valid"))
+    placed = positions(d.withColumn("_u", draw(f"{seed}-abc", F.col("abc"))), [F.col("_u"), F.col("abc")], "_place")
+    n = placed.count()
+    valid = max(1, int(n * ratio))
+    if valid >= n:
+        raise ValueError("the ratio leaves no prefix for training")
+    return placed.select("abc", (F.col("_place") <= valid).alias("valid"))
 
 
 def _record(d: DataFrame, task: str, level: str, source: Column, target: Column, text: Column, output: Column, suffix: str, key: Column, candidates: Column | None = None) -> DataFrame:
@@ -152,3 +167,14 @@ def records(d: DataFrame, protos: DataFrame, abc: DataFrame | None = None, seed:
     full = d.select("full_sid", "abc").join(one, F.col("abc") == F.col("_x"))
     full = full if abc is None else full.join(abc.select("abc"), "abc", "left_semi")
     return out.unionByName(_record(full, "full_sid_to_abc_profile", "full_sid", F.col("full_sid"), F.col("abc"), F.concat(F.lit("Semantic ID: "), "full_sid"), F.col("profile_json"), "full_to_profile", F.col("full_sid")))
+
+
+def task_counts(records: DataFrame) -> DataFrame:
+    """(task_type, n) in the order of the tasks' names."""
+    return records.groupBy("task_type").agg(F.count(F.lit(1)).alias("n")).orderBy("task_type")
+
+
+def task_records(records: DataFrame, task_type: str, limit: int | None = None) -> DataFrame:
+    """The records of one task; with a limit, which is what is asked for, the first ones by sample_id."""
+    d = records.where(F.col("task_type") == task_type)
+    return d if limit is None else d.orderBy("sample_id").limit(limit)

@@ -54,7 +54,7 @@ def group_size(t: DataFrame, explicit: int | None = None, position: str = "posit
 def ordered(t: DataFrame) -> DataFrame:
     """Adds position, by time, writer and the writer's own count; missing ones are zero."""
     d = t.withColumns({"_t": zero("time_ns"), "_p": zero("pid"), "_l": zero("local_record_index")})
-    return positions(d, F.col("_t"), [F.col("_t"), F.col("_p"), F.col("_l")], "position").drop("_t", "_p", "_l")
+    return positions(d, [F.col("_t"), F.col("_p"), F.col("_l")], "position").drop("_t", "_p", "_l")
 
 
 def steps(t: DataFrame, g: int, columns: tuple[str, ...] = ("total_reward",)) -> DataFrame:

@@ -55,22 +55,34 @@ def supervised(samples: DataFrame, source: str = "current", histories: DataFrame
 
 
 def alignment(rows: DataFrame, ratio: float = 0.1, seed: int = 42) -> dict[str, DataFrame]:
-    """Prototypes, purity, and train and valid records of the three phases."""
-    protos = semantic.prototypes(rows)
-    cut = semantic.split_prefixes(rows, ratio, seed)
+    """Prototypes, purity, train and valid records of the three phases, and the counts of tasks; rows and records are written out.
+
+    Training phases draw the records of full IDs and of abc prefixes by inverse frequency, the others evenly.
+    """
+    rows = cut(rows)
+    if not rows.limit(1).count():
+        raise ValueError("no place has a semantic ID")
+    protos = cut(semantic.prototypes(rows))
+    sides = cut(semantic.split_prefixes(rows, ratio, seed))
     out = {"prototypes": protos, "purity": semantic.purity(rows)}
     for name, flag in (("train", ~F.col("valid")), ("valid", F.col("valid"))):
-        r = semantic.records(rows, protos, cut.where(flag), seed)
+        r = cut(sampling.weighted(semantic.records(rows, protos, sides.where(flag), seed), rows))
         fam = {f: r.where(F.col("task_type") == f) for f in ("full_sid_to_abc_profile", "abc_to_abc_profile", "abc_profile_to_abc")}
         fam["phase_a_replay"] = a = r.where(F.col("sid_level").isin("a", "ab"))
         out[f"{name}_phase_a"] = sampling.shuffled(a, "sample_id", seed)
         if name == "train":
-            out["train_phase_b1"] = sampling.mixed({f: fam[f] for f, _ in sampling.PHASE_B1}, sampling.PHASE_B1, seed=seed)
-            out["train_phase_b2"] = sampling.mixed(fam, sampling.PHASE_B2, seed=seed)
+            out["train_phase_b1"] = sampling.mixed({f: fam[f] for f, _ in sampling.PHASE_B1}, sampling.PHASE_B1, seed=seed, weight="weight")
+            out["train_phase_b2"] = sampling.mixed(fam, sampling.PHASE_B2, seed=seed, weight="weight")
         else:
             out["valid_phase_b1"] = sampling.shuffled(fam["full_sid_to_abc_profile"].unionByName(fam["abc_to_abc_profile"]), "sample_id", seed)
             out["valid_phase_b2"] = sampling.shuffled(r, "sample_id", seed)
-    return out
+    out = {k: d.drop("weight", "draw", "family") for k, d in out.items()}
+    counts = None
+    for k, d in out.items():
+        if "phase" in k:
+            n = semantic.task_counts(d).select(F.lit(k).alias("table"), "task_type", "n")
+            counts = n if counts is None else counts.unionByName(n)
+    return out | {"task_counts": counts}
 
 
 def warmup(samples: DataFrame, space: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def replay(samples: DataFrame, answers: DataFrame, sample_id: str | None = None,
     from ..functions import reward
 
     if sample_id is None:
-        one = base.positions(samples, F.col("sample_id"), [F.col("sample_id")], "_k").where(F.col("_k") == (row_index or 0) + 1).drop("_k")
+        one = base.positions(samples, [F.col("sample_id")], "_k").where(F.col("_k") == (row_index or 0) + 1).drop("_k")
     else:
         one = samples.where(F.col("sample_id") == sample_id)
     d = one.join(answers.select("sample_id", "prediction"), "sample_id")

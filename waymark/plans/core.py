@@ -163,8 +163,7 @@ _SEQTEXT = "'User_' || uid || ' visited: ' || (SELECT string_agg(tok || ' at ' |
 
 
 def indexed_test(spark, sf_dir) -> DataFrame:
-    w = cut(evaluation(spark, sf_dir).where("split = 'test'"))
-    return base.positions(w, F.col("uid"), [F.col("uid")], "row_index").withColumn("row_index", F.col("row_index") - 1)
+    return base.positions(evaluation(spark, sf_dir).where("split = 'test'"), [F.col("uid")], "row_index").withColumn("row_index", F.col("row_index") - 1)
 
 
 def samples(spark, sf_dir, kind: str = "id", k: int = 10) -> DataFrame:

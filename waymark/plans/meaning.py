@@ -143,7 +143,17 @@ def sampling_weights(spark, sf_dir):
     return d.select("full_sid", F.round(sampling.forward_weight(F.col("rn"), F.col("cn"), F.col("gn")), 9).alias("forward"), F.round(sampling.candidate_weight(F.col("cn"), F.col("rn")), 9).alias("candidate"))
 
 
-@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL}, d AS (SELECT pid, sid_token, floor({_u('7-bucket', 'pid::VARCHAR')} * 64)::INTEGER AS b FROM s), e AS (SELECT *, row_number() OVER (ORDER BY b, pid) AS hi, count(*) OVER () AS total FROM d), w AS (SELECT i AS draw, {_u('7-draw', 'i::VARCHAR')} AS u FROM range(50) r(i)) SELECT draw::BIGINT AS draw, pid, sid_token FROM w JOIN e ON u * total >= hi - 1 AND u * total < hi")
+_FINE = "(('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _drawn_sql(items: str, name: str, key: str, size: str, seed: str) -> str:
+    """Draws from items (key, w): a running sum of whole weights by bucket and key, and the draws' numbers in it."""
+    bucket = f"floor({_FINE.format(seed=seed + '-bucket', key=key + '::VARCHAR')} * greatest(1, (count(*) OVER () + 65535) // 65536))"
+    return f"""{name}_b AS (SELECT *, {bucket} AS b FROM {items}), {name}_c AS (SELECT *, sum(w) OVER (ORDER BY b, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum(w) OVER () AS total FROM {name}_b),
+{name}_u AS (SELECT i AS draw, {_FINE.format(seed=seed + '-draw', key='i::VARCHAR')} AS u FROM (SELECT unnest(range({size})) AS i)), {name} AS (SELECT draw::BIGINT AS draw, {name}_c.* FROM {name}_u JOIN {name}_c ON floor(u * total::DOUBLE) >= hi - w AND floor(u * total::DOUBLE) < hi)"""
+
+
+@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL}, x AS (SELECT pid, sid_token, 1 AS w FROM s), {_drawn_sql('x', 'dr', 'pid', '50', '7')} SELECT draw, pid, sid_token FROM dr")
 def sample_with_replacement(spark, sf_dir):
     d = semantic.with_suffix(sids(spark, sf_dir)).select("pid", "sid_token")
     return sampling.with_replacement(d, "pid", 50, 7)
@@ -158,16 +168,25 @@ def mix_quotas(spark, sf_dir):
     return sampling.quotas(counts, sampling.PHASE_B2)
 
 
+_MIX = f"""{_ROWS}, {_PROTO}, cn AS (SELECT category, count(*) AS cn FROM sr GROUP BY 1), rn AS (SELECT region, count(*) AS rn FROM sr GROUP BY 1), gn AS (SELECT geo_bucket, count(*) AS gn FROM sr GROUP BY 1),
+pw AS (SELECT pr.*, greatest(1, round({_W} * 1000000))::BIGINT AS w FROM pr JOIN cn USING (category) JOIN rn USING (region) JOIN gn USING (geo_bucket) WHERE level = 'abc'),
+ta AS (SELECT DISTINCT abc FROM sr),
+f0 AS (SELECT full_sid || '::full_to_profile' AS sample_id, w FROM sr JOIN pw ON pw.prefix = abc), f1 AS (SELECT abc || '::abc_to_profile' AS sample_id, w FROM ta JOIN pw ON prefix = abc), f2 AS (SELECT abc || '::profile_to_abc' AS sample_id, 1 AS w FROM ta),
+f3 AS (SELECT abc || k AS sample_id, 1 AS w FROM ta, (VALUES ('::a_to_profile'), ('::profile_to_a'), ('::ab_to_profile'), ('::profile_to_ab')) AS v(k)),
+al AS (SELECT (SELECT count(*) FROM f0) + (SELECT count(*) FROM f1) + (SELECT count(*) FROM f2) + (SELECT count(*) FROM f3) AS total),
+qs AS (SELECT round_even(total * 0.5::DOUBLE, 0)::BIGINT AS q0, round_even(total * 0.2::DOUBLE, 0)::BIGINT AS q1, total FROM al)"""
+_FAMILIES = (("full_sid_to_abc_profile", "(SELECT q0 FROM qs)"), ("abc_to_abc_profile", "(SELECT q1 FROM qs)"), ("abc_profile_to_abc", "(SELECT q1 FROM qs)"), ("phase_a_replay", "(SELECT total - q0 - 2 * q1 FROM qs)"))
+
+
+@query(f"WITH {_MIX}, " + ", ".join(_drawn_sql(f"f{k}", f"m{k}", "sample_id", size, f"42-{f}") for k, (f, size) in enumerate(_FAMILIES)) + " " + " UNION ALL ".join(f"SELECT '{f}' AS family, draw, sample_id FROM m{k}" for k, (f, _) in enumerate(_FAMILIES)))
 def mixed_phase(spark, sf_dir):
-    """The last phase's training mix; its rows follow the quotas, drawn with replacement."""
+    """The last phase's training mix; its rows follow the quotas, two families by weight, drawn with replacement."""
     d = cut(rows(spark, sf_dir))
-    r = cut(semantic.records(d, cut(semantic.prototypes(d))).coalesce(4))  # some rows for each prefix, read once for each family
+    r = cut(sampling.weighted(semantic.records(d, cut(semantic.prototypes(d))), d))
     fam = {f: r.where(F.col("task_type") == f) for f, _ in sampling.PHASE_B2[:3]}
     fam["phase_a_replay"] = r.where(F.col("sid_level").isin("a", "ab"))
-    return sampling.mixed(fam, sampling.PHASE_B2).select("family", "draw", "sample_id")
-
+    return sampling.mixed(fam, sampling.PHASE_B2, weight="weight").select("family", "draw", "sample_id")
 
-QUERIES["mixed_phase"] = mixed_phase
 
 _RANK = """sp AS (SELECT sid_token AS sid, a, ab, abc, coalesce(n, 0) AS n FROM s LEFT JOIN (SELECT pid, count(*) AS n FROM c GROUP BY pid) USING (pid)),
 be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY abc ORDER BY n DESC, sid) AS k FROM sp) WHERE k = 1),
