@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The keys of each level, in the order they are written.
+# The keys of each level, in the order they are written.
 FIELDS = {"a": ("category",), "ab": ("category", "region"), "abc": ("category", "region", "geo_bucket")}
 
 

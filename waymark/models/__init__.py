@@ -89,15 +89,21 @@ def constrained(scores: DataFrame, k: int) -> DataFrame:
     return best.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate"))), lambda x: x["candidate"]), " ").alias("prediction"))
 
 
+#: Stands in the tree where a sequence ends.
+ENDED = "end"
+
+
 class Trie:
     """Token sequences of the allowed answers, for models that decode token by token."""
 
     def __init__(self, sequences: list[list[int]]):
         self.root: dict = {}
-        for s in sequences:
+        self.size = len({tuple(s) for s in sequences if s})
+        for s in filter(None, sequences):
             node = self.root
             for t in s:
                 node = node.setdefault(t, {})
+            node[ENDED] = {}
 
     def allowed(self, prefix: list[int]) -> list[int]:
         """The tokens that may follow; none at an end or off the tree."""
@@ -106,4 +112,80 @@ class Trie:
             if t not in node:
                 return []
             node = node[t]
-        return sorted(node)
+        return sorted(t for t in node if t != ENDED)
+
+
+    def beams(self, scores, k: int, end: int | None = None) -> list[list[int]]:
+        """The k best sequences of the tree by beam search; scores(prefix) gives the log-probabilities of next tokens.
+
+        The width is five times k, at least 50, at most the number of sequences; equal sums go to the smaller sequence. A sequence
+        that others go on from may end where it is, at the cost of the end token, if there is one.
+        """
+        width = min(self.size, max(5 * k, 50))
+        live, done = [(0.0, [], self.root)], []
+        while live:
+            grown = []
+            for total, prefix, node in live:
+                s = scores(prefix)
+                if ENDED in node:
+                    done.append((total + (s.get(end, float("-inf")) if end is not None and len(node) > 1 else 0.0), prefix))
+                grown += [(total + s.get(t, float("-inf")), [*prefix, t], n) for t, n in node.items() if t != ENDED]
+            live = sorted(grown, key=lambda x: (-x[0], x[1]))[:width]
+        return [p for _, p in sorted(done, key=lambda x: (-x[0], x[1]))[:k]]
+
+
+class Layers:
+    """A multilayer perceptron with given weights: linear, then between layers normalisation by given statistics, and an activation.
+
+    Training is another program's; at inference dropout is nothing. layers: (weight of out x in, bias); norms: (scale, shift, mean,
+    variance) after every layer but the last, or None.
+    """
+
+    ACTIVATIONS = {"none": lambda x: x, "relu": lambda x: np.maximum(x, 0), "sigmoid": lambda x: 1 / (1 + np.exp(-x)), "tanh": np.tanh, "leakyrelu": lambda x: np.where(x > 0, x, 0.01 * x)}
+
+    def __init__(self, layers: list[tuple[np.ndarray, np.ndarray]], norms: list[tuple] | None = None, activation: str = "relu"):
+        if activation.lower() not in self.ACTIVATIONS:
+            raise ValueError(f"no activation {activation}")
+        self.layers, self.norms, self.activation = layers, norms, activation.lower()
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        for i, (w, b) in enumerate(self.layers):
+            x = x @ w.T + b
+            if i < len(self.layers) - 1:
+                if self.norms:
+                    scale, shift, mean, variance = self.norms[i]
+                    x = (x - mean) / np.sqrt(variance + 1e-5) * scale + shift
+                x = self.ACTIVATIONS[self.activation](x)
+        return x
+
+
+def passed(df: DataFrame, layers: Layers, vec: str = "vec", out: str = "vec") -> DataFrame:
+    """Vectors through the layers, in Arrow batches; the weights go to each task."""
+    schema = df.withColumn(out, F.array().cast("array<double>")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(**{out: list(layers(np.array(b[vec].tolist(), dtype=np.float64))) if len(b) else []})
+
+    return df.mapInPandas(run, schema)
+
+
+def autoencoded(df: DataFrame, encoder: Layers, books: list[np.ndarray], decoder: Layers, vec: str = "vec") -> DataFrame:
+    """Adds indices and decoded: the codes of the encoded vectors, and what the decoder makes of their reconstruction."""
+    from ..operators.quantise import assign
+
+    coded = assign(passed(df, encoder, vec, "_encoded"), books, "_encoded")
+    return passed(coded, decoder, "reconstruction", "decoded").drop("_encoded", "reconstruction")
+
+
+def autoencoder_loss(df: DataFrame, encoder: Layers, books: list[np.ndarray], decoder: Layers, vec: str = "vec", kind: str = "mse", weight: float = 0.25, beta: float = 0.25) -> DataFrame:
+    """(loss, reconstruction_loss, quantisation_loss): squared or absolute errors of the decoded vectors, and the codes' own by weight."""
+    from ..operators.quantise import quantisation_loss
+
+    if kind not in ("mse", "l1"):
+        raise ValueError(f"no loss {kind}")
+    d = autoencoded(df, encoder, books, decoder, vec)
+    off = F.zip_with(vec, "decoded", (lambda a, b: (a - b) * (a - b)) if kind == "mse" else (lambda a, b: F.abs(a - b)))
+    own = d.agg((F.sum(F.aggregate(off, F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size(vec))).alias("reconstruction_loss"))
+    q = quantisation_loss(passed(df, encoder, vec, "_encoded"), books, "_encoded", beta).select(F.col("loss").alias("quantisation_loss"))
+    return own.crossJoin(q).select((F.col("reconstruction_loss") + weight * F.col("quantisation_loss")).alias("loss"), "reconstruction_loss", "quantisation_loss")  # one row each

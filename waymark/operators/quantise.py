@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..functions.draws import draw
+from ..session import cut
 
 
 def assign_level(df: DataFrame, codebook: DataFrame, level: int) -> DataFrame:
@@ -46,34 +47,104 @@ def assign(df: DataFrame, books: list[np.ndarray], vec: str = "vec") -> DataFram
     return df.mapInPandas(run, schema)
 
 
-def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec", key: str = "id", decay: float = 0.0, seed: int = 42) -> list[np.ndarray]:
-    """Codebooks by spherical k-means on residuals, moved by exponential averages; codes below a fifth of the mean use are drawn anew.
+def code_sums(df: DataFrame, book: np.ndarray, vec: str = "vec", unit: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the vectors by their code, how many): a task adds up its own vectors, the driver gets a row a code."""
+    k, d = book.shape
 
-    Each round sums vectors by code on the executors; the driver holds k x d numbers a level.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, used = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
+        for b in batches:
+            if len(b):
+                x = np.array(b[vec].tolist(), dtype=np.float64)
+                c = (x @ book.T).round(9).argmax(1)
+                np.add.at(total, c, x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) if unit else x)
+                used += np.bincount(c, minlength=k)
+        some = np.flatnonzero(used)
+        yield pd.DataFrame({"code": some.astype(np.int32), "n": used[some], "s": list(total[some])})
+
+    part = df.select(vec).mapInPandas(run, "code int, n bigint, s array<double>")
+    rows = part.groupBy("code").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(d)]).alias("s")).collect()  # k rows
+    total, used = np.zeros((k, d)), np.zeros(k)
+    for r in rows:
+        total[r["code"]], used[r["code"]] = r["s"], r["n"]
+    return total, used
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+
+
+def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec", key: str = "id", decay: float = 0.95, seed: int = 42, first_rounds: int = 10) -> list[np.ndarray]:
+    """Codebooks by level: k-means rounds on the residuals, then moving averages; codes used less than a fifth of the mean are drawn anew.
+
+    Residuals are written out for each level, so a round reads them and not all levels before. A level's first codes are vectors
+    drawn by hash, moved by `first_rounds` of k-means; then each of `rounds` moves sums of unit vectors and counts by `decay`.
     """
     books: list[np.ndarray] = []
+    res = cut(df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")))
+
+    def some(name: str, n: int) -> np.ndarray:
+        return np.array([r[0] for r in res.orderBy(draw(name, F.col("id")), "id").limit(n).select("vec").collect()], dtype=np.float64)
+
     for level in range(levels):
-        done = assign(df, books, vec) if books else df.withColumn("reconstruction", F.transform(vec, lambda x: F.lit(0.0)))
-        res = done.select(F.col(key).alias("id"), F.zip_with(vec, "reconstruction", lambda a, b: a - b).alias("vec"))
-        first = [r[0] for r in res.orderBy(draw(f"{seed}-{level}", F.col("id")), "id").limit(k).select("vec").collect()]
-        book = np.array(first, dtype=np.float64)
-        book /= np.linalg.norm(book, axis=1, keepdims=True) + 1e-12
+        book = _unit(some(f"{seed}-{level}", k))
+        for _ in range(first_rounds):
+            total, used = code_sums(res, book)
+            book = np.where(used[:, None] > 0, _unit(total), book)
+        size, mass = np.ones(len(book)), book.copy()
         for round_ in range(rounds):
-            got = assign(res, [book]).select("id", F.get("indices", F.lit(0)).alias("code"), F.posexplode("vec").alias("d", "x"))
-            sums = got.groupBy("code", "d").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # k x d rows
-            total, used = np.zeros_like(book), np.zeros(len(book))
-            for r in sums:
-                total[r["code"], r["d"]], used[r["code"]] = r["s"], r["n"]
-            moved = np.where(used[:, None] > 0, decay * book + (1 - decay) * total / (np.linalg.norm(total, axis=1, keepdims=True) + 1e-12), book)
-            dead = np.flatnonzero(used < 0.2 * used.mean())
+            total, used = code_sums(res, book, unit=True)
+            share = len(book) / max(1.0, used.sum())  # a round sees all vectors, so its sums are brought to one a code
+            size, mass = decay * size + (1 - decay) * used * share, decay * mass + (1 - decay) * total * share
+            dead = np.flatnonzero(size < 0.2 * size.mean())
             if len(dead) and round_ < rounds - 1:
-                new = [r[0] for r in res.orderBy(draw(f"{seed}-{level}-{round_}", F.col("id")), "id").limit(len(dead)).select("vec").collect()]
-                moved[dead[: len(new)]] = np.array(new)
-            book = moved / (np.linalg.norm(moved, axis=1, keepdims=True) + 1e-12)
+                new = _unit(some(f"{seed}-{level}-{round_}", len(dead)))
+                size[dead[: len(new)]], mass[dead[: len(new)]] = 1.0, new
+            book = np.where((size > 1e-9)[:, None], _unit(mass), book)
         books.append(book)
+        if level < levels - 1:
+            left = assign(res, [book]).select("id", F.zip_with("vec", "reconstruction", lambda a, b: a - b).alias("vec"))
+            res = cut(left)
     return books
 
 
+def quantisation_loss(df: DataFrame, books: list[np.ndarray], vec: str = "vec", beta: float = 0.25, moving: bool = True) -> DataFrame:
+    """(rows, loss): the mean over the levels of the mean squares that a level's projection leaves; with books that are learned by
+    gradients instead of moving averages the codebook's part comes on top of beta times it."""
+    weight = beta if moving else 1 + beta
+    done, out = df.select(F.col(vec).cast("array<double>").alias("vec")), []
+    schema = "loss array<double>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                r, left = np.array(b["vec"].tolist(), dtype=np.float64), []
+                for book in books:
+                    s = r @ book.T
+                    c = s.round(9).argmax(1)
+                    r = r - np.maximum(0, s[np.arange(len(c)), c])[:, None] * book[c]
+                    left.append((r * r).mean(1))
+                yield pd.DataFrame({"loss": list(np.stack(left, 1))})
+
+    each = done.mapInPandas(run, schema)
+    out = [F.avg(F.get("loss", F.lit(i))) for i in range(len(books))]
+    return each.agg(F.count(F.lit(1)).alias("rows"), (F.lit(weight) * sum(out[1:], out[0]) / len(books)).alias("loss"))
+
+
+def attention_pooled(tokens: DataFrame, attention: DataFrame, dimension: int) -> DataFrame:
+    """(id, vec): the mean over the asking tokens of what each attends to, heads averaged.
+
+    tokens: (id, position, vec); attention: (id, head, asker, position, weight). Values that are not finite, and zero vectors, are errors.
+    """
+    heads = attention.groupBy("id").agg((F.countDistinct("head") * F.countDistinct("asker")).alias("_m"))
+    w = attention.groupBy("id", "position").agg(F.sum("weight").alias("_w")).join(heads, "id").withColumn("_w", F.col("_w") / F.col("_m"))
+    sums = [F.sum(F.get("vec", F.lit(i)) * F.col("_w")) for i in range(dimension)]
+    d = tokens.join(w, ["id", "position"]).groupBy("id").agg(F.array(*sums).alias("vec"))
+    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    bad = F.raise_error(F.lit("a pooled vector is not finite or zero"))
+    return d.select("id", F.when(finite & F.exists("vec", lambda x: x != 0), F.col("vec")).otherwise(bad).alias("vec"))
+
+
 def sinkhorn(distances: np.ndarray, epsilon: float, rounds: int) -> np.ndarray:
     """Balanced assignment of one batch: centred distances to a transport plan by alternating normalisation; NaN gives the plain one."""
     mid, half = (distances.max() + distances.min()) / 2, (distances.max() - distances.min()) / 2 + 1e-5

@@ -89,16 +89,31 @@ def causal_topk(queries: DataFrame, keys: DataFrame, k: int, block: int = BLOCK)
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "key_id", "score", "rank")
 
 
+def enriched(predictions: DataFrame, kind: str = "sid") -> DataFrame:
+    """Each row with its parsed predictions and whether the first 1, 5 and 10 of them hold the target.
+
+    Empty parsed lists are read from the text again, by the row's own `repr` where there is one, else by `kind`.
+    """
+    text = F.coalesce("prediction", F.lit(""))
+    again = sid.predictions(text, kind)
+    if "repr" in predictions.columns:
+        again = F.when(F.coalesce("repr", F.lit(kind)) == "id", sid.predictions(text, "id")).otherwise(sid.predictions(text, "sid"))
+    had = F.col("parsed_predictions") if "parsed_predictions" in predictions.columns else F.array().cast("array<string>")
+    d = predictions.withColumn("parsed_predictions", F.when(F.size(had) > 0, had).otherwise(again))
+    return d.withColumns({f"top{k}_correct": F.coalesce(F.array_contains(F.slice("parsed_predictions", 1, k), F.col("target")), F.lit(False)) for k in (1, 5, 10)})
+
+
 def accuracy(predictions: DataFrame, kind: str = "sid") -> DataFrame:
-    """One row of ranking metrics; empty parsed lists are read from the text again, no rows give zeros."""
-    parsed = F.when(F.size("parsed_predictions") > 0, F.col("parsed_predictions")).otherwise(sid.predictions(F.coalesce("prediction", F.lit("")), kind))
-    d = predictions.withColumn("_p", parsed)
-    hit = lambda k: F.array_contains(F.slice("_p", 1, k), F.col("target")).cast("int")
+    """One row of ranking metrics; no rows give zeros. A prompt_char_length column stands for the prompt's length."""
+    d = enriched(predictions, kind)
+    length = F.length("prompt") if "prompt" in d.columns else F.lit(0)
+    length = F.coalesce("prompt_char_length", length, F.lit(0)) if "prompt_char_length" in d.columns else F.coalesce(length, F.lit(0))
+    hit = lambda k: F.col(f"top{k}_correct").cast("int")
     n = F.count(F.lit(1))
     share = lambda c: F.coalesce(F.try_divide(F.sum(c).cast("double"), n), F.lit(0.0))
     return d.agg(
         n.alias("num_samples"), *[F.coalesce(F.sum(hit(k)), F.lit(0)).cast("bigint").alias(f"correct{k}") for k in (1, 5, 10)], *[share(hit(k)).alias(f"acc{k}") for k in (1, 5, 10)],
-        share(F.length("prompt")).alias("mean_prompt_length"), share(F.size("_p")).alias("mean_parsed"), share((F.size("_p") == TOP).cast("int")).alias("exact_ten_rate"),
+        share(length).alias("mean_prompt_length"), share(F.size("parsed_predictions")).alias("mean_parsed"), share((F.size("parsed_predictions") == TOP).cast("int")).alias("exact_ten_rate"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sid, text
 from ..functions.draws import draw
+from .base import positions
 
 
 def gathered(df: DataFrame, user: str, poi: str, time: str, tie: str) -> DataFrame:
@@ -64,6 +65,25 @@ def history_rows(seqs: DataFrame) -> DataFrame:
     return _windowed(d, F.array(F.col("n") - 1), F.col("n") - 1)
 
 
+def indexed(windows: DataFrame) -> DataFrame:
+    """Adds row_index from 0: by user, a user's windows from the last one back."""
+    d = positions(windows.withColumn("_back", -F.col("end")), [F.col("uid"), F.col("_back")], "row_index")
+    return d.withColumn("row_index", F.col("row_index") - 1).drop("_back")
+
+
+def with_tokens(windows: DataFrame, sids: DataFrame) -> DataFrame:
+    """Adds tokens and goal, the semantic IDs of a window's places and of its target, by one join on the exploded places.
+
+    windows: with row_index; sids: (pid, sid_token). A place without a semantic ID is an error.
+    """
+    m = sids.select(F.col("pid").alias("_pid"), "sid_token")
+    lost = F.when(F.col("sid_token").isNull(), F.raise_error(F.lit("a place without a semantic ID"))).otherwise(F.col("sid_token"))
+    every = windows.select("row_index", F.posexplode(F.concat("pids", F.array("target"))).alias("i", "_q"))  # the target stands last
+    long = every.join(m, F.col("_q") == F.col("_pid"), "left")
+    toks = long.groupBy("row_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", lost.alias("s")))), lambda x: x["s"]).alias("_all"))
+    return windows.join(toks, "row_index").withColumns({"tokens": F.slice("_all", F.lit(1), F.size("_all") - 1), "goal": F.element_at("_all", -1)}).drop("_all")
+
+
 def sample_rows(windows: DataFrame, split: Column, row_index: Column, kind: str, current_k: int, tokens: Column | None = None, target: Column | None = None) -> DataFrame:
     """Sample rows with their three texts; current_k > 0 keeps the last so many inputs. tokens and target: for kind sid."""
     keep = (lambda c: F.slice(c, F.greatest(F.size(c) - current_k, F.lit(0)) + 1, F.lit(current_k))) if current_k > 0 else (lambda c: c)

@@ -14,7 +14,9 @@ def zero(c: str) -> Column:
 
 
 def summary(t: DataFrame) -> DataFrame:
+    """Counts, means and rates of all rows; scores that the table lacks count as zero."""
     n = F.count(F.lit(1))
+    t = t.withColumns({c: F.lit(0) for c in ("total_reward", "parsed_prediction_count", "single_line_score") if c not in t.columns})
     return t.agg(
         n.alias("trace_row_count"), F.avg(zero("total_reward")).alias("mean_total_reward"), F.avg(zero("parsed_prediction_count")).alias("mean_parsed_prediction_count"),
         F.avg(zero("single_line_score")).alias("single_line_rate"), F.avg((zero("parsed_prediction_count") == 0).cast("double")).alias("zero_prediction_rate"),

@@ -162,20 +162,12 @@ _LAST = "list_slice({0}, greatest(len({0}) - 9, 1), len({0}))"
 _SEQTEXT = "'User_' || uid || ' visited: ' || (SELECT string_agg(tok || ' at ' || x.t, ', ' ORDER BY x.i) FROM (SELECT unnest({p}) AS pid, unnest({t}) AS t, generate_subscripts({p}, 1) AS i) AS x {join})"
 
 
-def indexed_test(spark, sf_dir) -> DataFrame:
-    return base.positions(evaluation(spark, sf_dir).where("split = 'test'"), [F.col("uid")], "row_index").withColumn("row_index", F.col("row_index") - 1)
-
-
 def samples(spark, sf_dir, kind: str = "id", k: int = 10) -> DataFrame:
-    """Test samples of either representation; SID tokens of a sequence come by one join on the exploded places."""
-    w = indexed_test(spark, sf_dir)
+    """Test samples of either representation."""
+    w = sequences.indexed(evaluation(spark, sf_dir).where("split = 'test'"))
     if kind == "id":
         return sequences.sample_rows(w, F.lit("test"), F.col("row_index"), "id", k)
-    m = semantic.with_suffix(sids(spark, sf_dir)).select(F.col("pid").alias("_pid"), "sid_token")
-    long = w.select("uid", F.posexplode("pids").alias("i", "_q")).join(m, F.col("_q") == F.col("_pid"), "left")
-    lost = F.when(F.col("sid_token").isNull(), F.raise_error(F.lit("a place without a semantic ID"))).otherwise(F.col("sid_token"))
-    toks = long.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", lost.alias("s")))), lambda x: x["s"]).alias("tokens"))
-    w = w.join(toks, "uid").join(m.withColumnRenamed("sid_token", "goal"), F.col("target") == F.col("_pid"))
+    w = sequences.with_tokens(w, semantic.with_suffix(sids(spark, sf_dir)))
     return sequences.sample_rows(w, F.lit("test"), F.col("row_index"), "sid", k, F.col("tokens"), F.col("goal"))
 
 

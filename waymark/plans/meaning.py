@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo, sid, text, vector
+from ..functions import geo, prompts, sid, text, vector
 from ..operators import ranking, sampling, semantic
 from ..session import cut
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
@@ -110,21 +110,31 @@ def hard_negatives(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-_CAND = "(SELECT string_agg(x, ' ' ORDER BY x) FROM (SELECT unnest(string_split(negatives, ' ') || [positive]) AS x))"
+def _fields(level: str) -> str:
+    return f"category, {'region' if level != 'a' else 'NULL::VARCHAR'} AS region, {'geo_bucket' if level in ('abc', 'full_sid') else 'NULL::VARCHAR'} AS geo_bucket"
 
 
 def _record_sql(level: str, there: str, back: str) -> str:
-    j = f"(SELECT t.abc AS source_abc, t.{level} AS pre, pr.*, negatives, positive FROM (SELECT DISTINCT a, ab, abc FROM sr) t JOIN pr ON pr.level = '{level}' AND pr.prefix = t.{level} JOIN ne_{level} ON positive = t.{level})"
-    return f"""SELECT '{there}' AS task_type, source_abc || '::{level}_to_profile' AS sample_id, 'Semantic prefix (level {level}): ' || pre AS input, profile_json AS output FROM {j}
-UNION ALL SELECT '{back}', source_abc || '::profile_to_{level}', 'Semantic profile: ' || profile_json || chr(10) || 'Candidate prefixes: ' || (SELECT string_agg(x, ' ' ORDER BY x) FROM unnest(list_append(string_split(negatives, ' '), positive)) AS u(x)), pre FROM {j}"""
+    j = f"(SELECT t.abc AS source_abc, t.{level} AS pre, pr.*, (SELECT string_agg(x, ' ' ORDER BY x) FROM unnest(list_append(string_split(negatives, ' '), positive)) AS u(x)) AS candidates FROM (SELECT DISTINCT a, ab, abc FROM sr) t JOIN pr ON pr.level = '{level}' AND pr.prefix = t.{level} JOIN ne_{level} ON positive = t.{level})"
+    return f"""SELECT '{there}' AS task_type, source_abc || '::{level}_to_profile' AS sample_id, 'Semantic prefix (level {level}): ' || pre AS input, profile_json AS output, '{prompts.TASKS[there]}' AS instruction, {_fields(level)}, NULL::VARCHAR AS candidates FROM {j}
+UNION ALL SELECT '{back}', source_abc || '::profile_to_{level}', 'Semantic profile: ' || profile_json || chr(10) || 'Candidate prefixes: ' || candidates, pre, '{prompts.TASKS[back]}', {_fields(level)}, candidates FROM {j}"""
 
 
-@query(f"""WITH {_ROWS}, {_PROTO}, {_NEG} {_record_sql('a', 'a_to_category_profile', 'category_profile_to_a')} UNION ALL {_record_sql('ab', 'ab_to_category_region_profile', 'category_region_profile_to_ab')}
+_RECORDS = f"""{_record_sql('a', 'a_to_category_profile', 'category_profile_to_a')} UNION ALL {_record_sql('ab', 'ab_to_category_region_profile', 'category_region_profile_to_ab')}
 UNION ALL {_record_sql('abc', 'abc_to_abc_profile', 'abc_profile_to_abc')}
-UNION ALL SELECT 'full_sid_to_abc_profile', full_sid || '::full_to_profile', 'Semantic ID: ' || full_sid, profile_json FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc""")
+UNION ALL SELECT 'full_sid_to_abc_profile', full_sid || '::full_to_profile', 'Semantic ID: ' || full_sid, profile_json, '{prompts.TASKS['full_sid_to_abc_profile']}', pr.category, pr.region, pr.geo_bucket, NULL FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc"""
+
+
+@query(f"WITH {_ROWS}, {_PROTO}, {_NEG} SELECT task_type, count(*)::BIGINT AS n FROM ({_RECORDS}) GROUP BY 1")
+def task_counts(spark, sf_dir):
+    d = cut(rows(spark, sf_dir))
+    return semantic.task_counts(semantic.records(d, cut(semantic.prototypes(d))))
+
+
+@query(f"WITH {_ROWS}, {_PROTO}, {_NEG} {_RECORDS}")
 def alignment_records(spark, sf_dir):
     d = cut(rows(spark, sf_dir))
-    return semantic.records(d, cut(semantic.prototypes(d))).select("task_type", "sample_id", "input", "output")
+    return semantic.records(d, cut(semantic.prototypes(d))).select("task_type", "sample_id", "input", "output", "instruction", "category", "region", "geo_bucket", F.array_join("candidate_prefixes", " ").alias("candidates"))
 
 
 @query(f"WITH {_ROWS}, d AS (SELECT DISTINCT abc FROM sr) SELECT abc, row_number() OVER (ORDER BY {_u('42-abc', 'abc')}, abc) <= greatest(1, floor(count(*) OVER () * 0.1::DOUBLE)) AS valid FROM d")
@@ -231,10 +241,18 @@ def normalised_text(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("id"), text.category(F.concat("p_name", F.lit("  \t"), "p_type")).alias("category"), text.region(F.concat(F.lit(" "), half.cast("string"), F.lit(".0"))).alias("region"), text.region_is_int(F.concat(half.cast("string"), F.lit(".0"))).alias("whole"), text.region((F.col("p_size") / 2).cast("string")).alias("region2"))
 
 
-@query("SELECT vec_id, 64::INTEGER AS length, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, round((embedding[1]::DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS first FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+w AS (SELECT vec_id, v, CASE vec_id % 5 WHEN 1 THEN list_concat(v, [NULL, NULL]) WHEN 2 THEN list_concat(v, ['nan'::DOUBLE]) WHEN 3 THEN list_concat(v, ['inf'::DOUBLE, '-inf'::DOUBLE, 1.0]) ELSE v END AS x FROM v)
+SELECT vec_id, len(x)::INTEGER AS length, len(list_filter(x, lambda y: y IS NULL))::INTEGER AS nulls, len(list_filter(x, lambda y: isnan(y)))::INTEGER AS nans, len(list_filter(x, lambda y: isinf(y)))::INTEGER AS infs,
+round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS first FROM w""")
 def vector_health(spark, sf_dir):
-    v = F.col("embedding").cast("array<double>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", vector.health(v)["length"].alias("length"), F.round(vector.norm(v), 6).alias("norm"), F.round(vector.unit(v)[0], 6).alias("first"))
+    """Health of vectors to some of which nulls, NaN and infinities are added; norm and direction of the whole ones."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    odd = lambda *xs: F.concat("v", F.array(*[F.lit(x).cast("double") for x in xs]))
+    k = F.col("vec_id") % 5
+    x = F.when(k == 1, odd(None, None)).when(k == 2, odd(float("nan"))).when(k == 3, odd(float("inf"), float("-inf"), 1.0)).otherwise(F.col("v"))
+    h = d.withColumn("h", vector.health(x))
+    return h.select("vec_id", *[F.col(f"h.{c}").alias(c) for c in ("length", "nulls", "nans", "infs")], F.round(vector.norm(F.col("v")), 6).alias("norm"), F.round(vector.unit(F.col("v"))[0], 6).alias("first"))
 
 
 _CODE = """b AS (SELECT vec_id AS code, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings WHERE vec_id < 16),
@@ -259,11 +277,11 @@ def residual_codes(spark, sf_dir):
 
 
 def trained_codes(spark, sf_dir):
-    """Codebooks trained on the vectors, three levels; the SIDs with suffixes."""
+    """Codebooks of three levels trained on the vectors; the SIDs with suffixes."""
     from ..operators import quantise
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    books = quantise.train(e, levels=2, k=16, rounds=3)
+    books = quantise.train(e, levels=3, k=16, rounds=5, first_rounds=5)
     return semantic.with_suffix(quantise.assign(e, books).select(F.col("id").alias("pid"), "indices")).select("pid", "sid_token")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import math
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import traces
+from ..session import cut
+from ..sources.files import write_json
 
 COLOURS = ("#1b6ca8", "#c8553d", "#3a7d44", "#7b4b94", "#b58900")
 POINTS = 400
@@ -75,3 +78,21 @@ def default_path(trace_path: str) -> str:
         k = p.index("checkpoints")
         return "/".join([*p[:k], "outputs", *p[k + 1 : k + 4], "report.html"])
     return "/".join([*p[:-1], "report.html"]) if "." in p[-1] else "/".join([*p, "report.html"])
+
+
+def write(rows: DataFrame, trace_path: str, output_path: str | None = None, csv_path: str | None = None, summary_path: str | None = None, group: int | None = None) -> dict:
+    """Writes the page, the steps as CSV (a folder that Spark writes), and the summary as JSON; returns the summary."""
+    path = output_path or default_path(trace_path)
+    stem = path.rsplit(".", 1)[0] if "." in path.rsplit("/", 1)[-1] else path
+    csv_path, summary_path = csv_path or f"{stem}.csv", summary_path or f"{stem}.summary.json"
+    page, summary = report(rows, group)
+    _, s = steps(rows, group)
+    s = cut(s)
+    s.orderBy("step").write.mode("overwrite").option("header", "true").csv(csv_path)
+    last = s.orderBy(F.col("step").desc()).limit(1).collect()[0]
+    summary = {"trace_path": trace_path, "output_path": path, "csv_path": csv_path, "summary_path": summary_path, "trace_row_count": summary["trace_row_count"], "synthetic_step_count": summary["steps"], "group_size": summary["group_size"], "last_step": last["step"], "last_step_mean_total_reward": last["total_reward_mean"], "last_cumulative_mean_total_reward": last["total_reward_cum_mean"]}
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(page)
+    write_json(summary_path, summary)
+    return summary

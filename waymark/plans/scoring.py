@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import prompts, reward, sid, vector
 from ..operators import ranking, semantic, traces
 from ..sources import files
-from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, sids, table
+from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
+from . import runs
 
 from .meaning import _ROWS, _PROTO, rows
 
@@ -54,32 +55,42 @@ def retrieved_cases(spark, sf_dir):
     return g.select("query_id", prompts.cases(F.col("cs")).alias("block"))
 
 
-@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL} SELECT DISTINCT sid_token AS target FROM s")
+@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL} SELECT DISTINCT sid_token AS target FROM c JOIN s USING (pid) WHERE uid % 3 < 2")
 def candidate_space(spark, sf_dir):
-    return semantic.with_suffix(sids(spark, sf_dir)).select(F.col("sid_token").alias("target")).distinct().orderBy("target")
+    """The distinct targets of the bank's rows of one representation, whatever their split."""
+    d = checkins(spark, sf_dir).join(semantic.with_suffix(sids(spark, sf_dir)).select("pid", "sid_token"), "pid")
+    kind = F.when(F.col("uid") % 3 < 2, "sid").otherwise("id")
+    bank = d.select(F.when(kind == "id", sid.place_token(F.col("pid"))).otherwise(F.col("sid_token")).alias("target"), kind.alias("repr"), F.when(F.col("uid") % 2 == 0, "train").otherwise("test").alias("split"))
+    return runs.candidate_space(bank, "sid")
 
 
-_PRED = """pd0 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<think>x</think> ' END || '<a_' || doc_id % 4 || '><b_' || doc_id % 3 || '><c_' || doc_id % 5 || '> <a_' || doc_id % 3 || '><b_1><c_2>' || CASE WHEN doc_id % 7 = 0 THEN chr(10) ELSE ' ' END || '<a_' || doc_id % 2 || '><b_0><c_1><d_' || doc_id % 2 || '> <a_9' AS answer,
-    '<a_' || doc_id % 2 || '><b_' || doc_id % 3 || '><c_' || doc_id % 2 || '>' AS truth, n_chars FROM documents)"""
+_MORE = " || ".join(f"' <a_9><b_9><c_{j}>'" + (" || CASE WHEN doc_id % 22 = 0 THEN ' ' || truth ELSE '' END" if j == 3 else "") for j in range(1, 10))
+_PRED = f"""pd00 AS (SELECT doc_id, '<a_' || doc_id % 2 || '><b_' || doc_id % 3 || '><c_' || doc_id % 2 || '>' AS truth, n_chars FROM documents),
+pd0 AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'no idea' ELSE CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<think>x</think> ' END || '<a_' || doc_id % 4 || '><b_' || doc_id % 3 || '><c_' || doc_id % 5 || '> <a_' || doc_id % 3 || '><b_1><c_2>' || CASE WHEN doc_id % 7 = 0 THEN chr(10) ELSE ' ' END || '<a_' || doc_id % 2 || '><b_0><c_1><d_' || doc_id % 2 || '> <a_9'
+    || CASE WHEN doc_id % 11 = 0 THEN {_MORE} ELSE '' END END AS answer, truth, n_chars FROM pd00)"""
 
 
 def answers(spark, sf_dir) -> DataFrame:
-    """Made-up answers and truths from the documents' numbers."""
+    """Made-up answers and truths from the documents' numbers: most of three predictions, some of none, some of more than ten."""
     n = lambda k: (F.col("doc_id") % k).cast("string")
     s = F.lit
+    truth = F.concat(s("<a_"), n(2), s("><b_"), n(3), s("><c_"), n(2), s(">"))
+    more = F.concat(*[F.concat(s(f" <a_9><b_9><c_{j}>"), F.when((F.col("doc_id") % 22 == 0) & s(j == 3), F.concat(s(" "), truth)).otherwise(s(""))) for j in range(1, 10)])
     ans = F.concat(
         F.when(F.col("doc_id") % 5 == 0, s("")).otherwise(s("<think>x</think> ")), s("<a_"), n(4), s("><b_"), n(3), s("><c_"), n(5), s("> <a_"), n(3), s("><b_1><c_2>"),
-        F.when(F.col("doc_id") % 7 == 0, s("\n")).otherwise(s(" ")), s("<a_"), n(2), s("><b_0><c_1><d_"), n(2), s("> <a_9"),
+        F.when(F.col("doc_id") % 7 == 0, s("\n")).otherwise(s(" ")), s("<a_"), n(2), s("><b_0><c_1><d_"), n(2), s("> <a_9"), F.when(F.col("doc_id") % 11 == 0, more).otherwise(s("")),
     )
-    truth = F.concat(s("<a_"), n(2), s("><b_"), n(3), s("><c_"), n(2), s(">"))
+    ans = F.when(F.col("doc_id") % 13 == 0, s("no idea")).otherwise(ans)
     return table(spark, sf_dir, "documents").select("doc_id", ans.alias("answer"), truth.alias("truth"), "n_chars")
 
 
-_PARSE = r"""pp AS (SELECT doc_id, answer, truth, n_chars, CASE WHEN doc_id % 7 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS one, '<a_' || doc_id % 4 || '><b_' || doc_id % 3 || '><c_' || doc_id % 5 || '>' AS x1, '<a_' || doc_id % 3 || '><b_1><c_2>' AS x2, '<a_' || doc_id % 2 || '><b_0><c_1><d_' || doc_id % 2 || '>' AS x3 FROM pd0),
-pq AS (SELECT *, CASE WHEN x1 = x2 THEN [x1, x3] ELSE [x1, x2, x3] END AS ps FROM pp),
+_EXTRA = "list_concat(list_concat(['<a_9><b_9><c_1>', '<a_9><b_9><c_2>', '<a_9><b_9><c_3>'], CASE WHEN doc_id % 22 = 0 THEN [truth] ELSE [] END), ['<a_9><b_9><c_4>', '<a_9><b_9><c_5>', '<a_9><b_9><c_6>', '<a_9><b_9><c_7>', '<a_9><b_9><c_8>', '<a_9><b_9><c_9>'])"
+_PARSE = rf"""pp AS (SELECT doc_id, answer, truth, n_chars, CASE WHEN doc_id % 7 = 0 AND doc_id % 13 <> 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS one, '<a_' || doc_id % 4 || '><b_' || doc_id % 3 || '><c_' || doc_id % 5 || '>' AS x1, '<a_' || doc_id % 3 || '><b_1><c_2>' AS x2, '<a_' || doc_id % 2 || '><b_0><c_1><d_' || doc_id % 2 || '>' AS x3 FROM pd0),
+pq0 AS (SELECT *, CASE WHEN x1 = x2 THEN [x1, x3] ELSE [x1, x2, x3] END AS base, {_EXTRA} AS extra FROM pp),
+pq AS (SELECT * EXCLUDE (base, extra), CASE WHEN doc_id % 13 = 0 THEN []::VARCHAR[] WHEN doc_id % 11 = 0 THEN list_slice(list_concat(base, list_filter(extra, lambda x: NOT list_contains(base, x))), 1, 10) ELSE base END AS ps FROM pq0),
 dp AS (SELECT doc_id, sum(CASE WHEN p3 = truth THEN 3 WHEN p2 = t2 THEN 2 WHEN p1 = t1 THEN 1 ELSE 0 END) AS depth FROM (SELECT doc_id, truth, regexp_extract(truth, '^<a_\d+>') AS t1, regexp_extract(truth, '^<a_\d+><b_\d+>') AS t2, regexp_extract(x, '^<a_\d+>') AS p1, regexp_extract(x, '^<a_\d+><b_\d+>') AS p2, regexp_extract(x, '^<a_\d+><b_\d+><c_\d+>') AS p3 FROM (SELECT doc_id, truth, unnest(ps) AS x FROM pq)) GROUP BY doc_id),
-rw AS (SELECT pq.*, coalesce(list_position(ps, truth), 0) AS rank, len(ps) AS n, depth FROM pq JOIN dp USING (doc_id)),
-rr AS (SELECT doc_id, n::INTEGER AS parsed, nullif(rank, 0)::INTEGER AS rank, one, n_chars, 0.5 * 0.2 * one + 0.5 * 0.5 * n / 10 + CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank * (1 + (10 - rank) / 10.0::DOUBLE) + 1.0::DOUBLE ELSE 0 END + 0.2::DOUBLE * depth / 30 + 0.1::DOUBLE * n / 10 AS total FROM rw)"""
+rw AS (SELECT pq.*, coalesce(list_position(ps, truth), 0) AS rank, len(ps) AS n, coalesce(depth, 0) AS depth FROM pq LEFT JOIN dp USING (doc_id)),
+rr AS (SELECT doc_id, n::INTEGER AS parsed, nullif(rank, 0)::INTEGER AS rank, one, n_chars, 0.5 * 0.2 * one + 0.5 * 0.5 * n / 10 + CASE WHEN n = 10 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank * (1 + (10 - rank) / 10.0::DOUBLE) + 1.0::DOUBLE ELSE 0 END + 0.2::DOUBLE * depth / 30 + 0.1::DOUBLE * n / 10 AS total FROM rw)"""
 
 
 @query(f"WITH {_PRED}, {_PARSE} SELECT doc_id, parsed, coalesce(rank, 0)::INTEGER AS rank, one AS single_line, round(total::DOUBLE, 9) AS total FROM rr")
@@ -88,17 +99,31 @@ def reward_scores(spark, sf_dir):
     return d.select("doc_id", F.col("r.parsed_prediction_count").alias("parsed"), F.coalesce("r.rank", F.lit(0)).alias("rank"), F.col("r.single_line_score").alias("single_line"), F.round("r.total_reward", 9).alias("total"))
 
 
-@query(f"WITH {_PRED}, {_PARSE} SELECT count(*)::BIGINT AS num_samples, " + ", ".join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS acc{k}" for k in (1, 5, 10)) + ", round(avg(parsed::DOUBLE), 9) AS mean_parsed, 0.0::DOUBLE AS exact_ten_rate FROM rr")
+@query(f"WITH {_PRED}, {_PARSE} SELECT count(*)::BIGINT AS num_samples, " + ", ".join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0::DOUBLE ELSE 0 END), 9) AS acc{k}" for k in (1, 5, 10)) + ", round(avg(all_::DOUBLE), 9) AS mean_parsed, round(avg((all_ = 10)::INTEGER), 9) AS exact_ten_rate FROM rr JOIN (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 11 = 0 THEN len(base) + len(list_filter(extra, lambda x: NOT list_contains(base, x))) ELSE len(base) END AS all_ FROM pq0) USING (doc_id)")
 def ranking_accuracy(spark, sf_dir):
     d = answers(spark, sf_dir).select(F.col("answer").alias("prediction"), F.array().cast("array<string>").alias("parsed_predictions"), F.col("truth").alias("target"), F.lit("p").alias("prompt"))
     m = ranking.accuracy(d)
-    return m.select("num_samples", *[F.round(c, 9).alias(c) for c in ("acc1", "acc5", "acc10", "mean_parsed")], "exact_ten_rate")
+    return m.select("num_samples", *[F.round(c, 9).alias(c) for c in ("acc1", "acc5", "acc10", "mean_parsed", "exact_ten_rate")])
 
 
-@query(f"WITH {_PRED}, {_PARSE}, m AS (SELECT avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END) AS a1, avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0 END) AS a5, avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1.0::DOUBLE ELSE 0 END) AS a10, count(*) AS n FROM rr) SELECT 0 AS k, '| run | acc@1 | acc@5 | acc@10 | samples |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|' UNION ALL SELECT 2, printf('| demo | %.4f | %.4f | %.4f | %d |', a1, a5, a10, n) FROM m")
+@query(f"WITH {_PRED}, {_PARSE}, m AS (SELECT avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END) AS a1, avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0 END) AS a5, avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1.0::DOUBLE ELSE 0 END) AS a10, avg((all_ = 10)::INTEGER) AS x, count(*) AS n FROM rr JOIN (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 11 = 0 THEN len(base) + len(list_filter(extra, lambda x: NOT list_contains(base, x))) ELSE len(base) END AS all_ FROM pq0) USING (doc_id)) SELECT k, line FROM (VALUES " + ", ".join(f"({k}, '{line}')" for k, line in enumerate(files.SUMMARY_HEAD)) + ") AS h(k, line) UNION ALL SELECT 4, printf('| demo | sid | - | %d | %.4f | %.4f | %.4f | 1.0 | %.4f |', n, a1, a5, a10, x) FROM m")
 def markdown_summary(spark, sf_dir):
     d = answers(spark, sf_dir).select(F.col("answer").alias("prediction"), F.array().cast("array<string>").alias("parsed_predictions"), F.col("truth").alias("target"), F.lit("p").alias("prompt"))
-    return files.summary_lines(ranking.accuracy(d).withColumn("run", F.lit("demo")))
+    return files.summary_lines(ranking.accuracy(d).withColumns({"run": F.lit("demo"), "repr": F.lit("sid")}))
+
+
+@query(f"WITH {_PRED}, {_PARSE} SELECT doc_id, array_to_string(CASE WHEN doc_id % 11 = 0 AND doc_id % 13 <> 0 THEN list_concat(base, list_filter(extra, lambda x: NOT list_contains(base, x))) ELSE ps END, ' ') AS parsed, rank = 1 AS top1_correct, rank BETWEEN 1 AND 5 AS top5_correct, rank BETWEEN 1 AND 10 AS top10_correct FROM rw JOIN (SELECT doc_id, base, extra FROM pq0) USING (doc_id)")
+def evaluated_rows(spark, sf_dir):
+    """The rows of an evaluation, with what was parsed from them."""
+    d = answers(spark, sf_dir).select("doc_id", F.col("answer").alias("prediction"), F.col("truth").alias("target"), F.lit("sid").alias("repr"))
+    return ranking.enriched(d).select("doc_id", F.array_join("parsed_predictions", " ").alias("parsed"), *[f"top{k}_correct" for k in (1, 5, 10)])
+
+
+@query(f"WITH {_PRED}, {_PARSE} SELECT doc_id, round(total::DOUBLE, 9) AS reward FROM rr")
+def reward_batch(spark, sf_dir):
+    """The registered reward over a batch of answers."""
+    d = reward.scored(answers(spark, sf_dir), "answer", "truth")
+    return d.select("doc_id", F.round("reward", 9).alias("reward"))
 
 
 _PE = f"""WITH {_ROWS}, {_PROTO}, x0 AS (SELECT full_sid, sr.pid, pr.profile_json AS output, sr.pid % 4 AS k, pr.category AS oc, pr.region AS ore, pr.geo_bucket AS og, CASE WHEN sr.pid % 4 = 2 THEN '99' ELSE pr.region END AS pre FROM sr JOIN pr ON pr.level = 'abc' AND pr.prefix = sr.abc),
@@ -135,7 +160,7 @@ def traced(spark, sf_dir) -> DataFrame:
     return traces.ordered(t)
 
 
-@query(f"WITH {_TRACE} SELECT count(*)::BIGINT AS trace_row_count, round(avg(total), 9) AS mean_total_reward, round(avg(parsed::DOUBLE), 9) AS mean_parsed_prediction_count, round(avg(one), 9) AS single_line_rate, 0.0::DOUBLE AS zero_prediction_rate FROM tr")
+@query(f"WITH {_TRACE} SELECT count(*)::BIGINT AS trace_row_count, round(avg(total), 9) AS mean_total_reward, round(avg(parsed::DOUBLE), 9) AS mean_parsed_prediction_count, round(avg(one), 9) AS single_line_rate, round(avg((parsed = 0)::INTEGER), 9) AS zero_prediction_rate FROM tr")
 def trace_summary(spark, sf_dir):
     s = traces.summary(traced(spark, sf_dir))
     return s.select("trace_row_count", *[F.round(c, 9).alias(c) for c in ("mean_total_reward", "mean_parsed_prediction_count", "single_line_rate", "zero_prediction_rate")])
@@ -146,7 +171,7 @@ def trace_histogram(spark, sf_dir):
     return traces.histogram(traced(spark, sf_dir))
 
 
-@query(rf"WITH {_TRACE}, g AS (SELECT trim(regexp_replace(answer, '\s+', ' ', 'g')) AS solution_preview, tr.* FROM tr JOIN pd0 USING (doc_id)) SELECT solution_preview, count(*)::BIGINT AS n, round(avg(total), 9) AS mean_total_reward FROM g GROUP BY 1 ORDER BY count(*) DESC, min(position) LIMIT 10")
+@query(rf"WITH {_TRACE}, g0 AS (SELECT doc_id, trim(regexp_replace(answer, '\s+', ' ', 'g')) AS a FROM pd0), g AS (SELECT CASE WHEN length(a) > 240 THEN substr(a, 1, 237) || '...' ELSE a END AS solution_preview, tr.* FROM tr JOIN g0 USING (doc_id)) SELECT solution_preview, count(*)::BIGINT AS n, round(avg(total), 9) AS mean_total_reward FROM g GROUP BY 1 ORDER BY count(*) DESC, min(position) LIMIT 10")
 def trace_previews(spark, sf_dir):
     return traces.top_previews(traced(spark, sf_dir)).select("solution_preview", "n", F.round("mean_total_reward", 9).alias("mean_total_reward"))
 
@@ -170,7 +195,7 @@ def trace_downsample(spark, sf_dir):
     return traces.downsampled(t, 20, "i", "position", ("total_reward",)).withColumn("total_reward", F.round("total_reward", 6))
 
 
-@query(f"WITH {_TRACE} SELECT doc_id, round(0.1 * one, 9)::DOUBLE AS single_line_reward, round(0.25::DOUBLE * (parsed / 10.0::DOUBLE), 9) AS valid_count_reward, 0.0::DOUBLE AS exact_ten_reward FROM tr")
+@query(f"WITH {_TRACE} SELECT doc_id, round(0.1 * one, 9)::DOUBLE AS single_line_reward, round(0.25::DOUBLE * (parsed / 10.0::DOUBLE), 9) AS valid_count_reward, CASE WHEN parsed = 10 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END AS exact_ten_reward FROM tr")
 def trace_backfill(spark, sf_dir):
     t = traced(spark, sf_dir).drop("single_line_reward", "valid_count_reward", "exact_ten_reward")
     b = traces.backfilled(t)

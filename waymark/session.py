@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -51,6 +52,26 @@ def merged(base: dict, other: dict) -> dict:
     return out
 
 
+def read_config(path: str) -> dict:
+    """A configuration of the driver, YAML or JSON; what is no mapping is an error, an empty file an empty one."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f) or {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping but a {type(found).__name__}")
+    return found
+
+
+def write_config(path: str, payload: dict) -> None:
+    """Writes a configuration as YAML, keys in their order."""
+    import yaml
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(dict(payload), f, allow_unicode=True, sort_keys=False)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir. Only in local mode, where there is one machine, a temporary one stands in."""
     found = spark.conf.get("spark.checkpoint.dir", None)
