@@ -62,18 +62,19 @@ def drawn(d: DataFrame, stretch_rows: int = STRETCH, seed: str = SEED) -> DataFr
     buckets = max(1, -(-d.count() // stretch_rows))
     bits = F.bin(F.col("size") + 1)
     stretch = F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3), F.lit("-"), F.lpad(F.pmod(draw(seed, F.col("key"), F.col("tie")), F.lit(buckets)).cast("string"), 12, "0"))
-    d = d.withColumn("bucket", stretch)
-    counted = materialise(d.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))  # a row a stretch
+    # A mark that is never null stands for the source, so that the window and the join below share one dealing of the rows.
+    d = d.withColumns({"bucket": stretch, "mark": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))})
+    counted = materialise(d.groupBy("source", "mark", "bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words")))  # a row a stretch
     goal = targets(counted.groupBy("source").agg(F.sum("words").alias("source_size"))).withColumnRenamed("source", "_g")
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("first"))
-    first = first.join(goal, F.col("_s").eqNullSafe(F.col("_g"))).drop("_g")
-    place = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("size", F.col("key").asc_nulls_last(), F.col("tie").asc_nulls_last()))
-    d = d.withColumn("place", place).join(first, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
+    upto = Window.partitionBy("mark").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.select("source", "mark", "bucket", F.coalesce(F.sum("rows").over(upto), F.lit(0)).alias("first"))
+    first = first.join(goal, F.col("source").eqNullSafe(F.col("_g"))).drop("_g", "source")
+    place = F.row_number().over(Window.partitionBy("mark", "bucket").orderBy("size", F.col("key").asc_nulls_last(), F.col("tie").asc_nulls_last()))
+    d = d.withColumn("place", place).join(first, ["mark", "bucket"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = draw(seed, F.col("source")) / F.lit(4294967296.0)
     n = (F.col("first") + F.col("place")).cast("double")
-    return d.withColumn("copies", (F.floor(n * rate + offset) - F.floor((n - 1) * rate + offset)).cast("bigint")).drop("bucket", "place", "first", "_s", "_b")
+    return d.withColumn("copies", (F.floor(n * rate + offset) - F.floor((n - 1) * rate + offset)).cast("bigint")).drop("bucket", "place", "first", "mark")
 
 
 def _inputs(docs: DataFrame, key: str, text: str, source: str) -> dict[str, Column]:
