@@ -14,7 +14,6 @@ whole; an empty table gives none; extra columns stay whatever their names, but o
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +32,8 @@ HELD_OUT = 0
 SEED = "toxicity-1"
 #: Word types whose grams a task keeps; then the table begins anew.
 KEPT_WORDS = 300_000
+#: Grams whose sums a task keeps; then it sends them.
+KEPT_GRAMS = 1_000_000
 
 #: Distinct words of a document that count for a gram, at most.
 MOST_WORDS = 3
@@ -40,48 +41,48 @@ MOST_WORDS = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def grams(word: str) -> set[int]:
-    """crc32 of each 5- and 6-gram of <word>, of its beginnings of 4 to 9 characters and of the whole."""
+def grams(word: str) -> set[str]:
+    """Each 5- and 6-gram of <word>, its beginnings of 4 to 9 characters and the whole."""
     w = f"<{word}>"
-    found = {w[i : i + k] for k in (5, 6) for i in range(len(w) - k + 1)}
-    found.update(w[:k] for k in range(5, 10))
-    found.add(w)
-    return {zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in found}
+    n = len(w)
+    found = {w[i : i + 5] for i in range(n - 4)}
+    found.update([w[i : i + 6] for i in range(n - 5)])
+    found.update((w[:5], w[:6], w[:7], w[:8], w[:9], w))
+    return found
 
 
 def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct grams of a text, and how many of its distinct words have each, up to MOST_WORDS."""
-    ids, n = np.unique(np.fromiter((g for w in words(text) for g in grams(w)), dtype=np.uint32), return_counts=True)
-    return ids, np.minimum(n, MOST_WORDS).astype(np.uint8)
-
-
 class Model:
     """Weights of chosen grams; scoring looks up each distinct word once."""
 
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float):
+    def __init__(self, chosen: list[str], weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.place = {int(g): i for i, g in enumerate(chosen)}
+        self.place = {g: i for i, g in enumerate(chosen)}
         self.kept: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "place": self.place, "kept": {}}
 
-    def score(self, text: str | None) -> float:
-        kept, place, hit = self.kept, self.place, Counter()
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How many distinct words of the text have each chosen gram."""
+        kept, place, hit = self.kept, self.place, {}
+        chosen = place.keys()
         for w in words(text):
             got = kept.get(w)
             if got is None:
-                got = tuple(place[g] for g in grams(w) if g in place)
+                got = tuple([place[g] for g in chosen & grams(w)])
                 if len(kept) >= KEPT_WORDS:
                     kept.clear()
                 kept[w] = got
-            if got:
-                hit.update(got)
-        g = self.bias
+            for i in got:
+                hit[i] = hit.get(i, 0) + 1
+        return hit
+
+    def score(self, text: str | None) -> float:
+        hit, g = self.counts(text), self.bias
         if hit:
             at = sorted(hit)
             g += float(self.weights[at] @ np.array([min(hit[i], MOST_WORDS) for i in at], dtype=np.float64))
@@ -111,36 +112,43 @@ def word_counts(texts: DataFrame, kind: int, text: str = "text") -> DataFrame:
 def gram_sums(counts: DataFrame) -> DataFrame:
     """(kind, gram, total): in how many distinct words of documents each gram is, from (kind, word, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counter] = {}
+
+        def made() -> Iterator[pa.RecordBatch]:
+            for kind, own in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind), pa.int32()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["kind", "gram", "n"])
+
         for b in batches:
-            held: Counter = Counter()
             for kind, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = held.setdefault(kind, Counter())
                 for g in grams(w):
-                    held[kind, g] += n
-            kinds, ids = zip(*held, strict=True) if held else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array(list(held.values()), pa.int64())], ["kind", "gram", "n"])
+                    own[g] += n
+            if sum(map(len, held.values())) > KEPT_GRAMS:
+                yield from made()
+                held.clear()
+        yield from made()
 
-    return counts.mapInArrow(run, "kind int, gram bigint, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("total"))
+    return counts.mapInArrow(run, "kind int, gram string, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("total"))
 
 
-def choose(sums: DataFrame, n_pos: int, n_unl: int, most: int = GRAMS) -> np.ndarray:
-    """The grams with the largest difference of mean counts, in standard errors of counts; ties by number."""
+def choose(sums: DataFrame, n_pos: int, n_unl: int, most: int = GRAMS) -> list[str]:
+    """The grams with the largest difference of mean counts, in standard errors of counts; ties by text."""
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("total")).otherwise(0))
     by = sums.groupBy("gram").agg((of(1) / max(1, n_pos)).alias("p"), (of(0) / max(1, n_unl)).alias("u"))
     z = (F.col("p") - F.col("u")) / F.sqrt((F.col("p") + 1 / max(1, n_pos)) / max(1, n_pos) + (F.col("u") + 1 / max(1, n_unl)) / max(1, n_unl))
-    return np.sort(np.array([r[0] for r in by.orderBy(z.desc(), "gram").limit(most).select("gram").collect()], dtype=np.uint32))
+    return sorted(r[0] for r in by.orderBy(z.desc(), "gram").limit(most).select("gram").collect())
 
 
-def dense_rows(texts: DataFrame, chosen: np.ndarray, text: str = "text") -> DataFrame:
+def dense_rows(texts: DataFrame, chosen: list[str], text: str = "text") -> DataFrame:
     """(kind, key, x): a byte for each chosen gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(chosen, np.zeros(len(chosen)), 0.0)
         for b in batches:
             out = []
             for t in b.column(1).to_pylist():
-                r, n = gram_counts(t)
-                x, at = np.zeros(len(chosen), dtype=np.uint8), np.searchsorted(chosen, r)
-                ok = at < len(chosen)
-                ok[ok] = chosen[at[ok]] == r[ok]
-                x[at[ok]] = n[ok]
+                x = np.zeros(len(chosen), dtype=np.uint8)
+                for i, n in model.counts(t).items():
+                    x[i] = min(n, MOST_WORDS)
                 out.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], ["kind", "key", "x"])
 
@@ -186,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """A model from bounded samples of the rows outside the held-out fold."""
     known = learnable(labels, held_out).where(F.col("toxic").isin(0, 1))
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    none = Model(np.zeros(0, np.uint32), np.zeros(0), -30.0)
+    none = Model([], np.zeros(0), -30.0)
     if not counts.get(1):
         return none
     prior = counts[1] / sum(counts.values())
