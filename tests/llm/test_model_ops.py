@@ -320,3 +320,13 @@ def test_pipeline_order_of_rows_that_share_an_id(spark):
         d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").orderBy(F.rand(seed)).repartition(4)
         kept.append(sorted(map(tuple, corpus_pipeline.deduplicate(spark, d, SMALL).collect()), key=str))
     assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_pu_weights_hardly_depend_on_the_draw():
+    rng = np.random.default_rng(1)
+    toxic = rng.random(3000) < 0.2
+    unl = (rng.random((3000, 40)) < np.where(toxic[:, None] & (np.arange(40) < 10), 0.6, 0.1)).astype(np.uint8)
+    pos = (rng.random((300, 40)) < np.where(np.arange(40) < 10, 0.6, 0.1)).astype(np.uint8)
+    told = [unl @ w + b >= 0 for w, b in (toxicity.nnpu(pos, unl, 0.2, steps=600, seed=s) for s in (1, 2, 3))]
+    assert all((t == toxic).mean() > 0.95 for t in told)
+    assert max((a != b).mean() for a in told for b in told) < 0.01

@@ -174,12 +174,15 @@ def risk(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float, beta: float
 
 
 def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.01, decay: float = 3e-3, beta: float = 0.0, seed: int = 11) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic model, by Adam on mini-batches of the corrected risk."""
+    """Weights and bias of the logistic model, by Adam on mini-batches of the corrected risk; the mean over the later half of the steps.
+
+    The climbs make single steps swing about the corrected risk's edge, so the last one depends on the draw; their mean hardly does.
+    """
     rng = np.random.default_rng(seed)
     pos, unl = pos.astype(np.float32), unl.astype(np.float32)
     w = np.zeros(pos.shape[1] + 1, dtype=np.float32)
     w[-1] = -1.0
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, late = np.zeros_like(w), np.zeros_like(w), np.zeros(len(w))
     for t in range(1, steps + 1):
         p = pos[rng.integers(0, len(pos), min(256, len(pos)))]
         u = unl[rng.integers(0, len(unl), min(512, len(unl)))]
@@ -187,7 +190,10 @@ def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate
         grad[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1].astype(np.float64), float(w[-1])
+        if 2 * t > steps:
+            late += w
+    late /= max(1, steps - steps // 2)
+    return late[:-1], float(late[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, held_out: int = HELD_OUT) -> Model:
