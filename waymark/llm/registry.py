@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, itq, lm, minhash, mixing, ogg, pii, quality, secrets, toxicity
+from . import bpe, fim, itq, lm, minhash, mixing, ogg, pii, pointintime, quality, secrets, toxicity, winnow
 
 QUERIES = {
     "op1_lm_score": lm.op1_lm_score,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
+    "op11_winnow": winnow.op11_winnow,
+    "op12_fim": fim.op12_fim,
+    "op13_point_in_time": pointintime.op13_point_in_time,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op12_fim": fim.ORACLE, "op13_point_in_time": pointintime.ORACLE}
