@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.base import positions
 from .common import materialise, table
 
-GRAM, WINDOW = 24, 40
+GRAM, WINDOW = 24, 64
 #: Windows of a block.
 BLOCK = 1000
 
@@ -82,14 +82,14 @@ def shown(entries: str) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n) of distinct keys to (key, n, before, n_before): the document before in descending doc_id, round the end.
+    """(doc_id, key, n, times) of distinct keys, with before and n_before: the document before in descending doc_id, round the end.
 
     Rows that share a doc_id stand in the order of their texts' digests, those without one at the end.
     """
     placed = materialise(positions(docs, [F.col("doc_id").desc_nulls_last(), F.col("key")], "place"))
     ends = placed.agg(F.max("place").alias("many"))
     d = placed.crossJoin(F.broadcast(ends))  # one row
-    d = d.select("key", "n", F.when(F.col("place") == 1, F.col("many")).otherwise(F.col("place") - 1).alias("place"))
+    d = d.select("doc_id", "key", "n", "times", F.when(F.col("place") == 1, F.col("many")).otherwise(F.col("place") - 1).alias("place"))
     return materialise(d.join(placed.select("place", F.col("key").alias("before"), F.col("n").alias("n_before")), "place").drop("place"))
 
 
@@ -103,11 +103,11 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     d = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), whole.alias("text"))
     d = d.withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5("text")))
-    order = neighbours(d.select("doc_id", "key", F.length("text").cast("bigint").alias("n")).distinct())
+    order = neighbours(d.groupBy("doc_id", "key", F.length("text").cast("bigint").alias("n")).agg(F.count(F.lit(1)).alias("times")))
     own = fingerprints(d, gram=gram, window=window, block=block)
-    texts = d.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))
-    placed = texts.join(order.drop("n_before"), "key")
-    starts = texts.select("key", "text").join(order, "key").select(F.col("before").alias("key"), F.left("text", F.floor(F.col("n_before") / 3).cast("int")).alias("start"))
+    texts = d.groupBy("key").agg(F.first("text").alias("text"))  # the same columns for both uses, so that they share one exchange
+    placed = texts.join(order.drop("before", "n_before"), "key")
+    starts = texts.join(order, "key").select(F.col("before").alias("key"), F.left("text", F.floor(F.col("n_before") / 3).cast("int")).alias("start"))
     following = own.join(order, "key").select(F.col("before").alias("key"), hashes("entries").alias("next_hashes"))
     kept = F.col("n") - F.floor(F.col("n") / 3)
     first = F.greatest(kept - (2 * window + gram - 2), F.lit(0))  # windows before first + window end before the change
