@@ -82,6 +82,14 @@ IP = re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)", re.A)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A)
 CARD = re.compile(r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])", re.A)
 PHONE = re.compile(r"(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<![\w.-])\+\d{9,14}(?![\w-])", re.A)
+#: Forms by country: a code and groups of any size; an area code in brackets, after Russia's 8 or not; a trunk zero, with a slash or not.
+PHONES = re.compile(
+    r"(?<![\w.+-])(?:\+\d{1,3}(?:[ ./-]?\(\d{1,5}\)|[ ./-]\d{1,5})(?:[ ./-]?\d{2,8}){1,4}|(?:8[ -]?)?\(\d{2,5}\)[ ./-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|(?:8[ -]\d{3}[ -]\d{3}(?:[ -]\d{2}){2})|0\d{2,5}(?:[/ -]| / )\d{5,9}(?:[ -]\d{1,5})?|0\d{1,5}(?:[/ -]| / )\d{2,4}(?:[ -]\d{2,5}){2,4})(?![\w-]|[./]\d)", re.A,
+)
+#: A number without separators is one of a telephone only after a word that says so.
+PHONE_WORD = re.compile(r"(?<!\w)(?:tele(?:ph|f)one?|t[eé]l[eé](?:ph|f)on[eo]?|tel|t[eé]l|phone|mobile|mobil|handy|cell|fax|call|text|anrufen|ruf|телефон|тел|моб|звоните|τηλ[έε]φωνο|τηλ|κινητό|هاتف|جوال|تلفون)(?!\w)\.?(?: (?:no\.?|nr\.?|number|nummer|is|at|me at|us at|on))?:? ?(\d{7,14})(?!\w|[.-]\d)", re.I)
+# Country codes of one and two digits; all others have three.
+CODES = ("1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 def _runs(numbers: Iterator[int]) -> Iterator[tuple[int, int]]:
     """(first, last) of runs of numbers that follow each other."""
@@ -233,8 +241,10 @@ def card(key: str, t: str) -> str:
 
 
 def phone(key: str, t: str) -> str:
-    """Country code and the exchange 555, of which no number is in use, stay."""
-    held = {i for m in re.finditer(r"^\+\d{1,3}(?=[ .(-])|(?<!\d)555(?=[ .-])", t) for i in range(*m.span())}
+    """Country code, a trunk 0 or 8 and the exchange 555, of which no number is in use, stay; a code that runs on into the number is a known one."""
+    held = {i for m in re.finditer(r"^\+\d{1,3}(?=[ ./(-])|^0(?=\d)|^8(?=[ (-])|(?<!\d)555(?=[ .-])", t) for i in range(*m.span())}
+    if t.startswith("+") and 0 not in held:
+        held |= set(range(1 + next((len(c) for c in CODES if t.startswith(c, 1)), 3)))
     return reformed(key, "phone", t, lambda i, c: i in held)
 
 
@@ -338,6 +348,14 @@ def given(key: str, word: str) -> str:
     return cased(word, GIVEN[s, g][order[(order.index(i) + 1) % len(order)]])
 
 
+_POSSESSIVE = re.compile("['’][sS]?$")
+
+
+def owner(word: str) -> str:
+    """A name without the possessive's ending, which stays in the text."""
+    return _POSSESSIVE.sub("", word)
+
+
 def name_parts(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of the words of each name, and of the same words elsewhere in the text."""
     patterns = []
@@ -351,7 +369,7 @@ def name_parts(text: str) -> list[tuple[int, int, str, str]]:
     for pattern in patterns:
         for m in pattern.finditer(text):
             a, b = m.span("titled") if m["titled"] else m.span("known")
-            parts = [(a + w.start(), a + w.end(), w[0]) for w in re.finditer(r"\S+", text[a:b])]
+            parts = [(a + w.start(), a + w.start() + len(x := owner(w[0])), x) for w in re.finditer(r"\S+", text[a:b])]
             own = _GIVEN_OF.get(parts[0][2].casefold())
             gender = own[1] if own else _GENDER[m["title"].casefold()] if m["titled"] else "n"
             for k, (x, y, w) in enumerate(parts):
@@ -361,9 +379,12 @@ def name_parts(text: str) -> list[tuple[int, int, str, str]]:
         there = {(a, b) for a, b, _, _ in out}
         low = {m[0] for m in re.finditer(r"[^\W\d_]+", text) if m.span() not in there}
         for m in _MENTION.finditer(text):
-            got = known.get(m[0].casefold())
-            if got and m.span() not in there and (m[0].lower() not in low or m[0].lower() == m[0].upper()):
-                out.append((*m.span(), *got))
+            word = owner(m[0])
+            if word.casefold() not in known and word[-1] in "sS" and len(word) > 4 and known.get(word[:-1].casefold(), ("",))[0] == "surname":
+                word = word[:-1]  # the Smiths
+            got, at = known.get(word.casefold()), (m.start(), m.start() + len(word))
+            if got and at not in there and (word.lower() not in low or word.lower() == word.upper()):
+                out.append((*at, *got))
     return out
 
 
@@ -390,9 +411,12 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
                 t = t[: t.rindex(" ")]
             if iban_ok(t):
                 add("iban", m.start(), m.start() + len(t))
-        for kind, pattern in (("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE)):
+        for kind, pattern in (("ip", IP), ("ssn", SSN), ("card", CARD)):
             for m in pattern.finditer(plain):
                 add(kind, *m.span())
+        told = [m.span() for m in PHONES.finditer(plain) if 7 <= sum(map(str.isdigit, m[0])) <= 15]
+        for a, b in sorted([*told, *(m.span() for m in PHONE.finditer(plain)), *(m.span(1) for m in PHONE_WORD.finditer(plain))], key=lambda s: (s[0], -s[1])):
+            add("phone", a, b)
     for a, b, kind, gender in name_parts(text):
         add(kind, a, b, gender)
     return found
