@@ -56,6 +56,13 @@ def plain_scores(rows, order, mass):
         yield (i, not train, len(t), sum(c[(w,)] > 0 for w in t), n, sum(math.log10(p((), w)) for w in t), sum(math.log10(p(h, w)) for h, w in own))
 
 
+def test_mixing_comes_near_its_targets(spark):
+    rows = [(i, "w " * (20_000 if i % 97 == 0 else 900 if i % 11 == 0 else 5 + i % 60), f"s{i % 3}") for i in range(1500)]
+    got = mixing.copies(spark.createDataFrame(rows, SCHEMA))
+    each = got.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("copies").alias("most")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.01 and r.most <= 3 for r in each) and len(each) == 3
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(docs, order):
     few = docs.where("doc_id is null or doc_id % 4 = 0 or doc_id >= 5000")
@@ -354,6 +361,35 @@ def test_names_agree_in_gender_and_refer_to_the_same():
     assert len(found) == 2 and "الخطيب" not in new and new.split()[1] in pii.GIVEN["arabic", "m"]
 
 
+# Patterns of the test's own: what may be left of a telephone number or a name after its replacement.
+PRIVATE = [
+    ("John Smith's mail. Smith came, SMITH'S too; the Smiths", ["john", "smith"], ["'s mail. ", "'S too; the ", "s"]), ("Dr. Anna Meyer’s and Meyer's", ["anna", "meyer"], ["’s and "]), ("Mr O'Brien's dog, O'Brien", ["o'brien", "brien"], ["'s dog, "]),
+    ("+49 30 901820", ["30 901820"], ["+49 "]), ("call 0171/1234567 now", ["1234567", "171"], ["call 0", "/"]), ("+7 (495) 123-45-67", ["123-45-67", "495"], ["+7 ("]), ("8 (495) 123-45-67", ["123-45-67", "495"], ["8 ("]), ("8 495 123 45 67", ["495 123"], ["8 "]),
+    ("tel 2125551234", ["2125551234"], ["tel "]), ("phone number: 2125551234", ["2125551234"], ["phone number: "]), ("+442079460958", ["2079460958"], ["+44"]), ("+49 (0)30 901820-12", ["901820"], ["+49 ("]), ("030 / 901820", ["901820"], ["0", " / "]), ("+33 1 23 45 67 89", ["23 45 67"], ["+33 "]), ("тел. 84951234567", ["4951234567"], ["тел. "]),
+]
+CLEAN = ["id 2125551234 no", "2024-01-05 12:30", "0.171 234567", "page 030 of 901820", "07/2024", "the smith's mail", "ISO 8601-1:2019", "1/2 + 3/4"]
+
+
+@pytest.mark.parametrize("case", PRIVATE, ids=lambda c: c[0])
+def test_forms_that_must_not_stay(case):
+    text, gone, kept = case
+    new, found = pii.replaced(text, KEY)
+    assert found and not any(g in new.lower() for g in gone) and all(k in new for k in kept) and re.sub(r"[\w']", "", new) == re.sub(r"[\w']", "", text)
+    if text.startswith("+44"):
+        assert len({pii.replaced(f"+4420794609{k:02}", KEY)[0] for k in range(100)}) == 100
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_forms_that_are_no_private_data(text):
+    assert pii.replaced(text, KEY) == (text, [])
+
+
+def test_mentions_keep_their_bearer():
+    new, _ = pii.replaced("John Smith's mail. Smith came, and the Smiths left.", KEY)
+    own = new.split("'s")[0].split()[1]
+    assert new.count(own) == 3 and f"the {own}s left" in new
+
+
 def plain_replaced(text):
     """One find after the other, each against all before, without the shortcuts."""
     found = []

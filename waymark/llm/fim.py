@@ -95,8 +95,7 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     h = dict(zip(("h1", "h2", "h3", "h4"), draws(F.col(f"`{doc_id}`"), seed), strict=True))
     names = [c for c in docs.columns if c not in OUT]
     d = packed(docs.select(*[F.col(f"`{c}`") for c in names]), text=F.col(f"`{text}`"), **h) if text in names else packed(docs, text=F.col(f"`{text}`"), **h)
-    row = d.schema["row"].dataType.simpleString()
-    out = d.mapInArrow(run, "row " + row + ", " + ", ".join(f"{c} {t}" for c, t in OUT.items()))
+    out = d.mapInArrow(run, d.select("row", *[F.lit(None).cast(t).alias(c) for c, t in OUT.items()]).schema)
     return unpacked(out, names, **{c: F.col(c) for c in OUT})
 
 
