@@ -11,7 +11,7 @@ FIELDS = {"a": ("category",), "ab": ("category", "region"), "abc": ("category",
 
 def to_json(level: str, category: Column, region: Column | None = None, geo: Column | None = None) -> Column:
     """Compact JSON in fixed key order; regions that are whole numbers are written as numbers."""
-    quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("x"))), 6, 1 << 20)  # noqa: E731  '"text"}' of {"x":"text"}
+    quoted = lambda c: F.right(o := F.to_json(F.struct(c.alias("x"))), F.length(o) - 5)  # noqa: E731  '"text"}' of {"x":"text"}
     body = F.concat(F.lit('{"category":'), quoted(category))
     if level == "a":
         return body

@@ -29,7 +29,8 @@ def segments(sid: Column, strict: bool = False) -> Column:
 
 
 def prefix(sid: Column, level: str) -> Column:
-    return F.array_join(F.slice(segments(sid), 1, LEVELS[level]), "")
+    """The first segments, as many as the level has; `full_sid` is all of them."""
+    return F.array_join(segments(sid) if level == "full_sid" else F.slice(segments(sid), 1, LEVELS[level]), "")
 
 
 def level_name(sid: Column) -> Column:

@@ -49,18 +49,24 @@ def literal_list(c: Column, kind: str = "string") -> Column:
 
 
 def time_literal(c: Column) -> Column:
-    """A literal of hours and counts, as a mapping {8: 2} or pairs [(8, 2)], to map<int,bigint>; junk and null to an empty one."""
+    """Hours and their weights of a literal, to map<int,double>: a mapping {8: 2} as it is, a list of hours [8, 9, 8] with a weight of one
+    for each time it comes, pairs [(8, 2)] as a mapping; junk and null give an empty one. Weights may be decimal; of a key that comes
+    twice in a mapping the last weight stays."""
     t = clean_literal(c)
-    number = r"['\"]?(\d+)['\"]?"
-    pair = rf"(?:{number}\s*:\s*{number}|[\[(]\s*{number}\s*,\s*{number}\s*[\])])"
-    form = rf"(?s)^\s*[\{{\[(]\s*(?:{pair}\s*,?\s*)*[\}}\])]\s*$"
-    each = F.regexp_extract_all(t, F.lit(rf"({number}\s*[:,]\s*{number})"), F.lit(1))
-    digits = lambda x, k: F.element_at(F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1)), k)
-    entries = F.transform(each, lambda x: F.struct(digits(x, 1).cast("int").alias("k"), digits(x, 2).cast("bigint").alias("v")))
-    # A key that comes twice keeps its last count, as in a mapping literal.
+    hour = r"['\"]?(-?\d+)['\"]?"
+    weight = r"(-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+    pair = rf"(?:{hour}\s*:\s*{weight}|[\[(]\s*{hour}\s*,\s*{weight}\s*[\])])"
+    weighed = rf"(?s)^\s*(?:\{{\s*(?:{hour}\s*:\s*{weight}\s*(?:,\s*{hour}\s*:\s*{weight}\s*)*,?\s*)?\}}|\[\s*(?:{pair}\s*,?\s*)*\])\s*$"
+    listed = rf"(?s)^\s*\[\s*{hour}\s*(?:,\s*{hour}\s*)*,?\s*\]\s*$"
+    each = F.regexp_extract_all(t, F.lit(rf"({hour}\s*[:,]\s*{weight})"), F.lit(1))
+    key = lambda x: F.regexp_extract(x, hour, 1).cast("int")
+    value = lambda x: F.regexp_extract(x, rf"[:,]\s*{weight}$", 1).cast("double")
+    entries = F.transform(each, lambda x: F.struct(key(x).alias("k"), value(x).alias("v")))
     lasting = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["k"] == e["k"]))
-    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
-    return F.coalesce(F.when(t.rlike(form), F.map_from_entries(lasting)), empty)
+    hours = F.transform(F.regexp_extract_all(t, F.lit(hour), F.lit(1)), lambda x: x.cast("int"))
+    counted = F.transform(F.array_distinct(hours), lambda h: F.struct(h.alias("k"), F.size(F.filter(hours, lambda x: x == h)).cast("double").alias("v")))
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
+    return F.coalesce(F.when(t.rlike(listed), F.map_from_entries(counted)).when(t.rlike(weighed), F.map_from_entries(lasting)), empty)
 
 
 def completion(instruction: Column, body: Column, output: Column, end: str = "<|eot_id|>") -> Column:

@@ -20,6 +20,12 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.raise_error(F.lit("zero vector")))
 
 
+def unit_or_zero(a: Column) -> Column:
+    """The vector by its length; a zero vector stays."""
+    n = norm(a)
+    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+
+
 def time_features(hours: Column, weights: Column, harmonics: int = 6) -> Column:
     """Weighted means of sin and cos of 2 pi k hour / 24, k = 1..; nothing to weigh gives zeros."""
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)

@@ -70,14 +70,16 @@ class FirstCandidates:
         return [" ".join(list(dict.fromkeys(c))[:k]) for c in candidates]
 
 
-def generated(df: DataFrame, prompt: str, candidates: str, k: int = 10, generator: Generator | None = None, out: str = "prediction") -> DataFrame:
-    """Adds the answer to each prompt; with candidates, the answer is made of those only."""
+def generated(df: DataFrame, prompt: str, candidates: str | list[str], k: int = 10, generator: Generator | None = None, out: str = "prediction") -> DataFrame:
+    """Adds the answer to each prompt, made of candidates only: those of a column, or one list for all, which goes to each worker once."""
     model = generator or FirstCandidates()
     schema = df.withColumn(out, F.lit("")).schema
+    shared = df.sparkSession.sparkContext.broadcast(candidates) if isinstance(candidates, list) else None  # callers bound it
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{out: model.generate(list(b[prompt]), [list(c) for c in b[candidates]], k) if len(b) else []})
+            lists = [shared.value] * len(b) if shared is not None else [list(c) for c in b[candidates]]
+            yield b.assign(**{out: model.generate(list(b[prompt]), lists, k) if len(b) else []})
 
     return df.mapInPandas(run, schema)
 

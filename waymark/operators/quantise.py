@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import vector
 from ..functions.draws import draw
 from ..session import cut
+from . import seeding
 
 
 def assign_level(df: DataFrame, codebook: DataFrame, level: int) -> DataFrame:
@@ -77,8 +78,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec", key: str = "id", decay: float = 0.95, seed: int = 42, first_rounds: int = 10) -> list[np.ndarray]:
     """Codebooks by level: k-means rounds on the residuals, then moving averages; codes used less than a fifth of the mean are drawn anew.
 
-    Residuals are written out for each level, so a round reads them and not all levels before. A level's first codes are vectors
-    drawn by hash, moved by `first_rounds` of k-means; then each of `rounds` moves sums of unit vectors and counts by `decay`.
+    Residuals are written out for each level, so a round reads them and not all levels before. A level's first codes come from
+    k-means|| over its unit vectors, moved by `first_rounds` of k-means; then each of `rounds` moves sums of unit vectors and counts
+    by `decay`: one move a pass over all vectors, where a trainer by batches makes one a batch.
     """
     books: list[np.ndarray] = []
     res = cut(df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")))
@@ -87,7 +89,7 @@ def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec"
         return np.array([r[0] for r in res.orderBy(draw(name, F.col("id")), "id").limit(n).select("vec").collect()], dtype=np.float64)
 
     for level in range(levels):
-        book = _unit(some(f"{seed}-{level}", k))
+        book = _unit(seeding.start(res.select("id", vector.unit_or_zero(F.col("vec")).alias("vec")), k, seed=seed + level))
         for _ in range(first_rounds):
             total, used = code_sums(res, book)
             book = np.where(used[:, None] > 0, _unit(total), book)

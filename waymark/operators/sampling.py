@@ -89,6 +89,9 @@ def mixed(families: dict[str, DataFrame], mix: tuple[tuple[str, float], ...], ke
         if sizes.get(f, 0) > 0:
             part = with_replacement(d, key, sizes[f], f"{seed}-{f}", F.col(weight) if weight and f in WEIGHTED else None).withColumn("family", F.lit(f))
             out = part if out is None else out.unionByName(part)
+    if out is None:  # no family has a row
+        first = next(iter(families.values()))
+        out = with_replacement(first, key, 0, seed).withColumn("family", F.lit(""))
     return out.orderBy(draw(f"{seed}-order", F.concat_ws("|", "family", F.col("draw").cast("string"))))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sid, text
@@ -10,17 +10,29 @@ from ..functions.draws import draw
 from .base import positions
 
 
-def gathered(df: DataFrame, user: str, poi: str, time: str, tie: str) -> DataFrame:
-    """user, p and t: the places and times of each user in order. A user's events are one array, so their number bounds it."""
+def gathered(df: DataFrame, user: str, poi: str, time: str, tie: str, most: int | None = None) -> DataFrame:
+    """user, p and t: the places and times of each user in order; before: how many earlier events are left out.
+
+    With `most` only a user's last so many events are gathered: each task cuts what it has of a user to them before rows are sent, so
+    the longest array is as long as that. Without it a user's events are one array, as a history of all of them is one text.
+    """
+    d, held = df.withColumn("_u", F.col(user)), F.lit(0).cast("bigint")
+    if most is not None:
+        counts = d.groupBy("_u").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("_u", "_v")
+        latest = Window.partitionBy("_u").orderBy(F.col(time).desc(), F.col(tie).desc(), F.col(poi).desc())
+        d = d.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= most)
+        d = d.join(counts.where(F.col("_n") > most), F.col("_u") == F.col("_v"), "left")
+        held = F.coalesce(F.max("_n") - most, held)
     s = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(tie).alias("e"), F.col(poi).alias("p"))))
-    return df.groupBy(F.col(user).alias("uid")).agg(s.alias("s")).select("uid", F.transform("s", lambda x: x["p"]).alias("p"), F.transform("s", lambda x: x["t"]).alias("t"))
+    g = d.groupBy(F.col("_u").alias("uid")).agg(s.alias("s"), (F.max(held) if most is None else held).alias("before"))
+    return g.select("uid", F.transform("s", lambda x: x["p"]).alias("p"), F.transform("s", lambda x: x["t"]).alias("t"), "before")
 
 
-def _windowed(d: DataFrame, ends: Column, width: Column) -> DataFrame:
+def _windowed(d: DataFrame, ends: Column, width: Column, *others: str) -> DataFrame:
     """Inputs of `width` items that end before each of `ends` (0-based places of targets)."""
     d = d.withColumn("end", F.explode(ends)).withColumn("w", width)
     cut = lambda c: F.slice(c, F.col("end") - F.col("w") + 1, F.col("w"))
-    return d.select("uid", "end", cut(F.col("p")).alias("pids"), cut(F.col("t")).alias("times"), F.get("p", F.col("end")).alias("target"), F.get("t", F.col("end")).alias("target_time"))
+    return d.select("uid", "end", cut(F.col("p")).alias("pids"), cut(F.col("t")).alias("times"), F.get("p", F.col("end")).alias("target"), F.get("t", F.col("end")).alias("target_time"), *others)
 
 
 def train_windows(seqs: DataFrame, window: int = 50, step: int = 10, mask_prob: float = 0.1, most: int = 80, least: int = 10, seed: int = 42) -> DataFrame:
@@ -47,14 +59,17 @@ def train_windows(seqs: DataFrame, window: int = 50, step: int = 10, mask_prob:
 def eval_windows(seqs: DataFrame, window: int = 50) -> DataFrame:
     """split, uid, ...: under `window` events (over 2) a test row on the last and a val row on the one before; else full windows.
 
-    With exactly `window` events there is a test row only.
+    With exactly `window` events there is a test row only. Of a user's events the last window + 1 are enough; `end` counts all of them.
     """
     d = seqs.withColumn("n", F.size("p"))
+    if "before" not in d.columns:
+        d = d.withColumn("before", F.lit(0))
 
     def part(split: str, back: int) -> DataFrame:
         few = F.when((F.col("n") < window) & (F.col("n") > 2), F.array(F.col("n") - back)).otherwise(F.array().cast("array<int>"))
         ends = F.when(F.col("n") >= window + back - 1, F.array(F.col("n") - back)).otherwise(few)
-        return _windowed(d, ends, F.when(F.col("n") >= window, F.lit(window - 1)).otherwise(F.col("n") - back)).withColumn("split", F.lit(split))
+        w = _windowed(d, ends, F.when(F.col("n") >= window, F.lit(window - 1)).otherwise(F.col("n") - back), "before")
+        return w.withColumn("end", (F.col("end") + F.col("before")).cast("int")).drop("before").withColumn("split", F.lit(split))
 
     return part("test", 1).unionByName(part("val", 2))
 

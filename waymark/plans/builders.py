@@ -25,8 +25,9 @@ def trajectories(raw: DataFrame, config: BuildConfig | None = None, seq: str | N
     mapped = cut(base.encode(d, names))  # windows, places and counts all read it
     parts = cut(base.split(mapped, "uid", "pid", "Time", "seq", c.train_ratio))
     train = sequences.gathered(parts.where("train"), "uid", "pid", "Time", "seq")
-    ev = sequences.eval_windows(sequences.gathered(base.eval_base(parts, "uid"), "uid", "pid", "Time", "seq"), c.window)
-    tw = sequences.train_windows(train, c.window, c.step, c.mask_prob, c.max_user_events, c.min_sequence, c.seed)
+    latest = sequences.gathered(parts.where("train"), "uid", "pid", "Time", "seq", most=c.max_user_events)
+    ev = sequences.eval_windows(sequences.gathered(base.eval_base(parts, "uid"), "uid", "pid", "Time", "seq", most=c.window + 1), c.window)
+    tw = sequences.train_windows(latest, c.window, c.step, c.mask_prob, c.max_user_events, c.min_sequence, c.seed)
     order = mapped.withColumn("hour", F.col("visit_hour"))
     info = places.summary(order)
     for name, forward in (("neighbors", False), ("forward_neighbors", True)):
@@ -121,12 +122,9 @@ def similar_map(bank_rows: DataFrame, split: str, k: int = 35, encoder: TextEnco
     return ranking.causal_topk(q, t, k)
 
 
-def inference(samples: DataFrame, candidates: DataFrame, kind: str, source: str = "current", histories: DataFrame | None = None, similar: DataFrame | None = None, keep: int | None = None, generator: Generator | None = None, n: int = 10) -> DataFrame:
-    """Prompts, answers and what is parsed from them. candidates: (sample_id, candidates) in the ranker's order.
-
-    similar: (query_id, key_text, target, rank) of retrieved cases, of which 3 (hybrid) or 5 are shown unless `keep` says so.
-    """
-    d = samples.join(candidates, "sample_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+def prompted(samples: DataFrame, kind: str, source: str = "current", histories: DataFrame | None = None, similar: DataFrame | None = None, keep: int | None = None, n: int = 10) -> DataFrame:
+    """Samples with their prompt. similar: (query_id, key_text, target, rank) of retrieved cases, of which 3 (hybrid) or 5 are shown unless `keep` says so."""
+    d = samples
     past = cases = None
     if source in ("original", "hybrid"):
         d = d.join(histories, "uid", "left")
@@ -138,7 +136,13 @@ def inference(samples: DataFrame, candidates: DataFrame, kind: str, source: str
         d = d.join(s, F.col("sample_id") == F.col("query_id"), "left")
         cases = prompts.cases(F.coalesce("_cases", F.array().cast("array<string>")))
     now = prompts.current(F.col("input_text"), F.col("key_text"), F.col("target_time"))
-    d = d.withColumn("prompt", prompts.prompt(prompts.body(source, now, past, cases), kind, n)).select("sample_id", "target", "prompt", "candidates")
+    return d.withColumn("prompt", prompts.prompt(prompts.body(source, now, past, cases), kind, n)).select(*samples.columns, "prompt")
+
+
+def inference(samples: DataFrame, candidates: DataFrame, kind: str, source: str = "current", histories: DataFrame | None = None, similar: DataFrame | None = None, keep: int | None = None, generator: Generator | None = None, n: int = 10) -> DataFrame:
+    """Prompts, answers and what is parsed from them. candidates: (sample_id, candidates) in the ranker's order."""
+    d = prompted(samples, kind, source, histories, similar, keep, n).join(candidates, "sample_id", "left")
+    d = d.select("sample_id", "target", "prompt", F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
     return generated(d, "prompt", "candidates", n, generator).withColumn("parsed_predictions", sid.predictions(F.col("prediction"), kind))
 
 

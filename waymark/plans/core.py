@@ -104,7 +104,7 @@ SELECT uid, "end", masked, array_to_string(CASE WHEN masked THEN list_concat(lis
 @query(f"WITH {CHECKINS_SQL}, {_SPLIT}, {_TRAIN}")
 def train_windows(spark, sf_dir):
     """With a cap of 60 events, so that it fires on the test tables."""
-    seqs = sequences.gathered(parts(spark, sf_dir).where("train"), "uid", "pid", "t", "seq")
+    seqs = sequences.gathered(parts(spark, sf_dir).where("train"), "uid", "pid", "t", "seq", most=60)
     return flat(sequences.train_windows(seqs, most=60))
 
 
@@ -116,7 +116,7 @@ v AS (SELECT split, uid, "end", list_slice(p, CASE WHEN n >= 50 THEN "end" - 48
 
 
 def evaluation(spark, sf_dir, p: DataFrame | None = None) -> DataFrame:
-    return sequences.eval_windows(sequences.gathered(base.eval_base(parts(spark, sf_dir) if p is None else p, "uid"), "uid", "pid", "t", "seq"))
+    return sequences.eval_windows(sequences.gathered(base.eval_base(parts(spark, sf_dir) if p is None else p, "uid"), "uid", "pid", "t", "seq", most=51))
 
 
 @query(f"WITH {CHECKINS_SQL}, {_SPLIT}, {_EVAL} SELECT split, uid, \"end\", array_to_string(pids, ',') AS pids, array_to_string(times, ',') AS times, target, target_time FROM v")

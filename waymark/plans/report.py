@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import html
 import math
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import traces
 from ..session import cut
+from ..sources import documents
 from ..sources.files import write_json
 
 COLOURS = ("#1b6ca8", "#c8553d", "#3a7d44", "#7b4b94", "#b58900")
@@ -91,8 +91,6 @@ def write(rows: DataFrame, trace_path: str, output_path: str | None = None, csv_
     s.orderBy("step").write.mode("overwrite").option("header", "true").csv(csv_path)
     last = s.orderBy(F.col("step").desc()).limit(1).collect()[0]
     summary = {"trace_path": trace_path, "output_path": path, "csv_path": csv_path, "summary_path": summary_path, "trace_row_count": summary["trace_row_count"], "synthetic_step_count": summary["steps"], "group_size": summary["group_size"], "last_step": last["step"], "last_step_mean_total_reward": last["total_reward_mean"], "last_cumulative_mean_total_reward": last["total_reward_cum_mean"]}
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(page)
+    documents.write(path, page, rows.sparkSession)
     write_json(summary_path, summary)
     return summary

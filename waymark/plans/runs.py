@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import profile, prompts, sid
 from ..models import Generator, generated
-from ..operators import places, ranking, semantic, sequences
+from ..operators import base, decoding, places, ranking, semantic, sequences
 from ..session import BuildConfig, cut
-from ..sources import files
+from ..sources import documents, files
+from . import builders
 
 SPLITS = ("train", "val", "test")
 SOURCES = ("current", "original")
 LEAST_SPACE = 10
-#: Candidates that every row of one task may choose from; they go to each task.
+#: Candidates that go to each task as one list; more are chosen from list by list, and then from the lists' winners.
 MOST_CANDIDATES = 200_000
+#: Answers of a decoder to one sample.
+ANSWERS = 10
 # Evaluation tasks by name, with the record's task and the level of its prefixes.
 TASKS = {"sid_to_abc_profile": ("full_sid_to_abc_profile", "abc"), "abc_profile_to_a": ("category_profile_to_a", "a"), "abc_profile_to_ab": ("category_region_profile_to_ab", "ab"), "abc_profile_to_abc": ("abc_profile_to_abc", "abc")}
 
@@ -149,35 +153,86 @@ def evaluation_path(predictions_path: str, metadata: dict) -> str:
 def run_evaluation(spark, predictions_path: str, output_path: str | None = None, kind: str = "sid") -> dict:
     """Evaluates a predictions file: the metrics become a JSON document, the rows JSON lines in a folder beside it."""
     metadata = {}
-    if not predictions_path.endswith(".jsonl"):
+    if predictions_path.endswith(".jsonl"):
+        beside = metadata_path(predictions_path)
+        metadata = files.read_json(beside) if documents.exists(beside, spark) else {}
+    else:
         whole = spark.read.option("multiLine", "true").json(predictions_path)
         if "metadata" in whole.columns and "samples" in whole.columns:
             metadata = whole.select("metadata").first()["metadata"].asDict(recursive=True)
     payload, rows = evaluation(files.read_predictions(spark, predictions_path), metadata.get("repr", kind), metadata)
     path = output_path or evaluation_path(predictions_path, metadata)
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     files.write_json(path, payload)
     files.write_jsonl(rows, f"{path.removesuffix('.json')}_samples", "overwrite")
     return payload
 
 
+def chosen(d: DataFrame, prompt: str, space: DataFrame, generator: Generator | None = None, most: int | None = None, out: str = "prediction") -> DataFrame:
+    """Adds a generator's choice for each prompt from all candidates of a space (one column), in order.
+
+    A list of `most` goes to each task once, in a broadcast variable. Of a larger space each list in turn has a winner, and the winners meet in
+    a last list, in the order of the lists; a generator that picks the best it is shown picks the best of all.
+    """
+    most = most or MOST_CANDIDATES
+    name = space.columns[0]
+    placed = cut(base.positions(space.where(F.col(name).isNotNull()), [F.col(name)], "_k"))
+    lists = max(1, -(-placed.count() // most))
+    names, winners = list(d.columns), []
+    for k in range(lists):
+        part = placed.where(F.col("_k").between(k * most + 1, (k + 1) * most)).orderBy("_k").select(name)
+        d = generated(d, prompt, [r[0] for r in part.collect()], 1, generator, f"_w{k}")  # at most `most`
+        winners.append(f"_w{k}")
+        d = cut(d) if lists > 1 else d
+    if lists == 1:
+        return d.withColumnRenamed("_w0", out)
+    last = generated(d.withColumn("_candidates", F.array(*winners)), prompt, "_candidates", 1, generator, out)
+    return last.select(*names, out)
+
+
+def metadata_path(predictions_path: str) -> str:
+    return f"{predictions_path.rstrip('/').removesuffix('.jsonl')}.metadata.json"
+
+
+def run_inference(bank: DataFrame, kind: str, path: str, scorer, space: DataFrame, tokens: Callable[[Column], Column], context: str = "prompt", split: str = "test", source: str = "current", histories: DataFrame | None = None, similar: DataFrame | None = None, keep: int | None = None, limit: int | None = None, k: int = ANSWERS, width: int | None = None, metadata: dict | None = None) -> dict:
+    """Decodes the samples of a split from all allowed answers and writes predictions (JSON lines, ending in .jsonl) with metadata beside them.
+
+    scorer(vocabulary, tree): what scores a branch for a sample's `context` column; space: (target) of all answers; tokens: an answer's
+    tokens as an array; limit: only the first so many samples, in the order of their ids. run_evaluation reads what this writes.
+    """
+    if not path.endswith(".jsonl"):
+        raise ValueError(f"predictions are JSON lines, so their path ends in .jsonl: {path}")
+    samples = bank_rows(bank, split, kind)
+    samples = samples if limit is None else samples.orderBy("sample_id").limit(limit)
+    allowed = space.select(F.col("target"), tokens(F.col("target")).alias("tokens"))
+    vocabulary, tree = decoding.answers(allowed, "tokens")
+    d = builders.prompted(samples, kind, source, histories, similar, keep, 1)
+    d = decoding.decoded(d, context, vocabulary, tree, scorer(vocabulary, tree), k, width)
+    rows = d.select(
+        "sample_id", "uid", F.lit(split).alias("split"), F.lit(kind).alias("repr"), F.lit(source).alias("history_source"), "target", "target_time", F.lit(prompts.VERSION).alias("prompt_template_version"), F.lit(prompts.system(kind, 1)).alias("system_prompt"),
+        "prompt", F.length("prompt").alias("prompt_char_length"), "prediction", sid.predictions(F.col("prediction"), kind).alias("parsed_predictions"),
+    )
+    files.write_jsonl(rows, path, "overwrite")
+    told = {
+        **(metadata or {}), "repr": kind, "history_source": source, "split": split, "prompt_template_version": prompts.VERSION, "top_k_retrieval": keep or (3 if source == "hybrid" else 5), "decoding_mode": "candidate_constrained_beam_search",
+        "candidate_space_size": len(tree), "num_samples": bank.sparkSession.read.schema("sample_id string").json(path).count(),
+    }
+    files.write_json(metadata_path(path), told)
+    return told
+
+
 def alignment_evaluation(records: DataFrame, task: str, generator: Generator | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics, rows): what a generator answers to the records of a task.
 
-    Profiles are chosen from the outputs of all records of the task, which are bounded by MOST_CANDIDATES, prefixes from the record's own.
+    Profiles are chosen from the outputs of all records of the task, prefixes from the record's own.
     """
     if task not in TASKS:
         raise ValueError(f"no such task: {task}")
     kind, level = TASKS[task]
     d = semantic.task_records(records, kind, limit).withColumn("prompt", prompts.alignment(F.col("instruction"), F.col("input")))
     if task == "sid_to_abc_profile":
-        space = d.select(F.trim("output").alias("c")).distinct()
-        if space.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
-            raise ValueError("too many candidates for one list")
-        d = d.crossJoin(F.broadcast(space.agg(F.array_sort(F.collect_list("c")).alias("_candidates"))))  # one row
+        told = cut(chosen(d, "prompt", d.select(F.trim("output").alias("c")).distinct(), generator))
     else:
-        d = d.withColumn("_candidates", F.col("candidate_prefixes"))
-    told = cut(generated(d, "prompt", "_candidates", 1, generator).drop("_candidates"))
+        told = cut(generated(d.withColumn("_candidates", F.col("candidate_prefixes")), "prompt", "_candidates", 1, generator).drop("_candidates"))
     if task != "sid_to_abc_profile":
         p = sid.first_prefix(F.col("prediction"), level)
         rows = told.withColumns({"parsed_prefix": p, "valid_prefix": F.coalesce(F.array_contains("candidate_prefixes", p), F.lit(False)), "is_exact_match": F.coalesce(p == F.trim("output"), F.lit(False))})

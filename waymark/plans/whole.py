@@ -59,17 +59,22 @@ def checkin_files(spark, sf_dir):
     return d.select("category_id", "original_uid", "original_pid", "category", F.round("latitude", 9).alias("latitude"), F.col("timezone_offset").cast("string").alias("timezone_offset"), F.unix_timestamp("utc_ts").cast("string").alias("seconds"))
 
 
-@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL} SELECT form, pid, CASE WHEN pid % 5 = 4 THEN NULL WHEN pid % 5 IN (1, 2) THEN abc ELSE sid_token END AS sid_token FROM s, (VALUES ('csv'), ('jsonl')) AS f(form)")
+@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL} SELECT form, pid, CASE WHEN form = 'json' OR pid % 5 = 0 THEN sid_token ELSE abc END AS sid_token FROM s, (VALUES ('csv'), ('jsonl'), ('json')) AS f(form)")
 def sid_map_files(spark, sf_dir):
-    """A SID map through JSON lines and CSV: by its token, by its indices as text where that is missing or empty, by its last column, or null."""
+    """A SID map through its three forms: an object keyed by place, JSON lines and CSV, whose rows have a token, or index lists in either column, with numpy's marks too."""
     s, k = semantic.with_suffix(sids(spark, sf_dir)), F.col("pid") % 5
     indices = F.to_json(F.slice("sid_indices", 1, 3))
-    d = s.select("pid", F.when(k == 0, F.col("sid_token")).when(k == 1, F.lit("")).alias("sid_token"), F.when(k.isin(1, 2), indices).alias("sid_indices"), F.when(k == 3, F.col("sid_token")).alias("sid"))
-    d = cut(d)
-    lines, commas = _folder(spark, ".jsonl"), _folder(spark, ".csv")
+    marked = F.concat(F.lit("["), F.array_join(F.transform(F.slice("sid_indices", 1, 3), lambda x: F.concat(F.lit("np.int64("), x.cast("string"), F.lit(")"))), ", "), F.lit("]"))
+    s = cut(s.select("pid", "sid_token", "sid_indices"))
+    d = cut(s.select("pid", F.when(k == 0, F.col("sid_token")).when(k == 1, F.lit("")).alias("sid_token"), F.when(k.isin(1, 2), indices).when(k == 4, marked).alias("sid_indices"), F.when(k == 3, indices).alias("sid")))
+    lines, commas, keyed = _folder(spark, ".jsonl"), _folder(spark, ".csv"), _folder(spark, ".json")
     files.write_jsonl(d, lines)
     d.write.option("header", "true").option("escape", '"').csv(commas)
-    return files.read_sid_map(spark, lines).select(F.lit("jsonl").alias("form"), "*").unionByName(files.read_sid_map(spark, commas).select(F.lit("csv").alias("form"), "*"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("pid").cast("string"), F.struct("sid_token", "sid_indices"))))
+    s.agg(F.to_json(entries)).coalesce(1).write.text(keyed)  # the form is one document, as large as the map
+    forms = {"jsonl": lines, "csv": commas, "json": keyed}
+    read = [files.read_sid_map(spark, path).select(F.lit(form).alias("form"), "*") for form, path in forms.items()]
+    return read[0].unionByName(read[1]).unionByName(read[2])
 
 
 @query("SELECT conv_id, turn, role, CASE WHEN turn % 3 > 0 THEN text END AS text FROM conversations")
@@ -91,14 +96,19 @@ def alias_columns(spark, sf_dir):
 _HOUR = "(p_size % 24)"
 
 
-@query(f"""SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN {_HOUR} || ':' || p_size || ',30:1' WHEN 1 THEN {_HOUR} || ':' || p_size || ',30:7' WHEN 2 THEN {_HOUR} || ':4' ELSE '' END AS hours FROM part""")
+_W = "::DECIMAL(10, 2)::VARCHAR"
+
+
+@query(f"""SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN {_HOUR} || ':' || p_size{_W} || ',30:1.00' WHEN 1 THEN {_HOUR} || ':' || p_size{_W} || ',30:7.00' WHEN 2 THEN {_HOUR} || ':4.00'
+    WHEN 5 THEN {_HOUR} || ':2.00,30:1.00' WHEN 6 THEN {_HOUR} || ':' || (p_size + 0.5){_W} ELSE '' END AS hours FROM part""")
 def time_literals(spark, sf_dir):
-    """Hours and counts out of mappings, pairs, a key that comes twice, junk and null."""
-    h, n, k = (F.col("p_size") % 24).cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    """Hours and weights out of mappings, pairs, a key that comes twice, a list of hours, decimal weights, junk and null."""
+    h, n, k = (F.col("p_size") % 24).cast("string"), F.col("p_size").cast("string"), F.col("p_partkey") % 7
     form = F.when(k == 0, F.concat(F.lit("{"), h, F.lit(": np.int64("), n, F.lit("), 30: 1}"))).when(k == 1, F.concat(F.lit("[("), h, F.lit(", "), n, F.lit("), ('30', 7)]")))
     form = form.when(k == 2, F.concat(F.lit("{"), h, F.lit(": "), n, F.lit(", "), h, F.lit(": 4}"))).when(k == 3, F.concat(F.lit("about "), n))
+    form = form.when(k == 5, F.concat(F.lit("["), h, F.lit(", 30, "), h, F.lit("]"))).when(k == 6, F.concat(F.lit("{"), h, F.lit(": "), n, F.lit(".5}")))
     d = table(spark, sf_dir, "part").select("p_partkey", text.time_literal(form).alias("m"))
-    each = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    each = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("decimal(10,2)").cast("string")))
     return d.select(F.col("p_partkey").alias("id"), F.array_join(each, ",").alias("hours"))
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import sid
+from ..functions import sid, text
+from . import documents
 
 RAW_COLUMNS = ("original_uid", "original_pid", "category_id", "category", "latitude", "longitude", "timezone_offset", "utc_time")
 RAW_TYPES = ("bigint", "string", "string", "string", "double", "double", "int", "string")
+# Fixed value: the fields of a trace record beyond its own.
 TRACE_EXTRA = ("sample_id", "uid", "repr", "history_source", "target", "target_time", "prompt_template_version")
 WEEKDAYS = "Mon|Tue|Wed|Thu|Fri|Sat|Sun"
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -55,36 +57,47 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_json(path: str) -> dict:
-    """A small JSON document of the driver, such as a manifest."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+    """A small JSON document of the driver, such as a manifest, on any file system."""
+    return json.loads(documents.read(path))
 
 
 def write_json(path: str, payload: object) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, ensure_ascii=False, indent=2)
-        f.write("\n")
+    documents.write(path, json.dumps(payload, ensure_ascii=False, indent=2) + "\n")
 
 
 def sid_map(raw: DataFrame) -> DataFrame:
-    """(pid, sid_token) from sid_token, else sid_indices (an array or its text), else sid."""
-    options = []
-    if "sid_token" in raw.columns:
+    """(pid, sid_token) from sid_token, else from the index lists of sid_indices or sid, as arrays or as text; a row without any is an error."""
+    kinds, options = dict(raw.dtypes), []
+    if "sid_token" in kinds:
         options.append(F.nullif(F.col("sid_token"), F.lit("")))
-    if "sid_indices" in raw.columns:
-        a = F.col("sid_indices") if dict(raw.dtypes)["sid_indices"].startswith("array") else F.from_json("sid_indices", "array<int>")
-        options.append(sid.token(a))
-    if "sid" in raw.columns:
-        options.append(F.nullif(F.col("sid"), F.lit("")))
-    return raw.select(F.col("pid").cast("bigint").alias("pid"), F.coalesce(*options).alias("sid_token"))
+    for c in ("sid_indices", "sid"):
+        if c in kinds:
+            indices = F.col(c).cast("array<int>") if kinds[c].startswith("array") else text.literal_list(F.nullif(F.col(c), F.lit("")), "int")
+            options.append(F.nullif(sid.token(indices), F.lit("")))
+    none = F.raise_error(F.concat(F.lit("no semantic ID in the row of place "), F.coalesce(F.col("pid").cast("string"), F.lit("null"))))
+    return raw.select(F.col("pid").cast("bigint").alias("pid"), F.coalesce(*options, none.cast("string")).alias("sid_token"))
+
+
+def keyed_objects(documents_: DataFrame, value: str = "value") -> DataFrame:
+    """(key, object) of JSON objects with keys that no schema knows: a row a key, its value as a variant; text that is no object is an error."""
+    parsed = F.parse_json(value)
+    bad = F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring(value, 1, 80)))
+    kept = documents_.select(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).otherwise(bad.cast("variant")).alias("_v"))
+    return kept.lateralJoin(kept.sparkSession.tvf.variant_explode(F.col("_v").outer())).select("key", F.col("value").alias("object"))
 
 
 def read_sid_map(spark: SparkSession, path: str) -> DataFrame:
-    """A SID map of JSON lines or of CSV with a header; another suffix is an error."""
+    """A SID map: .json, one object of objects with a sid_token, keyed by place; .jsonl, rows; .csv, rows with a header; another suffix is an error.
+
+    The object is a document read in one piece, so a task holds it; maps that are larger than that come as rows.
+    """
     if path.endswith(".csv"):
         return sid_map(spark.read.option("header", "true").option("escape", '"').csv(path))
-    if path.endswith((".json", ".jsonl")):
-        return sid_map(spark.read.option("multiLine", str(path.endswith(".json")).lower()).json(path))
+    if path.endswith(".jsonl"):
+        return sid_map(spark.read.json(path))
+    if path.endswith(".json"):
+        each = keyed_objects(spark.read.text(path, wholetext=True))
+        return sid_map(each.select(F.col("key").cast("bigint").alias("pid"), F.try_variant_get("object", "$.sid_token", "string").alias("sid_token")))
     raise ValueError(f"a SID map is .json, .jsonl or .csv: {path}")
 
 
@@ -178,7 +191,5 @@ def read_evaluations(spark: SparkSession, folder: str) -> DataFrame:
 def summarise(spark: SparkSession, folder: str, path: str) -> int:
     """Writes the Markdown summary of a folder of evaluations; the number of runs."""
     lines = [r["line"] for r in summary_lines(read_evaluations(spark, folder)).collect()]  # a line a run
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+    documents.write(path, "\n".join(lines) + "\n", spark)
     return len(lines) - len(SUMMARY_HEAD)
