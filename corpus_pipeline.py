@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, minhash, mixing, pii, quality
-from waymark.llm.common import fresh, materialise, packed, small_batches, table, unpacked
+from waymark.llm.common import discard, fresh, materialise, packed, small_batches, table, unpacked
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs)
+            out = materialise(out)
+            discard(docs)  # nothing reads a stage's rows once those of the next are written
+        docs = out
     return docs
