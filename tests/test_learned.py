@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import profile, sid
 from waymark.models import Trie, generated
-from waymark.operators import balanced, decoding, quantise, sampling, seeding, sequences
+from waymark.operators import balanced, decoding, places, quantise, sampling, seeding, semantic, sequences
 from waymark.plans import runs
 from waymark.sources import documents, files
 
@@ -182,6 +183,26 @@ def test_windows_of_a_user_with_many_events(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_steps_of_a_user_with_all_the_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else 1 if i % 3 else int(rng.integers(2, 6)), int(rng.integers(0, 5)) if i % 7 else None, i // 2, i) for i in range(3000)]
+    d = spark.createDataFrame(rows, "uid int, pid int, time_dt int, seq int").repartition(6)
+    plain = d.select("uid", F.col("pid").alias("a"), F.lead("pid").over(Window.partitionBy("uid").orderBy("time_dt", "seq")).alias("b"), "time_dt", "seq")
+    assert sorted(map(str, places.followed(d).collect())) == sorted(map(str, plain.collect()))
+    plan = places.followed(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Window " in line and "_part" not in line]  # one over the ranges' sizes only
+
+
+@pytest.mark.parametrize("shape", ["spread", "equal", "crowded", "one"])
+def test_medians_without_gathering_a_group(spark, shape):
+    rng = np.random.default_rng(4)
+    make = {"spread": lambda n: rng.random(n), "equal": lambda n: np.full(n, 1 / 3), "crowded": lambda n: 0.5 + rng.random(n) * 1e-11, "one": lambda n: np.ones(n)}[shape]
+    groups = {("a", "x"): make(4001), ("a", "y"): make(4000), ("b", "x"): make(1), ("b", "y"): make(2)}
+    d = spark.createDataFrame([(*k, float(v)) for k, vs in groups.items() for v in vs], "level string, field string, s double").repartition(5)
+    got = {(r.level, r.field): r["median"] for r in semantic.medians(d, ["level", "field"], "s").collect()}
+    assert got == {k: pytest.approx(float(np.median(v)), abs=1e-15) for k, v in groups.items()}
+
+
 def test_small_documents_on_a_file_system_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/er/manifest.json"
     assert not documents.exists(uri)

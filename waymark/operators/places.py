@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .base import positions
+
 
 def hour_histogram(df: DataFrame, key: str, hour: str) -> DataFrame:
     """key, visit_time_and_count: counts by hour, hours as text keys in numeric order."""
@@ -31,10 +33,21 @@ def summary(df: DataFrame) -> DataFrame:
     return out.select("pid", "uids", "hours", "category", "category_id", "region", "latitude", "longitude", "unique_user_count", "visit_count", "visit_hours", "visit_time_and_count")
 
 
+def followed(df: DataFrame, user: str = "uid", poi: str = "pid", order: tuple[str, ...] = ("time_dt", "seq")) -> DataFrame:
+    """(user, a, b) and the order's columns: each row's place and the one after it in the user's sequence, null at its end.
+
+    Rows get their place in the order of all users, dealt by sampled ranges, and meet the row of the next place, so a user with any
+    share of the rows is no task of its own.
+    """
+    d = positions(df.select(F.col(user).alias("_user"), F.col(poi).alias("a"), *order), [F.col("_user"), *map(F.col, order)], "_at")
+    after = d.select((F.col("_at") - 1).alias("_at"), F.col("_user").alias("_next"), F.col("a").alias("b"))
+    met = d.join(after, "_at", "left").withColumn("b", F.when(F.col("_user").eqNullSafe(F.col("_next")), F.col("b")))
+    return met.select(F.col("_user").alias(user), "a", "b", *[c for c in order if c != user])
+
+
 def neighbours(df: DataFrame, forward_only: bool, user: str = "uid", poi: str = "pid", order: tuple[str, ...] = ("time_dt", "seq")) -> DataFrame:
     """poi, neighbour, n, rank: how often each other place stood next to it in a user's sequence; ties by number."""
-    follow = F.lead(poi).over(Window.partitionBy(user).orderBy(*order))
-    pairs = df.select(F.col(poi).alias("a"), follow.alias("b")).where("b is not null")
+    pairs = followed(df, user, poi, order).select("a", "b").where("b is not null")
     both = pairs if forward_only else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("n").desc(), "b"))

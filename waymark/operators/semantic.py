@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, profile, prompts, sid
 from ..functions.draws import draw
+from ..session import cut
 from .base import positions
 
 LEVELS = ("a", "ab", "abc")
@@ -60,14 +61,41 @@ def purity(d: DataFrame) -> DataFrame:
     """(level, field, num_groups, mean, median, min, max) of the largest value's share in each group."""
     local = _long(d).groupBy("level", "prefix", "field", "value").agg(F.count(F.lit(1)).alias("n"))
     share = local.groupBy("level", "prefix", "field").agg((F.max("n") / F.sum("n")).alias("s"))
-    return share.groupBy("level", "field").agg(F.count(F.lit(1)).alias("num_groups"), F.avg("s").alias("mean"), F.median("s").alias("median"), F.min("s").alias("min"), F.max("s").alias("max"))
+    share = cut(share)  # it is read for each pass below
+    figures = share.groupBy("level", "field").agg(F.count(F.lit(1)).alias("num_groups"), F.avg("s").alias("mean"), F.min("s").alias("min"), F.max("s").alias("max"))
+    return figures.join(medians(share, ["level", "field"], "s"), ["level", "field"]).select("level", "field", "num_groups", "mean", "median", "min", "max")
+
+
+def medians(d: DataFrame, by: list[str], share: str, bits: tuple[int, ...] = (16, 32)) -> DataFrame:
+    """(by, median) of shares from 0 to 1, exactly, for a few groups of any size.
+
+    Shares are counted by bins of 2^-16, then those in a middle bin by bins of 2^-32, then by value in the middle one; a pass counts
+    where the rows are and sends a row a bin, so no group's shares come together. The bins asked for are two a group, in a broadcast.
+    """
+    v = d.select(*by, F.col(share).alias("_s")).where("_s is not null")
+    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    asked = n.select(*by, F.explode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_rank"), F.lit(0).cast("double").alias("_in")).withColumn("_k", F.monotonically_increasing_id())
+    below = lambda keys: Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    inside = v.withColumn("_in", F.lit(0).cast("double"))
+    for width in (*[float(1 << b) for b in bits], None):
+        inside = inside.withColumn("_bin", F.col("_s") if width is None else F.floor(F.col("_s") * width).cast("double"))
+        counts = inside.groupBy(*by, "_in", "_bin").agg(F.count(F.lit(1)).alias("_c"))
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(below([*by, "_in"])), F.lit(0)))
+        met = counts.join(F.broadcast(asked), [*by, "_in"]).where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+        asked = cut(met.select(*by, (F.col("_rank") - F.col("_before")).alias("_rank"), F.col("_bin").alias("_in"), "_k"))  # two rows a group
+        if width is not None:
+            bins = asked.select(*by, F.col("_in").alias("_bin")).distinct()
+            inside = inside.join(F.broadcast(bins), [*by, "_bin"], "left_semi").select(*by, "_s", F.col("_bin").alias("_in"))
+    return asked.groupBy(*by).agg(F.avg("_in").alias("median"))
 
 
 def _firsts(q: DataFrame, group: list[str], other: list[str], keep: int) -> DataFrame:
     """In each group, the least prefix of each value of `other`, for its `keep` least values: one of them is not the value one has oneself."""
     each = q.groupBy(*group, *other).agg(F.min("n_prefix").alias("n_prefix"))
-    order = F.row_number().over(Window.partitionBy(*group).orderBy(*other, "n_prefix")) if group else F.row_number().over(Window.orderBy(*other, "n_prefix"))
-    return (each.orderBy(*other, "n_prefix").limit(keep) if not group else each.withColumn("k", order).where(F.col("k") <= keep).drop("k"))
+    if not group:
+        return each.orderBy(*other, "n_prefix").limit(keep)
+    order = F.row_number().over(Window.partitionBy(*group).orderBy(*other, "n_prefix"))
+    return each.withColumn("k", order).where(F.col("k") <= keep).drop("k")
 
 
 def hard_negatives(protos: DataFrame, level: str, count: int = 3, seed: int = 42) -> DataFrame:
