@@ -1,5 +1,6 @@
 """Beams down a tree, balanced codes, codebook starts, batch inference, windows of long users and documents, against plain versions."""
 
+import datetime
 import itertools
 import json
 import math
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import profile, sid
 from waymark.models import Trie, generated
-from waymark.operators import balanced, decoding, places, quantise, sampling, seeding, semantic, sequences
+from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences
 from waymark.plans import runs
 from waymark.sources import documents, files
 
@@ -203,6 +204,28 @@ def test_medians_without_gathering_a_group(spark, shape):
     assert got == {k: pytest.approx(float(np.median(v)), abs=1e-15) for k, v in groups.items()}
 
 
+@pytest.mark.parametrize("shape", ["clusters", "spread", "copies"])
+def test_retrieval_by_blocks_is_that_of_all_pairs(spark, shape):
+    rng = np.random.default_rng(8)
+    means = rng.normal(size=(12, 16))
+    x = {"clusters": lambda: means[rng.integers(0, 12, 900)] + rng.normal(0, 0.03, (900, 16)), "spread": lambda: rng.normal(size=(900, 16)), "copies": lambda: means[rng.integers(0, 3, 900)]}[shape]()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    when = rng.integers(0, 50, 900)
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=int(h)) if i % 41 else None, v.tolist()) for i, (h, v) in enumerate(zip(when, x, strict=True))]
+    d = spark.createDataFrame(rows, "id bigint, time timestamp_ntz, vec array<double>").repartition(4)
+    report = {}
+    got = {}
+    for r in ranking.causal_topk(d.where("id % 7 = 0"), d, 3, block=40, report=report).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.key_id, r.score))
+    s = (x @ x.T).round(9)
+    for i in range(0, 900, 7):
+        able = [j for j in range(900) if j % 41 and i % 41 and when[j] < when[i] and j != i]
+        want = sorted(able, key=lambda j: (-s[i, j], j))[:3]
+        assert [(k, s[i, k]) for _, k, _ in sorted(got.get(i, []))] == [(j, pytest.approx(s[i, j], abs=1e-8)) for j in want], i
+    assert report["scored"] <= report["pairs"] and (shape != "clusters" or report["scored"] < 0.7 * report["pairs"])
+    assert ranking.causal_topk(d.limit(0), d, 3).count() == 0 and ranking.causal_topk(d, d.limit(0), 3).count() == 0
+
+
 def test_small_documents_on_a_file_system_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/er/manifest.json"
     assert not documents.exists(uri)

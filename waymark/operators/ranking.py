@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import profile, sid
+from ..session import cut
+from . import seeding
 
 TOP = 10
 SAME_ABC, SAME_AB, SAME_A = 2, 2, 2
@@ -46,49 +48,87 @@ def ranked_targets(targets: DataFrame, space: DataFrame, top: int = TOP) -> Data
     return every.withColumn("rank", r).where(F.col("rank") <= top).select("target", "candidate", "tier", "rank")
 
 
-#: Vectors of a block of queries or of keys; a task scores a block with a block.
+#: Vectors of a block of queries or of keys; a task scores a block with a block. Cells that blocks are made of, at most.
 BLOCK = 4096
+MOST_CELLS = 256
 
 
-def causal_topk(queries: DataFrame, keys: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, key_id, score, rank): the k most similar keys before the query's time, itself excluded; vectors are unit ones.
+def _score(one: pd.DataFrame, other: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best keys of a block for each query of a block."""
+    out = []
+    if len(one) and len(other):
+        other = other.rename(columns=lambda c: c[2:]).sort_values("id", kind="stable")
+        s = (np.array(one["vec"].tolist()) @ np.array(other["vec"].tolist()).T).round(9)
+        barred = (other["t"].to_numpy()[None, :] >= one["t"].to_numpy()[:, None]) | (other["id"].to_numpy()[None, :] == one["id"].to_numpy()[:, None])
+        s[barred] = -np.inf
+        for row, own in zip(s, one["id"], strict=True):
+            best = np.argsort(-row, kind="stable")[:k]
+            out += [(own, other["id"].iloc[j], float(row[j])) for j in best if row[j] > -np.inf]
+    return pd.DataFrame(out, columns=["query_id", "key_id", "score"])
 
-    Every earlier key is a candidate, so this is the exact search. Keys are dealt by hash over the blocks of their day, queries over
-    blocks too, both as many as their number asks for, so neither a busy day nor many queries are one task. A pair of blocks whose
-    days allow it is scored by one product of matrices in an Arrow batch and gives k rows a query. Ties, to nine digits, by key.
-    """
-    day = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / 86400)
-    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    side = lambda d, time: d.select(F.col("id"), stamp(time).alias("t"), day(time).alias("day"), F.col("vec"))
-    q, t = side(queries, "time").where("t is not null"), side(keys, "time").where("t is not null")
-    sizes = lambda d: d.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    dealt = lambda d, n, name: d.join(F.broadcast(n), "day").withColumn(name, F.concat_ws("-", "day", F.pmod(F.xxhash64("id"), F.col("n")))).drop("n")  # noqa: E731  a row a day
-    kn, qn = sizes(t), sizes(q)
-    # The pairs of blocks: a row for each, by their days.
-    kb = kn.select(F.col("day").alias("kd"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("kj")).select("kd", F.concat_ws("-", "kd", "kj").alias("kb"))
-    qb = qn.select(F.col("day").alias("qd"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("qj")).select("qd", F.concat_ws("-", "qd", "qj").alias("qb"))
-    pairs = qb.join(kb, F.col("kd") <= F.col("qd")).select("qb", "kb")
-    left, right = dealt(q, qn, "qb").join(pairs, "qb").drop("day"), dealt(t, kn, "kb").join(pairs, "kb").drop("day")
-    right = right.select(*[F.col(c).alias(f"k_{c}") for c in ("qb", "kb", "id", "t", "vec")])  # both sides may come from one frame
+
+def _scored(q: DataFrame, t: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, key_id, score) of the pairs of blocks: k rows a query and pair; both blocks of a pair travel to one task."""
     ids = dict(t.dtypes)["id"]
+    left = q.select("qb", "id", "t", "vec").join(pairs, "qb")
+    right = t.select(F.col("kb").alias("k_kb"), F.col("id").alias("k_id"), F.col("t").alias("k_t"), F.col("vec").alias("k_vec")).join(pairs.select(F.col("qb").alias("k_qb"), F.col("kb").alias("_kb")), F.col("k_kb") == F.col("_kb")).drop("_kb")
+    cogrouped = left.groupBy("qb", "kb").cogroup(right.groupBy("k_qb", "k_kb"))
+    return cogrouped.applyInPandas(lambda one, other: _score(one, other, k), f"query_id {ids}, key_id {ids}, score double")
+
 
-    def score(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(one) and len(other):
-            other = other.rename(columns=lambda c: c[2:]).sort_values("id", kind="stable")
-            s = (np.array(one["vec"].tolist()) @ np.array(other["vec"].tolist()).T).round(9)
-            barred = (other["t"].to_numpy()[None, :] >= one["t"].to_numpy()[:, None]) | (other["id"].to_numpy()[None, :] == one["id"].to_numpy()[:, None])
-            s[barred] = -np.inf
-            for row, own in zip(s, one["id"], strict=True):
-                best = np.argsort(-row, kind="stable")[:k]
-                out += [(own, other["id"].iloc[j], float(row[j])) for j in best if row[j] > -np.inf]
-        return pd.DataFrame(out, columns=["query_id", "key_id", "score"])
-
-    part = left.groupBy("qb", "kb").cogroup(right.groupBy("k_qb", "k_kb")).applyInPandas(score, f"query_id {ids}, key_id {ids}, score double")
+def _best(part: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key_id"))
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "key_id", "score", "rank")
 
 
+def causal_topk(queries: DataFrame, keys: DataFrame, k: int, block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(query_id, key_id, score, rank): the k most similar keys before the query's time, itself excluded; vectors are unit ones.
+
+    The search is exact and skips blocks. Blocks are made of vectors nearest to one of some drawn pivots, keys by time too, so none
+    has much over `block` rows. A pair of blocks can't hold a cosine above that of the angle between their pivots less both blocks'
+    widest angles. First each block of queries meets the blocks of its own pivot; then, with the least k-th score of its queries as
+    threshold, only those others that may reach it. Blocks of keys that all come later are never met. A pair is one product of
+    matrices in an Arrow batch. Ties, to nine digits, by key. report: gets the numbers of pairs that time allows and that were scored.
+    """
+    stamp = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    side = lambda d: d.select("id", stamp("time").alias("t"), F.col("vec").cast("array<double>").alias("vec")).where("t is not null")
+    q, t = cut(side(queries)), cut(side(keys))
+    n, m = t.count(), q.count()
+    if not n or not m:
+        return _best(q.join(t.select(F.col("id").alias("key_id")), F.lit(False)).select(F.col("id").alias("query_id"), "key_id", F.lit(0.0).alias("score")), k)
+    cells = min(MOST_CELLS, -(-n // block))
+    pivots = np.unique(np.array([r["vec"] for r in t.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec").collect()]), axis=0)  # at most MOST_CELLS
+    epochs = max(1, -(-n // (block * len(pivots))))
+    bounds = t.agg(F.percentile_approx("t", [e / epochs for e in range(1, epochs)] or [0.5], 10_000)).first()[0] if epochs > 1 else []
+    # A row an epoch: as many as blocks of one cell.
+    epoch = F.size(F.filter(F.array(*[F.lit(int(x)) for x in bounds]), lambda x: x < F.col("t"))) if bounds else F.lit(0)
+
+    def blocks(d: DataFrame, name: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The rows with their block, and the blocks with pivot, widest angle and span of time."""
+        near = seeding.nearest(d, pivots).withColumn("angle", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("square") / 2))))
+        near = cut(near.withColumn("epoch", epoch))
+        sizes = near.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+        near = near.join(sizes, by).withColumn(name, F.concat_ws("-", *by, F.pmod(F.xxhash64("id"), F.col("n"))))
+        return near, cut(near.groupBy(name, "code").agg(F.max("angle").alias("wide"), F.min("t").alias("first"), F.max("t").alias("last")))
+
+    q, qb = blocks(q, "qb", ["code"])
+    t, kb = blocks(t, "kb", ["code", "epoch"])
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    spark = t.sparkSession
+    turned = spark.createDataFrame([(i, j, float(between[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "code int, k_code int, between double")  # at most MOST_CELLS squared
+    kb = kb.select("kb", F.col("code").alias("k_code"), F.col("wide").alias("k_wide"), F.col("first").alias("k_first"))
+    pairs = qb.join(turned, "code").join(kb, ["k_code"]).where(F.col("k_first") < F.col("last"))
+    most = F.cos(F.greatest(F.lit(0.0), F.col("between") - F.col("wide") - F.col("k_wide")))
+    pairs = cut(pairs.select("qb", "kb", (F.col("code") == F.col("k_code")).alias("own"), most.alias("most")))
+    first = cut(_best(_scored(q, t, pairs.where("own").select("qb", "kb"), k), k))
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    least = q.select("id", "qb").join(kth, "id", "left").groupBy("qb").agg(F.min(F.coalesce("kth", F.lit(-2.0))).alias("least"))
+    open_ = cut(pairs.where("not own").join(least, "qb").where(F.col("most") >= F.col("least") - 1e-8).select("qb", "kb"))
+    if report is not None:
+        report |= {"pairs": pairs.count(), "scored": pairs.where("own").count() + open_.count()}
+    return _best(first.drop("rank").unionByName(_scored(q, t, open_, k)), k)
+
+
 def enriched(predictions: DataFrame, kind: str = "sid") -> DataFrame:
     """Each row with its parsed predictions and whether the first 1, 5 and 10 of them hold the target.
 
