@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import profile, sid
-from waymark.models import Trie, generated
+from waymark.models import Trie, conversation, generated, rendered, template_arguments
 from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences
 from waymark.plans import runs
 from waymark.sources import documents, files
@@ -226,6 +226,53 @@ def test_retrieval_by_blocks_is_that_of_all_pairs(spark, shape):
     assert ranking.causal_topk(d.limit(0), d, 3).count() == 0 and ranking.causal_topk(d, d.limit(0), 3).count() == 0
 
 
+def templates():
+    class Template:
+        def __init__(self, known=(), broken=False):
+            self.known, self.broken = known, broken
+
+        def apply_chat_template(self, messages, **arguments):
+            if self.broken:
+                raise RuntimeError("no template")
+            for a in arguments:
+                if a not in self.known:
+                    raise TypeError(f"got an unexpected keyword argument '{a}'")
+            return f"{len(messages)} {sorted(arguments)} {messages[-1]['content']}"
+
+    return Template
+
+
+def test_conversations_by_template(spark):
+    Template = templates()  # a class of its own goes to the workers by value
+    d = spark.createDataFrame([(1, [("system", "be"), ("user", "hi")]), (2, [])], "id int, m array<struct<role:string,content:string>>")
+    told = {"enable_thinking": False}
+    said = lambda *a: {r.id: r.prompt for r in rendered(d.where("id = 1 or true").where(F.size("m") > (0 if a and a[0] else -1)), "m", *a).collect()}
+    assert said() == {1: "[SYSTEM]\nbe\n\n[USER]\nhi\n\n[ASSISTANT]\n", 2: "[ASSISTANT]\n"}
+    assert said(Template(("enable_thinking",)), told)[1] == "2 ['enable_thinking'] hi" and said(Template(), told)[1] == "2 [] hi"
+    assert said(Template(broken=True), told)[1] == "[SYSTEM]\nbe\n\n[USER]\nhi\n\n[ASSISTANT]\n"
+    assert template_arguments({"enable_thinking": 1}) == {"enable_thinking": True} and template_arguments({"chat_template_kwargs": {"enable_thinking": 0, "x": 1}, "enable_thinking": True}) == {"enable_thinking": 0, "x": 1}
+
+    class Strict(Template):
+        def apply_chat_template(self, messages):
+            raise TypeError("messages must be text")
+
+    with pytest.raises(TypeError, match="must be text"):
+        conversation([{"role": "user", "content": "x"}], Strict())
+
+
+def test_json_objects_with_any_keys(spark):
+    rows = [(' {"b": 1, "a": [2]}\n', '{"a":[2],"b":1}'), ("[1]", None), ("3", None), ('"x"', None), ("{", None), ("null", None), (None, None), ("{}", "{}")]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [r.x for r in d.select("i", F.to_json(profile.parsed(F.col("t"))).alias("x")).orderBy("i").collect()] == [x for _, x in rows]
+
+
+def test_neighbours_in_the_bank(spark):
+    bank = spark.createDataFrame([("a", "id", "k", "t"), ("a", "sid", "ks", "ts"), ("b", "id", "kb", "tb"), ("b", "id", "kb", "ta")], "sample_id string, repr string, key_text string, target string")
+    similar = spark.createDataFrame([("q", "a", 1), ("q", "none", 2), ("q", "b", 3), ("q", "a", 4)], "query_id string, key_id string, rank int")
+    got = sorted(map(tuple, runs.neighbour_rows(similar, bank, "id", 3).collect()))
+    assert got == [("q", 1, "k", "t"), ("q", 3, "kb", "tb")] and {r.sample_id for r in runs.bank_map(bank, "id").collect()} == {"a", "b"}
+
+
 def test_small_documents_on_a_file_system_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/er/manifest.json"
     assert not documents.exists(uri)

@@ -19,6 +19,12 @@ def to_json(level: str, category: Column, region: Column | None = None, geo: Col
     return body if level == "ab" else F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"geo_bucket":'), quoted(geo))
 
 
+def parsed(text: Column) -> Column:
+    """The JSON object of a text as a variant, with whatever keys it has; null where the text, trimmed, is no JSON or no object."""
+    v = F.try_parse_json(F.trim(text, F.lit(" \t\n\r\f\x0b")))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
 def valid(text: Column, level: str) -> Column:
     """Exactly the level's keys in order, non-empty category and region, a geo bucket of the right form."""
     keys = F.json_object_keys(text)

@@ -84,6 +84,48 @@ def generated(df: DataFrame, prompt: str, candidates: str | list[str], k: int =
     return df.mapInPandas(run, schema)
 
 
+class ChatTemplate(Protocol):
+    """A tokenizer's own way of writing a conversation down, up to where the answer begins; it may take arguments of its own."""
+
+    def apply_chat_template(self, messages: list[dict], **arguments) -> str: ...
+
+
+def template_arguments(model: dict) -> dict:
+    """The template's arguments of a model's configuration; `enable_thinking` may stand beside them."""
+    told = dict(model.get("chat_template_kwargs") or {})
+    if "enable_thinking" in model:
+        told.setdefault("enable_thinking", bool(model["enable_thinking"]))
+    return told
+
+
+def conversation(messages: list[dict], template: ChatTemplate | None = None, arguments: dict | None = None) -> str:
+    """A conversation by its template. Arguments that it doesn't know are left out; a template that fails otherwise, or none, gives the plain form."""
+    if template is not None:
+        for told in (arguments or {}, {}):
+            try:
+                return template.apply_chat_template(messages, **told)
+            except TypeError as e:
+                if not told or "unexpected keyword argument" not in str(e):
+                    raise
+            except Exception:
+                break
+    return "\n\n".join([*(f"[{m['role'].upper()}]\n{m['content']}" for m in messages), "[ASSISTANT]\n"])
+
+
+def rendered(df: DataFrame, messages: str, template: ChatTemplate | None = None, arguments: dict | None = None, out: str = "prompt") -> DataFrame:
+    """Adds the written conversation of an array of (role, content), in Arrow batches; without a template it is a column expression."""
+    if template is None:
+        return df.withColumn(out, F.concat(F.array_join(F.transform(messages, lambda m: F.concat(F.lit("["), F.upper(m["role"]), F.lit("]\n"), m["content"])), "\n\n"), F.when(F.size(messages) > 0, "\n\n").otherwise(""), F.lit("[ASSISTANT]\n")))
+    schema = df.withColumn(out, F.lit("")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            plain = [[m if isinstance(m, dict) else m.asDict() for m in one] for one in b[messages]]
+            yield b.assign(**{out: [conversation(m, template, arguments) for m in plain]})
+
+    return df.mapInPandas(run, schema)
+
+
 def constrained(scores: DataFrame, k: int) -> DataFrame:
     """Candidate-constrained decoding for models that score: the k best candidates of each sample, ties by candidate."""
     r = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.col("score").desc(), "candidate"))

@@ -281,7 +281,7 @@ def trained_codes(spark, sf_dir):
     from ..operators import quantise
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    books = quantise.train(e, levels=3, k=16, rounds=5, first_rounds=5)
+    books = quantise.train(e, levels=3, k=16)
     return semantic.with_suffix(quantise.assign(e, books).select(F.col("id").alias("pid"), "indices")).select("pid", "sid_token")
 
 

@@ -80,6 +80,18 @@ def bank_rows(bank: DataFrame, split: str | None = None, kind: str | None = None
     return d if kind is None else d.where(F.col("repr") == kind)
 
 
+def bank_map(bank: DataFrame, kind: str) -> DataFrame:
+    """(sample_id, row): the bank's rows of a representation by their id; of rows that share one the greatest."""
+    d = bank_rows(bank, kind=kind)
+    return d.groupBy("sample_id").agg(F.max(F.struct(*[F.col(f"`{c}`") for c in d.columns])).alias("row"))
+
+
+def neighbour_rows(similar: DataFrame, bank: DataFrame, kind: str, k: int) -> DataFrame:
+    """(query_id, rank, key_text, target) of the first k neighbours, by rank; those that the bank lacks are missing, and none takes their place."""
+    rows = bank_map(bank, kind).select(F.col("sample_id").alias("key_id"), F.col("row.key_text").alias("key_text"), F.col("row.target").alias("target"))
+    return similar.where(F.col("rank") <= k).join(rows, "key_id").select("query_id", "rank", "key_text", "target")
+
+
 def candidate_space(bank: DataFrame, kind: str) -> DataFrame:
     """(target) in order: what the rows of a representation aim at, in all splits."""
     return bank_rows(bank, kind=kind).select("target").where("target is not null").distinct().orderBy("target")

@@ -48,9 +48,10 @@ def causal_similarity(spark, sf_dir):
 @query(f"WITH {_TOPK} SELECT query_id, 'Retrieved similar cases:' || chr(10) || string_agg('Case ' || rank || ':' || chr(10) || 'Trajectory: vector ' || key_id || chr(10) || 'Next POI: <' || (key_id % 100) || '>', chr(10) || chr(10) ORDER BY rank) AS block FROM tk JOIN u ON u.id = key_id WHERE rank <= 3 AND label <> 3 GROUP BY query_id")
 def retrieved_cases(spark, sf_dir):
     """The first three neighbours, with their ranks; those that the bank lacks (label 3) leave gaps."""
-    bank = table(spark, sf_dir, "embeddings").where("label <> 3").select(F.col("vec_id").alias("key_id"))
-    s = similar(spark, sf_dir).where("rank <= 3").join(bank, "key_id")
-    case = prompts.case(F.col("rank"), F.concat(F.lit("vector "), F.col("key_id").cast("string")), F.concat(F.lit("<"), (F.col("key_id") % 100).cast("string"), F.lit(">")))
+    key = F.col("vec_id")
+    bank = table(spark, sf_dir, "embeddings").where("label <> 3").select(key.alias("sample_id"), F.lit("id").alias("repr"), F.concat(F.lit("vector "), key.cast("string")).alias("key_text"), sid.place_token(key % 100).alias("target"))
+    s = runs.neighbour_rows(similar(spark, sf_dir), bank, "id", 3)
+    case = prompts.case(F.col("rank"), F.col("key_text"), F.col("target"))
     g = s.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", case.alias("c")))), lambda x: x["c"]).alias("cs"))
     return g.select("query_id", prompts.cases(F.col("cs")).alias("block"))
 
