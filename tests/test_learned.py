@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from waymark.functions import profile, sid
 from waymark.models import Trie, conversation, generated, rendered, template_arguments
-from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences
+from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences, traces
 from waymark.plans import runs
 from waymark.sources import documents, files
+from waymark.streaming import steps
 
 SEQUENCES = [[0, 1], [0, 1, 2], [0, 3], [1, 1, 1], [1, 1, 2], [2], [2, 0, 0, 1], [3, 2]]
 
@@ -273,6 +274,25 @@ def test_neighbours_in_the_bank(spark):
     assert got == [("q", 1, "k", "t"), ("q", 3, "kb", "tb")] and {r.sample_id for r in runs.bank_map(bank, "id").collect()} == {"a", "b"}
 
 
+@pytest.mark.parametrize("cuts", [(0, 1, 8, 9, 30, 31, 95), (0, 95), (0, 40, 41, 42, 43, 95)])
+def test_streamed_steps_are_those_of_a_batch(spark, tmp_path, cuts):
+    rng = np.random.default_rng(6)
+    rows = [("r" if i % 4 else "q", i // 2, i % 2, i, float(rng.random()) if i % 9 else None) for i in range(95)]
+    schema = "run string, time_ns bigint, pid bigint, local_record_index bigint, total_reward double"
+    for a, b in itertools.pairwise(cuts):  # a start for each cut: what came before is in the checkpoint
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        steps.start(steps.step_stream(stream, 8), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = steps.latest(spark.read.parquet(str(tmp_path / "out")))
+    for run in "rq":
+        own = spark.createDataFrame([r for r in rows if r[0] == run], schema)
+        want = sorted(map(tuple, traces.steps(traces.ordered(own), 8).collect()))
+        have = sorted(map(tuple, got.where(F.col("run") == run).drop("run").collect()))
+        assert len(have) == len(want) and all(h == pytest.approx(w, abs=1e-9) for h, w in zip(have, want, strict=True))
+    with pytest.raises(ValueError, match="one row or more"):
+        steps.step_stream(got, 0)
+
+
 def test_small_documents_on_a_file_system_by_uri(spark, tmp_path):
     uri = f"file://{tmp_path}/deep/er/manifest.json"
     assert not documents.exists(uri)

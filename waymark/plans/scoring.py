@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prompts, reward, sid, vector
 from ..operators import ranking, semantic, traces
+from ..session import cut, shared_dir
 from ..sources import files
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
+from ..streaming import steps
 from . import runs
 
 from .meaning import _ROWS, _PROTO, rows
@@ -190,6 +194,19 @@ def trace_steps(spark, sf_dir):
     return s.select("step", "n", F.col("rows_so_far").cast("bigint").alias("rows_so_far"), *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("total_")])
 
 
+@query(f"WITH {_TRACE}, o AS (SELECT doc_id % 3 AS run, total, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY time_ns, pid, doc_id) AS place FROM tr), st AS (SELECT run, ((place - 1) // 8 + 1)::BIGINT AS step, count(*) AS n, sum(total) AS s FROM o GROUP BY 1, 2) SELECT run::VARCHAR AS run, step, n::BIGINT AS n, (sum(n) OVER w)::BIGINT AS rows_so_far, round(s, 6) AS total_reward_sum, round(s / n, 6) AS total_reward_mean, round(sum(s) OVER w, 6) AS total_reward_cum, round(sum(s) OVER w / sum(n) OVER w, 6) AS total_reward_cum_mean FROM st WINDOW w AS (PARTITION BY run ORDER BY step)")
+def streamed_steps(spark, sf_dir):
+    """Traces of three runs that come in four instalments, each taken up by a stream that starts again from its checkpoint."""
+    t = cut(traced(spark, sf_dir).withColumn("run", (F.col("doc_id") % 3).cast("string")).select("run", "time_ns", "pid", "local_record_index", "total_reward"))
+    base = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}"
+    for k in range(4):
+        t.where(F.floor(F.col("time_ns") / 25_001) == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1 << 20).parquet(f"{base}/in")
+        steps.start(steps.step_stream(stream, 8), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    s = steps.latest(spark.read.parquet(f"{base}/out"))
+    return s.select("run", "step", "n", "rows_so_far", *[F.round(c, 6).alias(c) for c in s.columns if c.startswith("total_")])
+
+
 @query(f"WITH {_TRACE}, m AS (SELECT count(*) AS total_, greatest(ceil(count(*) / 20.0::DOUBLE), 1) AS b FROM tr) SELECT max(position)::BIGINT AS position, round(avg(total), 6) AS total_reward FROM tr, m GROUP BY floor((position - 1) / b)")
 def trace_downsample(spark, sf_dir):
     t = traced(spark, sf_dir).withColumn("i", F.col("position") - 1)
