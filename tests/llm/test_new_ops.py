@@ -192,7 +192,7 @@ def test_painting():
         assert (again == owner).all()
 
 
-@pytest.mark.parametrize("name", ["op12_fim", "op13_point_in_time"])
+@pytest.mark.parametrize("name", ["op11_winnow", "op12_fim", "op13_point_in_time"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_point_in_time": pointintime.op13_point_in_time,
 }
 
-ORACLES = {"op2_mixing": mixing.ORACLE, "op12_fim": fim.ORACLE, "op13_point_in_time": pointintime.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op11_winnow": winnow.ORACLE, "op12_fim": fim.ORACLE, "op13_point_in_time": pointintime.ORACLE}

@@ -19,6 +19,8 @@ two fingerprints without entries is 1, of which only one has none 0; extra colum
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,3 +128,38 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = edited_fingerprints(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_chars", "edited_sha256", shown("entries").alias("fingerprint"), shown("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def _oracle(gram: int = GRAM, window: int = WINDOW) -> str:
+    """The query in SQL without a checksum function: a CRC is linear, so it is the exclusive or of what each bit at each place adds to that of zeros."""
+    zeros = zlib.crc32(bytes(4 * gram))
+
+    def share(place: int, bit: int) -> int:
+        return zlib.crc32(bytes(4 * place) + (1 << bit).to_bytes(4, "big") + bytes(4 * (gram - place - 1))) ^ zeros
+
+    def xors(terms: list[str]) -> str:
+        return functools.reduce(lambda x, y: f"xor({x}, {y})", terms)
+
+    shares = ", ".join(xors([f"(c >> {bit} & 1) * {share(j, bit)}" for bit in range(21)]) + f" AS t{j}" for j in range(gram))
+    h = xors([f"{zeros}::BIGINT", "coalesce(t0, 0)", *[f"coalesce(lead(t{j}, {j}) OVER w, 0)" for j in range(1, gram)]])
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, count(*) AS times, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS k FROM documents GROUP BY 1, 2),
+e AS (SELECT d.*, length(text)::BIGINT AS n, coalesce(lead(text) OVER (ORDER BY k), (SELECT text FROM d WHERE k = 1)) AS after, coalesce(lead(k) OVER (ORDER BY k), 1) AS nk FROM d),
+v AS (SELECT k, 0 AS v, text AS t FROM e UNION ALL SELECT k, 1, left(text, (n - n // 3)::BIGINT) || left(after, n // 3) FROM e),
+l AS (SELECT k, v, list_resize(regexp_extract_all(t, '(?s).'), greatest(length(t), {gram})::BIGINT) AS chars FROM v WHERE t <> ''),
+p AS (SELECT k, v, unnest(chars) AS ch, generate_subscripts(chars, 1)::BIGINT AS i, len(chars) AS n FROM l),
+s AS (SELECT ch, {shares} FROM (SELECT ch, unicode(ch)::BIGINT AS c FROM (SELECT DISTINCT ch FROM p WHERE ch IS NOT NULL))),
+g AS (SELECT k, v, i, n - {gram - 1} AS runs, {h} AS h FROM p LEFT JOIN s USING (ch) WINDOW w AS (PARTITION BY k, v ORDER BY i)),
+m AS (SELECT k, v, i, runs, min(h * 1073741824 + (1073741823 - i)) OVER (PARTITION BY k, v ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS m FROM g WHERE i <= runs),
+f AS (SELECT DISTINCT k, v, m >> 30 AS h, 1073741823 - (m & 1073741823) - 1 AS place FROM m WHERE i <= greatest(1, runs - {window - 1})),
+a AS (SELECT k, v, string_agg(printf('%X', (place * 4294967296) + h), ',' ORDER BY place) AS shown, list_distinct(list(h)) AS hs FROM f GROUP BY k, v),
+b AS (SELECT e.k, e.doc_id, e.times, e.n, left(text, (n - n // 3)::BIGINT) || left(after, n // 3) AS edited, coalesce(x.shown, '') AS one, coalesce(y.shown, '') AS two, coalesce(x.hs, []) AS hx, coalesce(y.hs, []) AS hy, coalesce(z.hs, []) AS hz
+    FROM e LEFT JOIN a x ON x.k = e.k AND x.v = 0 LEFT JOIN a y ON y.k = e.k AND y.v = 1 LEFT JOIN a z ON z.k = e.nk AND z.v = 0)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, one AS fingerprint, two AS edited_fingerprint,
+    CASE WHEN len(hx) + len(hy) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(hx, hy))::DOUBLE / len(list_distinct(list_concat(hx, hy))) END AS near_edited,
+    CASE WHEN len(hx) + len(hz) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(hx, hz))::DOUBLE / len(list_distinct(list_concat(hx, hz))) END AS near_next
+FROM b, unnest(range(times)) AS r(x)
+"""
+
+
+ORACLE = _oracle()
