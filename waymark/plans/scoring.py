@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, reward, sid, vector
 from ..operators import ranking, semantic, traces
 from ..session import cut, shared_dir
-from ..sources import files
+from ..sources import documents, files
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
 from ..streaming import steps
 from . import runs
@@ -117,6 +117,21 @@ def markdown_summary(spark, sf_dir):
     return files.summary_lines(ranking.accuracy(d).withColumns({"run": F.lit("demo"), "repr": F.lit("sid")}))
 
 
+@query(f"WITH {_PRED}, {_PARSE}, m AS (SELECT doc_id % 3 AS run, avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0 END) AS a1, avg(CASE WHEN rank BETWEEN 1 AND 5 THEN 1.0::DOUBLE ELSE 0 END) AS a5, avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1.0::DOUBLE ELSE 0 END) AS a10, avg((all_ = 10)::INTEGER) AS x, count(*) AS n FROM rr JOIN (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 0 WHEN doc_id % 11 = 0 THEN len(base) + len(list_filter(extra, lambda x: NOT list_contains(base, x))) ELSE len(base) END AS all_ FROM pq0) USING (doc_id) GROUP BY 1) SELECT k::BIGINT AS k, line FROM (VALUES " + ", ".join(f"({k}, '{line}')" for k, line in enumerate(files.SUMMARY_HEAD)) + ") AS h(k, line) UNION ALL SELECT 4 + run, printf('| run%d | sid | current | %d | %.4f | %.4f | %.4f | %.1f | %.4f |', run, n, a1, a5, a10, (run + 1)::DOUBLE, x) FROM m")
+def evaluation_summary(spark, sf_dir):
+    """Three runs' predictions, written with their metadata, evaluated from there, and summed up from what the evaluations have written."""
+    base = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    d = answers(spark, sf_dir).select((F.col("doc_id") % 3).alias("run"), F.col("answer").alias("prediction"), F.array().cast("array<string>").alias("parsed_predictions"), F.col("truth").alias("target"))
+    for k in range(3):
+        path = f"{base}/predictions/run{k}.jsonl"
+        files.write_jsonl(d.where(F.col("run") == k).drop("run").withColumn("prompt", F.lit("p" * (k + 1))), path)
+        files.write_json(runs.metadata_path(path), {"repr": "sid", "history_source": "current"})
+        runs.run_evaluation(spark, path, f"{base}/eval/run{k}.json")
+    files.summarise(spark, f"{base}/eval", f"{base}/summary.md")
+    lines = documents.read(f"{base}/summary.md", spark).rstrip("\n").split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "k bigint, line string")
+
+
 @query(f"WITH {_PRED}, {_PARSE} SELECT doc_id, array_to_string(CASE WHEN doc_id % 11 = 0 AND doc_id % 13 <> 0 THEN list_concat(base, list_filter(extra, lambda x: NOT list_contains(base, x))) ELSE ps END, ' ') AS parsed, rank = 1 AS top1_correct, rank BETWEEN 1 AND 5 AS top5_correct, rank BETWEEN 1 AND 10 AS top10_correct FROM rw JOIN (SELECT doc_id, base, extra FROM pq0) USING (doc_id)")
 def evaluated_rows(spark, sf_dir):
     """The rows of an evaluation, with what was parsed from them."""
