@@ -14,6 +14,7 @@ from waymark.functions import profile, sid
 from waymark.models import Trie, conversation, generated, rendered, template_arguments
 from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences, traces
 from waymark.plans import runs
+from waymark.session import read_config, write_config
 from waymark.sources import documents, files
 from waymark.streaming import steps
 
@@ -300,6 +301,9 @@ def test_small_documents_on_a_file_system_by_uri(spark, tmp_path):
     files.write_json(uri, {"é": [2, "😀"]})
     assert files.read_json(uri) == {"é": [2, "😀"]} and (tmp_path / "deep/er/manifest.json").read_text().startswith('{\n  "é"')
     assert [p.name for p in (tmp_path / "deep/er").iterdir() if not p.name.endswith(".crc")] == ["manifest.json"]
+    for at in (f"file://{tmp_path}/a/c.yaml", str(tmp_path / "b/c.yaml")):
+        write_config(at, {"b": 1, "a": {"é": [1]}})
+        assert read_config(at) == {"b": 1, "a": {"é": [1]}} and list(read_config(at)) == ["b", "a"]
     with pytest.raises(Exception, match="does not exist|FileNotFound"):
         files.read_json(f"file://{tmp_path}/none.json")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sid, vector
 from ..operators import balanced, decoding, seeding, semantic
 from ..session import shared_dir
+from ..sources import files
 from ..sources.adapters import CHECKINS_SQL, SIDS_SQL, checkins, sids, table
 from . import runs
 
@@ -123,3 +124,15 @@ def inference_run(spark, sf_dir):
     told = runs.run_inference(last, "sid", path, scorer, places.select(F.col("sid_token").alias("target")), sid.segments, context="context", width=256)
     got = spark.read.schema("sample_id string, target string, prediction string, parsed_predictions array<string>, split string").json(path)
     return got.select("sample_id", "target", "prediction", F.size("parsed_predictions").alias("parsed"), "split", F.lit(told["num_samples"]).cast("bigint").alias("num_samples"), F.lit(told["candidate_space_size"]).cast("bigint").alias("space"))
+
+
+@query(f"WITH {CHECKINS_SQL}, {SIDS_SQL}, n AS (SELECT count(*)::BIGINT AS num_pois, (count(*) - count(DISTINCT abc))::DOUBLE / greatest(count(*), 1) AS rate FROM s) SELECT form, pid, sid_token, num_pois, round(rate, 9) AS collision_rate FROM s, n, (VALUES ('json lines'), ('csv')) AS f(form)")
+def exported_sids(spark, sf_dir):
+    """Codes exported as JSON lines and CSV with suffixes where places share one, read back as SID maps, and the export's figures."""
+    base = f"{shared_dir(spark)}/sids-{uuid.uuid4().hex}"
+    codes = sids(spark, sf_dir).withColumn("reconstruction", F.array(F.col("pid").cast("double")))
+    _, stats = runs.export_sids(codes, base)
+    lines = files.sid_map(spark.read.json(f"{base}/pid_to_sid")).withColumn("form", F.lit("json lines"))
+    commas = files.sid_map(spark.read.option("header", "true").option("escape", '"').csv(f"{base}/pid_to_sid_csv").drop("sid_token")).withColumn("form", F.lit("csv"))
+    got = lines.unionByName(commas)
+    return got.select("form", "pid", "sid_token", F.lit(stats["num_pois"]).cast("bigint").alias("num_pois"), F.round(F.lit(stats["collision_rate_before_suffix"]), 9).alias("collision_rate"))

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources import documents
+
 
 def session(app: str = "waymark", **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution; sizes such as shuffle partitions come from the cluster."""
@@ -53,20 +55,28 @@ def merged(base: dict, other: dict) -> dict:
 
 
 def read_config(path: str) -> dict:
-    """A configuration of the driver, YAML or JSON; what is no mapping is an error, an empty file an empty one."""
+    """A configuration, YAML or JSON; what is no mapping is an error, an empty file an empty one.
+
+    A URI is read through the active session's file systems, a plain path on the driver, where no session may run yet.
+    """
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        found = yaml.safe_load(f) or {}
+    if "://" in path:
+        found = yaml.safe_load(documents.read(path)) or {}
+    else:
+        with open(path, encoding="utf-8") as f:
+            found = yaml.safe_load(f) or {}
     if not isinstance(found, dict):
         raise ValueError(f"{path} holds no mapping but a {type(found).__name__}")
     return found
 
 
 def write_config(path: str, payload: dict) -> None:
-    """Writes a configuration as YAML, keys in their order."""
+    """Writes a configuration as YAML, keys in their order, to a URI or a plain path of the driver."""
     import yaml
 
+    if "://" in path:
+        return documents.write(path, yaml.safe_dump(dict(payload), allow_unicode=True, sort_keys=False))
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         yaml.safe_dump(dict(payload), f, allow_unicode=True, sort_keys=False)
