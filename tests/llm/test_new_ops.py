@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import fim, pointintime, registry, winnow
+from waymark.llm import bpe, fim, mixing, ogg, pii, pointintime, registry, secrets, winnow
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id bigint, text string, source string, n_chars bigint, lang string"
@@ -156,6 +156,17 @@ def test_fill_in_middle_digests(docs):
     assert sorted(map(tuple, fim.digests(docs).collect()), key=str) == want and fim.digests(docs.limit(0)).count() == 0
 
 
+def test_columns_whose_names_need_quotes(spark):
+    d = spark.createDataFrame([(1, "a text", "x"), (2, None, "y")], "doc_id bigint, text string, other string").withColumnRenamed("other", "a.b c")
+    for op in (lambda d: ogg.probe(ogg.store(d)), bpe.digests, bpe.encode, secrets.scan, fim.fill_in_middle, lambda d: pii.surrogates(d, secret="k"), mixing_of):
+        got = op(d)
+        assert "a.b c" in got.columns and {r["a.b c"] for r in got.collect()} == {"x", "y"}
+
+
+def mixing_of(d):
+    return mixing.copies(d.withColumn("source", F.lit("s")))
+
+
 def winner(versions, source, t):
     best = [(v[2], v[3], v[1]) for v in versions if v[0] is not None and v[0] == source and None not in v[1:5] and t is not None and v[2] <= t and v[3] <= t < v[4]]
     return max(best, default=None)

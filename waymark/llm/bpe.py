@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, small_batches, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces that a task keeps; beyond it the table begins anew, with equal results.
@@ -127,11 +127,11 @@ def _mapped(df: DataFrame, column: str, added: dict[str, str], run, drop: bool)
     schema = narrow.select(*[F.col(f"`{c}`") for c in rest], *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
     at, places = keep.index(column), [keep.index(c) for c in rest]
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], *run(b.column(at))], [*rest, *added])
 
-    return narrow.mapInArrow(mapped, schema)
+    return mapped(narrow, replaced, schema)
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", offsets: str = "offsets", vocabulary: tuple[str, str] | None = None) -> DataFrame:

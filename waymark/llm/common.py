@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -49,6 +52,15 @@ def unpacked(df: DataFrame, names: list[str], **added: Column) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in names if c not in added], *[c.alias(name) for name, c in added.items()])
 
 
+def mapped(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """mapInArrow, which finds columns by names without quotes, also for names that need them; run takes columns by place."""
+    if all(re.fullmatch(r"\w+", c) for c in df.columns):
+        return df.mapInArrow(run, schema)
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema)])
+    renamed = lambda batches: (b.rename_columns(plain.names) for b in run(batches))
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: it cuts the lineage and outlives any executor.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, small_batches, table
 
 RATE = 8000
 #: Samples of a packet; above one page's 255 * 255 bytes a packet goes on in the next page.
@@ -201,7 +201,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "n_bytes") -> DataFrame:
     """Adds the Ogg bytes of each text's padded UTF-8, and its unpadded length. Columns of these names are replaced."""
     keep = [c for c in df.columns if c not in (media, size)]
-    narrow = df.select(*keep)
+    narrow = df.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text)
     schema = narrow.drop(text).withColumn(size, F.lit(0).cast("long")).withColumn(media, F.lit(b"")).schema
 
@@ -211,7 +211,7 @@ def store(df: DataFrame, text: str = "text", media: str = "media", size: str = "
             rest = [b.column(i) for i in range(len(keep)) if i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([n for n, _ in both], pa.int64()), pa.array([write(p) for _, p in both], pa.binary())], [c for c in keep if c != text] + [size, media])
 
-    return narrow.mapInArrow(run, schema)
+    return mapped(narrow, run, schema)
 
 
 def probe(df: DataFrame, media: str = "media") -> DataFrame:
@@ -232,7 +232,7 @@ def probe(df: DataFrame, media: str = "media") -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(b.num_columns) if i != at] + [pa.array(v, k) for v, k in zip(new, kinds, strict=True)], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, packed, small_batches, table, unpacked
+from .common import fresh, mapped, materialise, packed, small_batches, table, unpacked
 
 #: The setting that names the key; its name is one that Spark redacts.
 SETTING = "spark.waymark.surrogate.secret"
@@ -521,7 +521,7 @@ def surrogates(docs: DataFrame, text: str = "text", secret: str | None = None, r
                 columns += [*(pa.array(v, pa.int64()) for v in new[:-1]), pa.array(new[-1], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return d.mapInArrow(run, schema)
+    return mapped(d, run, schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

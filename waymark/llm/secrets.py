@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, small_batches, table
 
 # The base patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -148,7 +148,7 @@ def scan(df: DataFrame, text: str = "text", ratios: np.ndarray | None = None, th
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names)) if i != at] + [pa.array(v, k) for v, k in zip(new, kinds, strict=True)], schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return mapped(narrow, run, schema)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
