@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, fim, mixing, ogg, pii, pointintime, registry, secrets, winnow
+from waymark.llm import bpe, fim, mixing, ogg, pii, pointintime, quality, registry, secrets, toxicity, winnow
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id bigint, text string, source string, n_chars bigint, lang string"
@@ -158,7 +158,9 @@ def test_fill_in_middle_digests(docs):
 
 def test_columns_whose_names_need_quotes(spark):
     d = spark.createDataFrame([(1, "a text", "x"), (2, None, "y")], "doc_id bigint, text string, other string").withColumnRenamed("other", "a.b c")
-    for op in (lambda d: ogg.probe(ogg.store(d)), bpe.digests, bpe.encode, secrets.scan, fim.fill_in_middle, lambda d: pii.surrogates(d, secret="k"), mixing_of):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    judged = lambda m: lambda d: m.score(d, m.learn(d, labels)).withColumn("text", F.lit(""))
+    for op in (judged(quality), judged(toxicity), lambda d: ogg.probe(ogg.store(d)), bpe.digests, bpe.encode, secrets.scan, fim.fill_in_middle, lambda d: pii.surrogates(d, secret="k"), mixing_of):
         got = op(d)
         assert "a.b c" in got.columns and {r["a.b c"] for r in got.collect()} == {"x", "y"}
 

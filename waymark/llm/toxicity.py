@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, small_batches, table
+from .common import fold, mapped, materialise, small_batches, table
 from .labelled import learnable, sample_ids, texts_of
 
 #: Confirmed positives and unlabelled rows that the steps draw from, at most.
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             s = [model.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names)) if i != at] + [pa.array(s, pa.float64())], schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return mapped(narrow, run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
