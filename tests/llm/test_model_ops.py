@@ -80,6 +80,44 @@ def test_pair_loss_against_a_plain_version():
     assert np.isclose(loss, plain(w)) and np.allclose(gradient, slope(plain, w), atol=1e-5)
 
 
+def test_block_sums_against_pairs():
+    rng = np.random.default_rng(10)
+    good, bad, w = rng.standard_normal((7, 4)), rng.standard_normal((5, 4)), rng.standard_normal(4)
+    d = np.array([g - b for g in good for b in bad])
+    loss, gradient = quality.pair_loss(d, w)
+    got = quality.block_sums(good, bad, w)
+    curve = np.array([slope(lambda v, i=i: quality.pair_loss(d, v)[1][i], w) for i in range(4)])
+    assert got[0] == 35 and np.isclose(got[1] / 35, loss) and np.allclose(got[2:6] / 35, gradient) and np.allclose(got[6:].reshape(4, 4) / 35, curve, atol=1e-5)
+
+
+def test_quality_is_learned_from_all_labelled_documents(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.learn(d, labels)
+    rows = d.join(labels, "doc_id").where(fold() != 0).collect()
+    x = np.array([quality.figures(r.text) for r in rows])
+    s, share = model.strength(x), np.mean([r.quality == 0 for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.isclose(model.cut, np.quantile(s, share)) and np.isclose(model.spread, s.std() / 4)
+    good, bad = (model._norm(x[[r.quality == k for r in rows]]) for k in (1, 0))
+    loss, gradient = quality.pair_loss((good[:, None] - bad[None]).reshape(-1, x.shape[1]), model.weights, 1e-4)
+    assert np.abs(gradient).max() < 1e-3  # the weights are those of all pairs
+    assert np.array_equal(model.weights, quality.learn(d.repartition(5), labels.repartition(3)).weights)
+
+
+@pytest.mark.parametrize("rare", [1, 3, 400])
+def test_blocks_take_every_labelled_document(spark, rare):
+    rows = spark.range(5000).selectExpr("id AS key", f"IF(id < {rare}, 0, 1) AS kind", "array(double(id)) AS x")
+    got = quality.dealt(rows, 5000, {0: rare, 1: 5000 - rare}).collect()
+    assert len(got) == 20 and sorted(v for r in got for v in r.good) == list(range(rare, 5000)) and {v for r in got for v in r.bad} == set(range(rare))
+    assert all(len(set(r.bad)) == len(r.bad) for r in got)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.123, 0.5, 1.0])
+def test_quantile_of_all_values(spark, share):
+    values = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 0.25D ELSE double(hash(id)) * double(hash(id)) END AS s")
+    assert quality.quantile(values, share) == pytest.approx(np.quantile([r.s for r in values.collect()], share))
+
+
 def test_gram_totals_against_a_plain_version(spark):
     texts = [(1, "Abc abc abcdef"), (1, None), (0, "abcdef ghi"), (0, "abcdef")]
     d = spark.createDataFrame(texts, "kind int, text string")
