@@ -368,3 +368,14 @@ def test_pu_weights_hardly_depend_on_the_draw():
     told = [unl @ w + b >= 0 for w, b in (toxicity.nnpu(pos, unl, 0.2, steps=600, seed=s) for s in (1, 2, 3))]
     assert all((t == toxic).mean() > 0.95 for t in told)
     assert max((a != b).mean() for a in told for b in told) < 0.01
+
+
+def test_pipeline_cuts_at_the_quantile_of_all_labelled(spark, monkeypatch):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels, used = spark.read.parquet(f"{SMALL}/labels.parquet"), []
+    score = quality.score
+    monkeypatch.setattr(quality, "score", lambda docs, model, **named: used.append(model) or score(docs, model, **named))
+    corpus_pipeline.classify(spark, d, SMALL)
+    rows = d.join(labels, "doc_id").where(fold() != 0).collect()
+    s = used[0].strength(np.array([quality.figures(r.text) for r in rows]))
+    assert np.isclose(used[0].cut, np.quantile(s, np.mean([r.quality == 0 for r in rows])))
