@@ -4,6 +4,7 @@ import datetime
 import itertools
 import json
 import math
+import pathlib
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from waymark.functions import profile, sid
 from waymark.models import Trie, conversation, generated, rendered, template_arguments
 from waymark.operators import balanced, decoding, places, quantise, ranking, sampling, seeding, semantic, sequences, traces
 from waymark.plans import runs
-from waymark.session import read_config, write_config
+from waymark.plans.meaning import trained_codes
+from waymark.session import read_config, shared_dir, write_config
 from waymark.sources import documents, files
 from waymark.streaming import steps
 
@@ -171,6 +173,28 @@ def test_a_start_of_few_distinct_vectors(spark):
         seeding.start(d.limit(0), 3)
 
 
+def test_trained_codes_of_odd_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    sound = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 4)))]
+    odd = [(100, None), (101, []), (102, [1.0, None, 0.0, 0.0]), (103, [float("nan"), 0.0, 0.0, 0.0]), (104, [float("inf"), 0.0, 0.0, 0.0])]
+    coded = {}
+    for name, rows in (("all", sound + odd), ("odd", odd), ("none", [])):
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        coded[name] = {r.pid: r.sid_token for r in trained_codes(spark, f"{tmp_path}/{name}").collect()}
+    assert set(coded["all"]) == {i for i, _ in sound + odd} and {i for i, t in coded["all"].items() if t is None} == {i for i, _ in odd}
+    assert len({t for t in coded["all"].values() if t}) == 60
+    assert coded["odd"] == dict.fromkeys(range(100, 105)) and coded["none"] == {}
+
+
+def test_training_leaves_no_files(spark):
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((50, 3)))], "id bigint, vec array<double>")
+    at = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in at.glob("cut-*")}
+    quantise.train(d, levels=2, k=4, rounds=2, first_rounds=2)
+    assert {p.name for p in at.glob("cut-*")} == before
+
+
 def test_windows_of_a_user_with_many_events(spark):
     d = spark.range(200_000).select(F.lit(1).alias("uid"), (F.col("id") % 7).alias("pid"), F.col("id").cast("string").alias("t"), "id")
     d = d.unionAll(spark.range(30).select(F.lit(2), "id", F.col("id").cast("string"), "id")).unionAll(spark.range(51).select(F.lit(3), "id", F.col("id").cast("string"), "id"))

@@ -21,9 +21,13 @@ def unit(a: Column) -> Column:
 
 
 def unit_or_zero(a: Column) -> Column:
-    """The vector by its length; a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """The vector by its length, which is taken once and not for each component; a zero vector stays."""
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a))[0]
+
+
+def finite(a: Column) -> Column:
+    """Whether the vector has components and all are finite numbers; never null."""
+    return F.coalesce((F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
 def time_features(hours: Column, weights: Column, harmonics: int = 6) -> Column:

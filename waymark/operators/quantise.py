@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..functions.draws import draw
-from ..session import cut
+from ..session import cut, discard
 from . import seeding
 
 
@@ -78,12 +78,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec", key: str = "id", decay: float = 0.95, seed: int = 42, first_rounds: int = 10) -> list[np.ndarray]:
     """Codebooks by level: k-means rounds on the residuals, then moving averages; codes used less than a fifth of the mean are drawn anew.
 
-    Residuals are written out for each level, so a round reads them and not all levels before. A level's first codes come from
+    Vectors that are null or empty, or hold null or non-finite components, teach nothing. Residuals are written out for each level,
+    so a round reads them and not all levels before, and deleted once those of the next level are there. A level's first codes come from
     k-means|| over its unit vectors, moved by `first_rounds` of k-means; then each of `rounds` moves sums of unit vectors and counts
     by `decay`: one move a pass over all vectors, where a trainer by batches makes one a batch.
     """
     books: list[np.ndarray] = []
-    res = cut(df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")))
+    res = cut(df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")).where(vector.finite(F.col("vec"))))
 
     def some(name: str, n: int) -> np.ndarray:
         return np.array([r[0] for r in res.orderBy(draw(name, F.col("id")), "id").limit(n).select("vec").collect()], dtype=np.float64)
@@ -105,8 +106,10 @@ def train(df: DataFrame, levels: int, k: int, rounds: int = 10, vec: str = "vec"
             book = np.where((size > 1e-9)[:, None], _unit(mass), book)
         books.append(book)
         if level < levels - 1:
-            left = assign(res, [book]).select("id", F.zip_with("vec", "reconstruction", lambda a, b: a - b).alias("vec"))
-            res = cut(left)
+            left = cut(assign(res, [book]).select("id", F.zip_with("vec", "reconstruction", lambda a, b: a - b).alias("vec")))
+            discard(res)
+            res = left
+    discard(res)
     return books
 
 

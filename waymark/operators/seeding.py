@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from ..session import cut
+from ..session import cut, discard
 
 #: Rounds, and how many vectors a round draws in the mean, as a multiple of k.
 ROUNDS, OVERSAMPLE = 5, 2.0
@@ -65,7 +65,8 @@ def start(df: DataFrame, k: int, vec: str = "vec", key: str = "id", seed: int =
     """k centres, or as many as there are distinct vectors if those are fewer.
 
     Each round draws a vector with the chance oversample * k * square / all squares, by a hash of its key, so that reruns agree. What
-    the driver holds is the drawn vectors, some rounds * oversample * k of them; every pass reads all vectors.
+    the driver holds is the drawn vectors, some rounds * oversample * k of them; every pass reads all vectors. They are written once
+    and deleted at the end; squares are computed again where they are read again.
     """
     d = cut(df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("vec")).where(F.col(vec).isNotNull()))
     first = d.orderBy(draw(f"{seed}-first", F.col("id")), "id").limit(1).collect()
@@ -73,7 +74,7 @@ def start(df: DataFrame, k: int, vec: str = "vec", key: str = "id", seed: int =
         raise ValueError("no vectors to start from")
     drawn = [np.array(first[0]["vec"])]
     for r in range(rounds):
-        far = cut(nearest(d, np.array(drawn)).select("id", "vec", "square"))
+        far = nearest(d, np.array(drawn))
         total = far.agg(F.sum("square")).first()[0]
         if not total:
             break
@@ -88,4 +89,5 @@ def start(df: DataFrame, k: int, vec: str = "vec", key: str = "id", seed: int =
                 break
             points = np.vstack([points, x["vec"]])
     counts = {r["code"]: r["n"] for r in nearest(d, points).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a drawn vector
+    discard(d)
     return weighted_start(points, np.array([counts.get(i, 0) for i in range(len(points))], float) + 1e-9, k, seed)

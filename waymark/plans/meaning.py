@@ -277,12 +277,20 @@ def residual_codes(spark, sf_dir):
 
 
 def trained_codes(spark, sf_dir):
-    """Codebooks of three levels trained on the vectors; the SIDs with suffixes."""
+    """Codebooks of three levels trained on the vectors; the SIDs with suffixes.
+
+    Vectors that are null or empty, or hold null or non-finite components, have no SID; so have all if there are no others.
+    """
     from ..operators import quantise
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    books = quantise.train(e, levels=3, k=16)
-    return semantic.with_suffix(quantise.assign(e, books).select(F.col("id").alias("pid"), "indices")).select("pid", "sid_token")
+    sound = e.where(vector.finite(F.col("vec")))
+    without = e.where(~vector.finite(F.col("vec"))).select(F.col("id").alias("pid"), F.lit(None).cast("string").alias("sid_token"))
+    if not sound.limit(1).count():
+        return without
+    books = quantise.train(sound, levels=3, k=16)
+    coded = semantic.with_suffix(quantise.assign(sound, books).select(F.col("id").alias("pid"), "indices")).select("pid", "sid_token")
+    return coded.unionByName(without)
 
 
 QUERIES["trained_codes"] = trained_codes

@@ -97,13 +97,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back; the files go when the driver ends.
+    """Writes a frame to the shared folder and reads it back; the files go with discard(), or when the driver ends.
 
     What comes after has a short plan, and lost executors do not cost the work before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._waymark_cut = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what cut() wrote, once nothing reads it any more; df is the frame that cut() gave."""
+    where, fs = _place(df.sparkSession, df._waymark_cut)
+    fs.delete(where, True)
