@@ -186,6 +186,41 @@ def test_trained_codes_of_odd_vectors(spark, tmp_path):
     assert coded["odd"] == dict.fromkeys(range(100, 105)) and coded["none"] == {}
 
 
+def test_trained_codes_of_vectors_of_other_lengths(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    most = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 4)))]
+    others = [(100, [1.0]), (101, [1.0, 2.0, 3.0]), (102, [0.5] * 8), (103, None)]
+    coded = {}
+    for name, rows in (("most", most), ("all", most + others), ("tie", [(1, [1.0, 0.0]), (2, [1.0])])):
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        coded[name] = {r.pid: r.sid_token for r in trained_codes(spark, f"{tmp_path}/{name}").collect()}
+    assert coded["all"] == coded["most"] | dict.fromkeys(range(100, 104)) and all(coded["most"].values())
+    assert coded["tie"][1] is None and coded["tie"][2]
+
+
+def test_sums_by_code_take_one_plan_for_any_length(spark, monkeypatch):
+    calls, plain = [], F.sum
+    monkeypatch.setattr(F, "sum", lambda *a: calls.append(a) or plain(*a))
+    asked = set()
+    for d in (3, 16, 300):
+        rng, n = np.random.default_rng(d), len(calls)
+        x, book = rng.standard_normal((70, d)), rng.standard_normal((5, d))
+        frame = spark.createDataFrame([(v.tolist(),) for v in x], "vec array<double>").repartition(3)
+        for unit in (False, True):
+            total, used = quantise.code_sums(frame, book, unit=unit)
+            c = (x @ book.T).argmax(1)
+            want = x / np.linalg.norm(x, axis=1, keepdims=True) if unit else x
+            assert used.tolist() == np.bincount(c, minlength=5).tolist() and np.allclose(total, [want[c == i].sum(0) for i in range(5)])
+        asked.add(len(calls) - n)
+    assert len(asked) == 1
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    d = spark.createDataFrame([([1.0],), ([1.0, 2.0, 3.0],)], "vec array<double>").coalesce(1)
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        quantise.code_sums(d, np.ones((2, 2)))
+
+
 def test_training_leaves_no_files(spark):
     rng = np.random.default_rng(4)
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((50, 3)))], "id bigint, vec array<double>")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +33,14 @@ def finite(a: Column) -> Column:
     return F.coalesce((F.size(a) > 0) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
+def matrix(a: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow batch as rows of doubles; null ones, and vectors of different lengths, are an error."""
+    lengths = pc.unique(pc.list_value_length(a)).to_pylist()
+    if len(lengths) != 1 or lengths[0] is None:
+        raise ValueError(f"vectors of different lengths: {', '.join(map(str, lengths[:9]))}")
+    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(a), lengths[0])
+
+
 def time_features(hours: Column, weights: Column, harmonics: int = 6) -> Column:
     """Weighted means of sin and cos of 2 pi k hour / 24, k = 1..; nothing to weigh gives zeros."""
     total = F.aggregate(weights, F.lit(0.0), lambda s, w: s + w)

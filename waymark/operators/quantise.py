@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,9 @@ from ..functions.draws import draw
 from ..session import cut, discard
 from . import seeding
 
+#: Components of a vector that one row of sums holds, so that the plan is the same for any length.
+WIDTH = 16
+
 
 def assign_level(df: DataFrame, codebook: DataFrame, level: int) -> DataFrame:
     """Adds code_{level} and takes the projection off the residual: the largest cosine, ties to the lower code.
@@ -49,26 +53,28 @@ def assign(df: DataFrame, books: list[np.ndarray], vec: str = "vec") -> DataFram
 
 
 def code_sums(df: DataFrame, book: np.ndarray, vec: str = "vec", unit: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(sums of the vectors by their code, how many): a task adds up its own vectors, the driver gets a row a code."""
-    k, d = book.shape
+    """(sums of the vectors by their code, how many): a task adds up its own vectors, the driver gets a few rows a code, of WIDTH components each."""
+    (k, d), names = book.shape, [f"s{i}" for i in range(WIDTH)]
+    wide = -(-d // WIDTH)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, used = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, used = np.zeros((k, wide * WIDTH)), np.zeros(k, dtype=np.int64)
         for b in batches:
-            if len(b):
-                x = np.array(b[vec].tolist(), dtype=np.float64)
+            if b.num_rows:
+                x = vector.matrix(b.column(0))
                 c = (x @ book.T).round(9).argmax(1)
-                np.add.at(total, c, x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) if unit else x)
+                np.add.at(total[:, :d], c, x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) if unit else x)
                 used += np.bincount(c, minlength=k)
-        some = np.flatnonzero(used)
-        yield pd.DataFrame({"code": some.astype(np.int32), "n": used[some], "s": list(total[some])})
+        code, part = np.repeat(np.flatnonzero(used), wide), np.tile(np.arange(wide), np.count_nonzero(used))
+        sums = total.reshape(k, wide, WIDTH)[code, part]
+        yield pa.RecordBatch.from_pydict({"code": code.astype(np.int32), "part": part.astype(np.int32), "n": used[code]} | {s: sums[:, i] for i, s in enumerate(names)})
 
-    part = df.select(vec).mapInPandas(run, "code int, n bigint, s array<double>")
-    rows = part.groupBy("code").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(d)]).alias("s")).collect()  # k rows
-    total, used = np.zeros((k, d)), np.zeros(k)
+    each = df.select(vec).mapInArrow(run, f"code int, part int, n bigint, {', '.join(f'{s} double' for s in names)}")
+    rows = each.groupBy("code", "part").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).collect()  # k times a vector
+    total, used = np.zeros((k, wide, WIDTH)), np.zeros(k)
     for r in rows:
-        total[r["code"]], used[r["code"]] = r["s"], r["n"]
-    return total, used
+        total[r["code"], r["part"]], used[r["code"]] = [r[s] for s in names], r["n"]
+    return total.reshape(k, wide * WIDTH)[:, :d], used
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

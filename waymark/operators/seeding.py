@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vector
 from ..functions.draws import draw
 from ..session import cut, discard
 
@@ -31,13 +34,50 @@ def nearest(df: DataFrame, centres: np.ndarray, vec: str = "vec") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = squares(_matrix(b, vec), centres) if len(b) else np.zeros((0, 1))
-            c = d.round(9).argmin(1)
-            yield b.assign(code=c.astype(np.int32), square=d[np.arange(len(c)), c])
+            c, square = _near(_matrix(b, vec), centres) if len(b) else (np.zeros(0), np.zeros(0))
+            yield b.assign(code=c.astype(np.int32), square=square)
 
     return df.mapInPandas(run, schema)
 
 
+def _near(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    d = squares(x, centres)
+    c = d.round(9).argmin(1)
+    return c, d[np.arange(len(c)), c]
+
+
+def _all_squares(df: DataFrame, centres: np.ndarray) -> float:
+    """The sum of all vectors' squared distances to their nearest centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"square": [float(sum(_near(vector.matrix(b.column(0)), centres)[1].sum() for b in batches if b.num_rows))]})
+
+    return math.fsum(r[0] for r in df.select("vec").mapInArrow(run, "square double").collect())  # a number a task
+
+
+def _far(df: DataFrame, centres: np.ndarray, rate: float, seed: str) -> DataFrame:
+    """(id, vec) of the vectors that a round draws: the chance is their squared distance times rate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                square = _near(vector.matrix(b.column(1)), centres)[1]
+                yield b.filter(pa.array((b.column(2).to_numpy(zero_copy_only=False) < square * rate) & (square > 0))).select([0, 1])
+
+    return df.select("id", "vec", draw(seed, F.col("id")).alias("u")).mapInArrow(run, df.select("id", "vec").schema)
+
+
+def _counts(df: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """How many vectors each centre is the nearest to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum((np.bincount(_near(vector.matrix(b.column(0)), centres)[0], minlength=len(centres)) for b in batches if b.num_rows), np.zeros(len(centres), dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"code": np.flatnonzero(n).astype(np.int32), "n": n[n > 0]})
+
+    counts = {r["code"]: r["n"] for r in df.select("vec").mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect()}  # a row a centre
+    return np.array([counts.get(i, 0) for i in range(len(centres))], float)
+
+
 def weighted_start(points: np.ndarray, weights: np.ndarray, k: int, seed: int, moves: int = 20, tries: int = 10) -> np.ndarray:
     """k centres of weighted points: the best of some k-means++ draws with Lloyd moves; the points are the bounded sample of start()."""
     rng = np.random.default_rng(seed)
@@ -74,12 +114,10 @@ def start(df: DataFrame, k: int, vec: str = "vec", key: str = "id", seed: int =
         raise ValueError("no vectors to start from")
     drawn = [np.array(first[0]["vec"])]
     for r in range(rounds):
-        far = nearest(d, np.array(drawn))
-        total = far.agg(F.sum("square")).first()[0]
+        total = _all_squares(d, np.array(drawn))
         if not total:
             break
-        chance = F.col("square") * F.lit(oversample * k / total)
-        more = far.where((draw(f"{seed}-{r}", F.col("id")) < chance) & (F.col("square") > 0)).orderBy("id").select("vec").collect()  # oversample * k in the mean
+        more = _far(d, np.array(drawn), oversample * k / total, f"{seed}-{r}").orderBy("id").select("vec").collect()  # oversample * k in the mean
         drawn += [np.array(x["vec"]) for x in more]
     points = np.unique(np.array(drawn), axis=0)
     if len(points) < k:  # few or heavy copies: fill up with distinct vectors, farthest first
@@ -88,6 +126,6 @@ def start(df: DataFrame, k: int, vec: str = "vec", key: str = "id", seed: int =
             if x["square"] <= 1e-12:
                 break
             points = np.vstack([points, x["vec"]])
-    counts = {r["code"]: r["n"] for r in nearest(d, points).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a drawn vector
+    counts = _counts(d, points)
     discard(d)
-    return weighted_start(points, np.array([counts.get(i, 0) for i in range(len(points))], float) + 1e-9, k, seed)
+    return weighted_start(points, counts + 1e-9, k, seed)

@@ -279,15 +279,18 @@ def residual_codes(spark, sf_dir):
 def trained_codes(spark, sf_dir):
     """Codebooks of three levels trained on the vectors; the SIDs with suffixes.
 
-    Vectors that are null or empty, or hold null or non-finite components, have no SID; so have all if there are no others.
+    Vectors that are null or empty, hold null or non-finite components, or have another length than most (of equally many, than the
+    shortest), have no SID; so have all if there are no others.
     """
     from ..operators import quantise
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
-    sound = e.where(vector.finite(F.col("vec")))
-    without = e.where(~vector.finite(F.col("vec"))).select(F.col("id").alias("pid"), F.lit(None).cast("string").alias("sid_token"))
-    if not sound.limit(1).count():
+    length = e.where(vector.finite(F.col("vec"))).groupBy(F.size("vec").alias("length")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "length").first()
+    sound = vector.finite(F.col("vec")) & (F.size("vec") == F.lit(length["length"] if length else 0))
+    without = e.where(~sound).select(F.col("id").alias("pid"), F.lit(None).cast("string").alias("sid_token"))
+    if not length:
         return without
+    sound = e.where(sound)
     books = quantise.train(sound, levels=3, k=16)
     coded = semantic.with_suffix(quantise.assign(sound, books).select(F.col("id").alias("pid"), "indices")).select("pid", "sid_token")
     return coded.unionByName(without)
