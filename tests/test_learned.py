@@ -215,6 +215,34 @@ def test_sums_by_code_take_one_plan_for_any_length(spark, monkeypatch):
     assert len(asked) == 1
 
 
+def test_training_with_tasks_that_have_no_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20, 3))
+    whole = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>").coalesce(1)
+    some = whole.unionByName(whole.where("id < 0")).unionByName(spark.createDataFrame([], whole.schema))
+    assert [r.n for r in some.groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()] == [20] and some.rdd.getNumPartitions() > 1
+    total, used = quantise.code_sums(some, np.eye(3))
+    assert used.sum() == 20 and np.allclose(total.sum(0), x.sum(0))
+    assert seeding.start(some, 4).shape == (4, 3) and seeding.nearest(some, np.eye(3)).count() == 20
+    coded = quantise.assign(some, [np.eye(3)] * 2).select("id", "indices").collect()
+    assert {r.id: r.indices for r in coded} == {r.id: r.indices for r in quantise.assign(whole, [np.eye(3)] * 2).collect()} and len(coded) == 20
+
+
+def test_trained_codes_where_splits_have_no_row_group(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))], "vec_id bigint, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    kept = {k: spark.conf.get(k) for k in names}
+    try:
+        for k in names:
+            spark.conf.set(k, "4k")  # one row group over several splits
+        got = trained_codes(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.pid for r in got} == set(range(300)) and len({r.sid_token for r in got}) == 300
+
+
 def test_vectors_of_different_lengths_are_an_error(spark):
     d = spark.createDataFrame([([1.0],), ([1.0, 2.0, 3.0],)], "vec array<double>").coalesce(1)
     with pytest.raises(Exception, match="vectors of different lengths"):
